@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_decontaminate
+from . import op2_decontaminate, op10_pack
 
 _MODULES = {
     "op2_decontaminate": op2_decontaminate,
+    "op10_pack": op10_pack,
 }
 
 
