@@ -6,6 +6,7 @@ the partitioning and the shuffles are always Spark's.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -176,3 +177,19 @@ def crc32(data: bytes) -> int:
 def clean(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table has."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads files, so that each run sees the same rows in the same partitions."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LogicalRelation)\b", x) for x in lines)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """rid (a number of the row), row (all its columns) and text; doc_id need not be unique.
+
+    The numbers hold for all jobs that use the result: anything but a plain file
+    scan, whose rows another run could deal out differently, is stored first.
+    """
+    out = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"), F.col("text").alias("text"))
+    return out if is_scan(docs) else stored(out, "numbered")
