@@ -1,4 +1,4 @@
-"""Helpers that several operators share: shared-folder tables, Arrow text buffers, hashes.
+"""Helpers that several operators share: Arrow text buffers, hashes, row numbers.
 
 Everything here is a small building block for code that runs inside Spark tasks;
 the partitioning and the shuffles are always Spark's.
@@ -7,7 +7,6 @@ the partitioning and the shuffles are always Spark's.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.shared import shared_dir, stored  # noqa: F401
+
 U64 = np.uint64
 #: An odd multiplier for polynomial hashes modulo 2**64.
 BASE = U64(0x9E3779B97F4A7C15)
@@ -26,34 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Taken from ``spark.checkpoint.dir``; set to a folder of this machine only
-    where a session has none (single-machine sessions such as tests).
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    Cuts the lineage like ``checkpoint()``, but keeps the columnar form and its
-    statistics; a lost executor cannot take the data with it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
