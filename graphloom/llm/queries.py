@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_suffix_dedup, op2_decontaminate, op5_minhash, op6_toxicity, op10_pack
+from . import op1_suffix_dedup, op2_decontaminate, op4_repair, op5_minhash, op6_toxicity, op10_pack
 
 _MODULES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op4_repair": op4_repair,
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op10_pack": op10_pack,
