@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_suffix_dedup, op2_decontaminate, op4_repair, op5_minhash, op6_toxicity, op10_pack
+from . import op1_suffix_dedup, op2_decontaminate, op3_chunks, op4_repair, op5_minhash, op6_toxicity, op7_warc, op10_pack
 
 _MODULES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_chunks": op3_chunks,
     "op4_repair": op4_repair,
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op10_pack": op10_pack,
 }
 
