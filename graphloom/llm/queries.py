@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_suffix_dedup, op2_decontaminate, op3_chunks, op4_repair, op5_minhash, op6_toxicity, op7_warc, op10_pack
+from . import (
+    op1_suffix_dedup,
+    op2_decontaminate,
+    op3_chunks,
+    op4_repair,
+    op5_minhash,
+    op6_toxicity,
+    op7_warc,
+    op8_licenses,
+    op9_token_counts,
+    op10_pack,
+)
 
 _MODULES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -16,6 +27,8 @@ _MODULES = {
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
+    "op8_licenses": op8_licenses,
+    "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
 }
 
