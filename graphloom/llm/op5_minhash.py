@@ -141,7 +141,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
 class NearDuplicates:
     """Links and components of the near-duplicates of a table; see the module."""
 
-    def __init__(self, docs: DataFrame, k: int = 4, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH) -> None:
+    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH) -> None:
         self.k, self.percent, self.coordinates, self.match = k, percent, coordinates, match
         self.rows = C.numbered(docs)
         slim = self.rows.select("rid", F.col("row.doc_id").cast("bigint").alias("doc_id"), "text")
@@ -222,7 +222,7 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
     """Contract digest of ``NearDuplicates`` over all documents."""
-    out = NearDuplicates(C.table(spark, sf_dir, "documents").select("doc_id", "text")).components()
+    out = NearDuplicates(C.table(spark, sf_dir, "documents").select("doc_id", "text"), k=4).components()
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
