@@ -90,3 +90,46 @@ def test_empty(spark):
     assert rows(T.clustering_und(e, v)) == [(1, 0.0), (2, 0.0)]
     assert rows(R.components(e, v)) == [(1, 1, 1), (2, 2, 1)]
     assert rows(X.strengths_und(e, v)) == [(1, 0.0), (2, 0.0)]
+
+
+def test_louvain_finds_cliques(spark):
+    from graphloom.operators import communities as M
+    from graphloom.operators import random_graphs as A
+
+    e = A.ring_of_cliques(spark, 4, 4)
+    v = e.selectExpr("src AS node").distinct()
+    assert rows(M.best_partition(e, v)) == [(i, i // 4 * 4) for i in range(16)]
+
+
+def test_random_graphs(spark):
+    from graphloom.operators import random_graphs as A
+
+    v = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "node bigint")
+    for directed, k in ((True, 30), (True, 300), (False, 40)):
+        e = rows(A.random_edges(v, k, 3, directed))
+        assert len(set(e)) == len(e) == k * (1 if directed else 2) and all(a != b for a, b, _ in e)
+    e = A.random_edges(v, 60, 5, False)
+    new = rows(A.rewire(e, 3, directed=False, connected=True))
+    assert {(b, a) for a, b, _ in new} == {(a, b) for a, b, _ in new} and new != rows(e)
+    assert rows(X.degrees_und(A.rewire(e, 3, directed=False), v)) == rows(X.degrees_und(e, v))
+
+
+def test_formats(spark, tmp_path):
+    from graphloom.sources import formats as S
+
+    names = tmp_path / "names.txt"
+    names.write_text("DG L\r\nCA1 L\r\nCA3 R\n")
+    assert rows(S.read_names(spark, str(names), 3)) == [(0, "DG "), (1, "CA1"), (2, "CA3")]
+    places = tmp_path / "places.txt"
+    places.write_text("# name side x y\nDG L 1.5 2\nCA1 R -1 0\n")
+    assert rows(S.read_coordinates(spark, str(places))) == [("CA1 R", -1.0, 0.0), ("DG L", 1.5, 2.0)]
+
+
+def test_network_statistic(spark):
+    from graphloom.operators import populations as N
+
+    strong = [(i, 0, 1, 10.0 + i % 3 if i < 8 else 1.0 + i % 3) for i in range(16)] + [(i, 1, 2, 9.0 + i % 2 if i < 8 else 2.0 + i % 2) for i in range(16)]
+    cells = spark.createDataFrame(strong + [(i, 3, 4, 1.0 + i % 3) for i in range(16)], "subject bigint, src bigint, dst bigint, w double")
+    groups = spark.createDataFrame([(i, int(i >= 8)) for i in range(16)], "subject bigint, grp int")
+    got = N.nbs(cells, groups, 3.0, 20).collect()
+    assert [r.edges for r in got] == [2] and got[0].p <= 0.1
