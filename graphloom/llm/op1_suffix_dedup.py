@@ -15,8 +15,8 @@ suffixes share their leading bytes and the text before them agrees as well.
    leading bytes (ties by digest, so that no leading bytes can fill a bucket
    alone).  Buckets sort locally by multikey quicksort; neighbours with equal
    leading bytes form groups, in which windows are compared.
-4. Groups at a bucket's edge may go on in the next bucket: their windows are
-   compared across the boundaries by one aggregation.
+4. Groups at a bucket's edge may go on in the next bucket: what several buckets
+   have is compared across the boundaries, one window for each bucket and string.
 5. Repeated runs are gathered for each document and cut out of its text.
 
 Defined cases: null texts count as empty; texts under 400 bytes lose nothing;
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ LENGTH, LEAD = 400, 64
 SLICE = (1 << 20) - 2048
 ANCHORS = "rid bigint, a bigint, dlo int, dhi int, core bigint, c1 bigint, c2 bigint"
 CONTEXTS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, before binary, suffix binary"
-BUCKETS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, ranges array<struct<s:bigint,e:bigint>>, windows array<bigint>"
+BUCKETS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, ranges array<struct<s:bigint,e:bigint>>, bucket int, windows array<struct<d:bigint,h:bigint,hit:boolean>>"
 BYTES = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
@@ -123,7 +124,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield _batch(out, CONTEXTS)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<struct<s:bigint,e:bigint>>": pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<struct<d:bigint,h:bigint,hit:boolean>>": pa.list_(pa.struct([("d", pa.int64()), ("h", pa.int64()), ("hit", pa.bool_())])), "array<struct<s:bigint,e:bigint>>": pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -170,13 +171,22 @@ def _words(strings: list[bytes], length: int) -> np.ndarray:
 
 def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's suffixes; compare the windows of suffixes that share their leading bytes."""
-    parts = list(batches)
+    parts, bucket = list(batches), TaskContext.get().partitionId()
     if not parts:
         return
     rows = pa.Table.from_batches(parts)
     head = [rows[c].to_pylist() for c in ("core", "c1", "c2", "dlo", "dhi", "rid", "a")]
     before, suffix = rows["before"].to_pylist(), rows["suffix"].to_pylist()
-    order = multikey_order(_words(suffix, length))
+    keys = _words(suffix, length)
+    order = multikey_order(keys)
+    # A window that starts d bytes before its suffix needs 400 - d equal bytes; no suffix shares
+    # more with one than its neighbours do.  Beyond the bucket's ends the neighbour is unknown.
+    differ = keys[order][1:] != keys[order][:-1]
+    common = np.where(differ.any(axis=1), np.argmax(differ, axis=1) * 8 + 7, length)
+    most = np.maximum(np.append(length, common), np.append(common, length))
+    del keys, differ
+    least_d = np.empty(len(order), np.int64)
+    least_d[order] = np.maximum(np.array(head[4])[order], length - most)
     leading = _words([suffix[i][:lead] for i in order], lead)
     group = np.cumsum(np.append(True, (leading[1:] != leading[:-1]).any(axis=1))) - 1
     size = np.bincount(group)
@@ -186,7 +196,7 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterat
         end = at
         windows = 0
         while end < len(size) and (end == at or windows < 1_000_000):
-            windows += sum(head[3][i] - head[4][i] + 1 for i in order[bounds[end] : bounds[end + 1]])
+            windows += sum(max(0, head[3][i] - least_d[i] + 1) for i in order[bounds[end] : bounds[end + 1]])
             end += 1
         own = order[bounds[at] : bounds[end]]
         of = group[bounds[at] : bounds[end]]
@@ -194,26 +204,27 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterat
         strings = [before[i] + suffix[i] for i in own]
         hashes = C.windows_hash(np.frombuffer(b"".join(strings), np.uint8), length)
         start = np.cumsum([0, *map(len, strings)])
-        dlo, n = np.array([head[3][i] for i in own]), np.array([head[3][i] - head[4][i] + 1 for i in own])
+        dlo, n = np.array([head[3][i] for i in own]), np.array([max(0, head[3][i] - least_d[i] + 1) for i in own])
         member = np.repeat(np.arange(len(own)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         h = C.mix(hashes[start[member] + step])
         d = dlo[member] - step
         key = C.mix(h ^ C.mix((of[member].astype(np.uint64) << C.U64(20)) | d.astype(np.uint64)))
-        sort = np.argsort(key)
-        twice = np.zeros(len(key), bool)
+        sort = np.argsort(key, kind="stable")
+        twice, again = np.zeros(len(key), bool), np.zeros(len(key), bool)
         same = key[sort][1:] == key[sort][:-1]
-        twice[sort[1:][same]] = True
+        twice[sort[1:][same]] = again[sort[1:][same]] = True
         twice[sort[:-1][same]] = True
         edge = (of == 0) | (of == len(size) - 1)
         out = []
         ends = np.cumsum(n)
         for k, i in enumerate(own):
-            hit = twice[ends[k] - n[k] : ends[k]]
-            if edge[k]:
-                out.append((*[c[i] for c in head], runs(hit), h[ends[k] - n[k] : ends[k]].view(np.int64).tolist()))
-            elif hit.any():
-                out.append((*[c[i] for c in head], runs(hit), None))
+            own_windows = slice(ends[k] - n[k], ends[k])
+            hit = twice[own_windows]
+            # of equal windows, one tells the other buckets
+            tell = [{"d": x, "h": y, "hit": z} for x, y, z, w in zip(d[own_windows].tolist(), h[own_windows].view(np.int64).tolist(), hit.tolist(), again[own_windows].tolist(), strict=True) if not w] if edge[k] else None
+            if tell or hit.any():
+                out.append((*[c[i] for c in head], runs(hit), bucket, tell))
         if out:
             yield _batch(out, BUCKETS)
 
@@ -224,7 +235,7 @@ def runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"s": s, "e": e} for s, e in zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist(), strict=True)]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], keep: bool, schema: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], keep: bool, whole: bool, schema: list[str]) -> Iterator[pa.RecordBatch]:
     """Take the repeated runs out of each text."""
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -237,6 +248,11 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: bool, schema: list[str]) -> It
                     out[-1][1] = max(out[-1][1], e)
                 else:
                     out.append([s, e])
+            for run in out if whole else ():  # a character that is covered in part stays
+                while run[0] < run[1] and text[run[0]] & 0xC0 == 0x80:
+                    run[0] += 1
+                while run[0] < run[1] < len(text) and text[run[1]] & 0xC0 == 0x80:
+                    run[1] -= 1
             ends = [0, *(e for _, e in out)]
             left = b"".join(text[a:b] for a, b in zip(ends, [*(s for s, _ in out), len(text)], strict=True))
             cols["n_bytes"].append(len(text))
@@ -276,25 +292,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     compared = C.stored(sorted_.mapInArrow(lambda it: _bucket(it, length, lead), BUCKETS), "buckets")
     ids = ["core", "c1", "c2", "dlo", "dhi", "rid", "a"]
     within = compared.select(*ids, F.explode("ranges").alias("r")).select("rid", (F.col("a") - F.col("dlo") + F.col("r.s")).alias("s"), (F.col("a") - F.col("dlo") + F.col("r.e") + length).alias("e"))
-    edge = compared.where(F.col("windows").isNotNull()).select(*ids, F.posexplode("windows").alias("i", "h")).withColumn("d", F.col("dlo") - F.col("i"))
+    # leading bytes that several buckets have; their windows meet once for each bucket
+    over = compared.where(F.col("windows").isNotNull()).groupBy("core").agg(F.min("bucket").alias("b0"), F.max("bucket").alias("b1")).where("b0 < b1").select("core")
+    edge = compared.where(F.col("windows").isNotNull()).join(over, "core").select(*ids, F.explode("windows").alias("w")).select(*ids, "w.d", "w.h", "w.hit")
     twice = edge.groupBy("core", "d", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "d", "h")
-    across = edge.join(twice, ["core", "d", "h"]).select("rid", (F.col("a") - F.col("d")).alias("s"), (F.col("a") - F.col("d") + length).alias("e"))
+    across = edge.where("NOT hit").join(twice, ["core", "d", "h"]).select("rid", (F.col("a") - F.col("d")).alias("s"), (F.col("a") - F.col("d") + length).alias("e"))
     copies = anchors.join(contexts.where("n > 1").select(*key), key, "left_semi").select("rid", (F.col("a") - F.col("dlo")).alias("s"), (F.col("a") - F.col("dhi") + length).alias("e"))
     return within.unionByName(across).unionByName(copies)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep: bool = True) -> DataFrame:
-    """row (all columns), n_bytes, n_removed, n_spans, kept (remaining bytes, or their SHA-256 if not keep)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep: bool = True, whole: bool = False) -> DataFrame:
+    """row (all columns but text), n_bytes, n_removed, n_spans, kept (remaining bytes, or their SHA-256 if not keep).
+
+    whole: leave characters whole, so that the remaining bytes are UTF-8 again.
+    """
     numbered = C.numbered(docs)
     slim = numbered.select("rid", "text")
     spans = repeated_spans(slim, length, lead).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rest = docs.columns
     rows = numbered.select("rid", F.struct(*[F.col(f"row.`{c}`") for c in rest if c != "text"]).alias("row"))
     packed = _packed(slim).join(spans, "rid", "left")
-    cut = packed.mapInArrow(lambda it: _cut(it, keep, ["rid", "n_bytes", "n_removed", "n_spans", "kept"]), f"rid bigint, {BYTES}")
+    cut = packed.mapInArrow(lambda it: _cut(it, keep, whole, ["rid", "n_bytes", "n_removed", "n_spans", "kept"]), f"rid bigint, {BYTES}")
     return rows.join(cut, "rid")
 
 
+def dedup_documents(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
+    """The documents with repeated strings cut out of their texts; null texts stay null, other columns stay."""
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").isNull().alias("__null"))
+    out = remove_repeats(marked, length, lead, whole=True)
+    text = F.when(~F.col("row.__null"), F.decode("kept", "UTF-8")).alias("text")
+    return out.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract digest of ``remove_repeats`` over all documents."""
     out = remove_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
