@@ -39,7 +39,7 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
     """node (line number from 0) and label of a file with one name on each line."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("node", "label")).where("label <> ''")
     return lines.select(F.col("node").cast("bigint").alias("node"), (F.substring("label", 1, longest) if longest else F.col("label")).alias("label"))
 
