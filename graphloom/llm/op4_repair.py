@@ -2,8 +2,8 @@
 
 Documents are range-partitioned by doc_id and encoded in order.  Each shard of about
 ``shard_ids`` ids gets its own grammar: frequent pairs of neighbouring symbols are
-replaced by nonterminals, again and again, until no pair is frequent or the rule
-table is full.  Pairs that share no symbol in opposite places cannot overlap, so a
+replaced by nonterminals, again and again, until no pair is frequent, the rule
+table is full or a round saves less than one symbol in 64.  Pairs that share no symbol in opposite places cannot overlap, so a
 round replaces many at once.
 
 File format (little-endian): the header ``RPR1`` with five unsigned 32-bit numbers
@@ -59,7 +59,7 @@ def grammar(ids: np.ndarray, end_id: int, base: int, most_rules: int, least: int
             break
         order = np.argsort(-count, kind="stable")[: 4 * (most_rules - made)]
         lefts, rights, chosen = set(), set(), []
-        floor = count[order[0]] // 64  # rarer pairs wait for the next round's counts
+        floor = count[order[0]] // 1024  # rarer pairs wait for the next round's counts
         for p, n in zip(pairs[order].tolist(), count[order].tolist(), strict=True):
             a, b = p >> bits, p & ((1 << bits) - 1)
             if n < floor or len(chosen) + made >= most_rules:
@@ -87,8 +87,11 @@ def grammar(ids: np.ndarray, end_id: int, base: int, most_rules: int, least: int
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
+        small = len(at) * 64 < len(keep)
         rules.append(np.stack([table >> kind(bits), table & kind((1 << bits) - 1)], axis=1).astype(np.int64))
         made += len(table)
+        if small:
+            break
     return s.astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
@@ -118,7 +121,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return s.astype(np.uint32)
 
 
-def write_shard(docs: list[np.ndarray], end_id: int, base: int, least: int = 8, rounds: int = 8) -> bytes:
+def write_shard(docs: list[np.ndarray], end_id: int, base: int, least: int = 8, rounds: int = 40) -> bytes:
     """One shard of the file format; docs: ids that end with end_id."""
     ids = np.concatenate(docs)
     width = 2 if base < 1 << 16 else 4

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -37,7 +38,7 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """Encodes texts with one tokenizer file; holds at most ``most`` cached pieces."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
@@ -47,7 +48,13 @@ class Encoder:
         self.pretokens: dict[str, bytes] = {}
         self.characters = byte_characters()
 
+    def _ids(self, pretoken: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(pretoken)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha() and max(word) < "ɐ":  # letters with a space before them are one pre-token
+            return self._ids(piece.encode().decode("latin-1").translate(self.characters))
         if max(piece, default="") < "ɐ":
             parts = [p if p.isascii() and p.isprintable() and " " not in p else p.encode().decode("latin-1").translate(self.characters) for p in _PRETOKEN.findall(piece)]
         else:
@@ -56,8 +63,8 @@ class Encoder:
         for p in parts:
             ids = self.pretokens.get(p)
             if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(p)], np.uint32).tobytes()
-                if len(self.pretokens) < self.most:
+                ids = self._ids(p)
+                if len(self.pretokens) < self.most // 2:
                     self.pretokens[p] = ids
             out.append(ids)
         return b"".join(out)
