@@ -16,7 +16,8 @@ suffixes share their leading bytes and the text before them agrees as well.
    alone).  Buckets sort locally by multikey quicksort; neighbours with equal
    leading bytes form groups, in which windows are compared.
 4. Groups at a bucket's edge may go on in the next bucket: what several buckets
-   have is compared across the boundaries, one window for each bucket and string.
+   have is compared across the boundaries, one window for each bucket and string,
+   as far as the texts before the suffixes agree with any other.
 5. Repeated runs are gathered for each document and cut out of its text.
 
 Defined cases: null texts count as empty; texts under 400 bytes lose nothing;
@@ -44,7 +45,9 @@ LENGTH, LEAD = 400, 64
 SLICE = (1 << 20) - 2048
 ANCHORS = "rid bigint, a bigint, dlo int, dhi int, core bigint, c1 bigint, c2 bigint"
 CONTEXTS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, before binary, suffix binary"
-BUCKETS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, ranges array<struct<s:bigint,e:bigint>>, bucket int, windows array<struct<d:bigint,h:bigint,hit:boolean>>"
+BUCKETS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, ranges array<struct<s:bigint,e:bigint>>, bucket int, windows array<struct<d:bigint,h:bigint,hit:boolean>>, probes array<bigint>"
+#: Steps of the text before a suffix at which groups over several buckets are compared.
+PROBE = 24
 BYTES = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
@@ -124,7 +127,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield _batch(out, CONTEXTS)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<struct<d:bigint,h:bigint,hit:boolean>>": pa.list_(pa.struct([("d", pa.int64()), ("h", pa.int64()), ("hit", pa.bool_())])), "array<struct<s:bigint,e:bigint>>": pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))}
+_ARROW = {"array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<struct<d:bigint,h:bigint,hit:boolean>>": pa.list_(pa.struct([("d", pa.int64()), ("h", pa.int64()), ("hit", pa.bool_())])), "array<struct<s:bigint,e:bigint>>": pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -224,7 +227,8 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterat
             # of equal windows, one tells the other buckets
             tell = [{"d": x, "h": y, "hit": z} for x, y, z, w in zip(d[own_windows].tolist(), h[own_windows].view(np.int64).tolist(), hit.tolist(), again[own_windows].tolist(), strict=True) if not w] if edge[k] else None
             if tell or hit.any():
-                out.append((*[c[i] for c in head], runs(hit), bucket, tell))
+                probes = [int.from_bytes(hashlib.blake2b(before[i][-p:], digest_size=8).digest(), "little", signed=True) for p in range(PROBE, head[3][i] + 1, PROBE)] if tell else None
+                out.append((*[c[i] for c in head], runs(hit), bucket, tell, probes))
         if out:
             yield _batch(out, BUCKETS)
 
@@ -294,7 +298,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     within = compared.select(*ids, F.explode("ranges").alias("r")).select("rid", (F.col("a") - F.col("dlo") + F.col("r.s")).alias("s"), (F.col("a") - F.col("dlo") + F.col("r.e") + length).alias("e"))
     # leading bytes that several buckets have; their windows meet once for each bucket
     over = compared.where(F.col("windows").isNotNull()).groupBy("core").agg(F.min("bucket").alias("b0"), F.max("bucket").alias("b1")).where("b0 < b1").select("core")
-    edge = compared.where(F.col("windows").isNotNull()).join(over, "core").select(*ids, F.explode("windows").alias("w")).select(*ids, "w.d", "w.h", "w.hit")
+    edge = C.stored(compared.where(F.col("windows").isNotNull()).join(over, "core").drop("ranges", "bucket"), "edges")
+    # how far the text before a suffix agrees with that of any other bounds its windows from the left
+    probes = edge.select(*ids, F.posexplode("probes").alias("i", "p"))
+    agree = probes.groupBy("core", "i", "p").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "i", "p")
+    reach = probes.join(agree, ["core", "i", "p"]).groupBy(*key).agg(F.max("i").alias("i"))
+    bound = PROBE * (F.coalesce("i", F.lit(-1)) + 2) - 1
+    edge = edge.join(reach, key, "left").select(*ids, F.explode(F.filter("windows", lambda w: w["d"] <= bound)).alias("w")).select(*ids, "w.d", "w.h", "w.hit")
     twice = edge.groupBy("core", "d", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "d", "h")
     across = edge.where("NOT hit").join(twice, ["core", "d", "h"]).select("rid", (F.col("a") - F.col("d")).alias("s"), (F.col("a") - F.col("d") + length).alias("e"))
     copies = anchors.join(contexts.where("n > 1").select(*key), key, "left_semi").select("rid", (F.col("a") - F.col("dlo")).alias("s"), (F.col("a") - F.col("dhi") + length).alias("e"))
