@@ -84,9 +84,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, (at - at[0]) if len(at) else np.zeros(1, np.int64)
 
 
-def pieces(batch: pa.RecordBatch, most: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of rows of about ``most`` text bytes (one row at least)."""
-    raw, at = text_buffer(batch.column(text))
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut a batch into runs of rows of about ``most`` text bytes (one row at least).
+
+    The text is the column ``text``, or the one in ``row`` where rows pass through whole.
+    """
+    raw, at = text_buffer(batch["text"] if "text" in batch.schema.names else batch["row"].field("text"))
     row, rows = 0, batch.num_rows
     while row < rows:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
@@ -130,17 +133,40 @@ def words_of(raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.nd
 
 
 def words_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums; equal words get equal hashes."""
-    if not len(start):
-        return np.empty(0, U64)
-    pw = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * pw, out=sums[1:])
-    inverse = pow(int(BASE), -1, 1 << 64)
-    back = np.ones(len(raw), U64)
-    back[1:] = U64(inverse)
-    back = np.multiply.accumulate(back)
-    return mix((sums[end] - sums[start]) * back[start])
+    """A 64-bit hash of each word, from prefix sums; equal words get equal hashes.
+
+    Words are taken in runs of about a quarter megabyte, so that the sums stay small
+    whatever is passed in; one longer word is a run of its own.
+    """
+    out = np.empty(len(start), U64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + (1 << 18), "right")))
+        first, last = int(start[at]), int(end[to - 1])
+        up, back = _powers(last - first)
+        sums = np.zeros(last - first + 1, U64)
+        np.cumsum((raw[first:last].astype(U64) + U64(1)) * up, out=sums[1:])
+        s, e = start[at:to] - first, end[at:to] - first
+        out[at:to] = mix((sums[e] - sums[s]) * back[s])
+        at = to
+    return out
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse; up to a quarter million are kept."""
+    def make(n: int) -> list[np.ndarray]:
+        back = np.ones(n, U64)
+        back[1:] = U64(pow(int(BASE), -1, 1 << 64))
+        return [powers(n), np.multiply.accumulate(back)]
+
+    if n > 1 << 18:
+        return tuple(make(n))
+    if not _POWERS:
+        _POWERS.extend(make(1 << 18))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def crc32(data: bytes) -> int:

@@ -30,7 +30,7 @@ from . import common as C
 
 #: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing: digits, a-z and all non-ASCII.
 WORD = C.byte_class([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +147,8 @@ def annotate(docs: DataFrame, bench: DataFrame, n: int = 10, block_bytes: int =
     """One row for each document: ``row`` (all its columns), n_words, n_hit, spans (hit word runs) and items."""
     spark = docs.sparkSession
     span = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
-    df = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    df = df.select("row", "text", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
+    df = docs.select(F.struct("*").alias("row"))
+    df = df.select("row", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
     several = False
     for block in blocks(bench, block_bytes):
         if several:
@@ -157,7 +157,7 @@ def annotate(docs: DataFrame, bench: DataFrame, n: int = 10, block_bytes: int =
         shared = spark.sparkContext.broadcast(TestSet(block, n))
         df = df.mapInArrow(lambda it, shared=shared: _pass(it, shared.value), df.schema)
         several = True
-    return df.drop("text")
+    return df
 
 
 def _pass(batches: Iterator[pa.RecordBatch], tests: TestSet) -> Iterator[pa.RecordBatch]:

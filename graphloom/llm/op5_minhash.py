@@ -78,7 +78,7 @@ def _seeds(n: int) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, coordinates: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, raw, at in C.pieces(batch, 1 << 20):
+        for part, raw, at in C.pieces(batch, 1 << 19):
             row, h = shingle_sets(raw, at, k)
             n = np.bincount(row, minlength=part.num_rows)
             have = np.flatnonzero(n)

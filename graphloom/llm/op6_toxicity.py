@@ -310,13 +310,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 900, longest: int = 20_0
 
 def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, raw, at in C.pieces(batch, 1 << 20):
+        for part, raw, at in C.pieces(batch, 1 << 19):
             yield pa.RecordBatch.from_arrays([part["row"], pa.array(net.scores(raw, at), pa.float64())], names=["row", "score"])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """row (all columns of a document) and its score."""
-    df = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    df = docs.select(F.struct("*").alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = df.select("row", F.lit(0.0).alias("score")).schema
     return df.mapInArrow(lambda it: _score(it, shared.value), schema)

@@ -38,7 +38,7 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """Encodes texts with one tokenizer file; holds at most ``most`` cached pieces."""
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
