@@ -11,10 +11,11 @@ suffixes share their leading bytes and the text before them agrees as well.
 2. Equal contexts are counted by digest.  A context seen twice is a repeat as a
    whole, which settles copies without sorting them; a leading hash that occurs
    in one context only is unique.  Only one sample of each context goes on.
-3. The remaining suffixes are range-partitioned by sampled splitters on their
-   leading bytes (ties by digest, so that no leading bytes can fill a bucket
-   alone).  Buckets sort locally by multikey quicksort; neighbours with equal
-   leading bytes form groups, in which windows are compared.
+3. The remaining suffixes are range-partitioned by sampled splitters on all their
+   bytes (ties by digest, so that equal suffixes can fill several buckets), so
+   that buckets are ranges of the sorted suffixes.  Buckets sort locally by
+   multikey quicksort; neighbours with equal leading bytes form groups, in which
+   windows are compared.
 4. Groups at a bucket's edge may go on in the next bucket: what several buckets
    have is compared across the boundaries, one window for each bucket and string,
    as far as the texts before the suffixes agree with any other.
@@ -183,7 +184,8 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterat
     keys = _words(suffix, length)
     order = multikey_order(keys)
     # A window that starts d bytes before its suffix needs 400 - d equal bytes; no suffix shares
-    # more with one than its neighbours do.  Beyond the bucket's ends the neighbour is unknown.
+    # more with one than its neighbours do, as buckets are ranges of whole suffixes.  Beyond the
+    # bucket's ends the neighbour is unknown.
     differ = keys[order][1:] != keys[order][:-1]
     common = np.where(differ.any(axis=1), np.argmax(differ, axis=1) * 8 + 7, length)
     most = np.maximum(np.append(length, common), np.append(common, length))
@@ -292,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     want = undecided.groupBy("rid").agg(F.collect_list(F.struct(*key, "a")).alias("want"))
     texts = C.stored(_packed(docs).join(want, "rid").mapInArrow(lambda it: _contexts(it, length), CONTEXTS), "suffixes")
     buckets = max(parts, texts.count() // 12_000 + 1)
-    sorted_ = texts.repartitionByRange(buckets, F.substring("suffix", 1, 128), "c1")
+    sorted_ = texts.repartitionByRange(buckets, "suffix", "c1")
     compared = C.stored(sorted_.mapInArrow(lambda it: _bucket(it, length, lead), BUCKETS), "buckets")
     ids = ["core", "c1", "c2", "dlo", "dhi", "rid", "a"]
     within = compared.select(*ids, F.explode("ranges").alias("r")).select("rid", (F.col("a") - F.col("dlo") + F.col("r.s")).alias("s"), (F.col("a") - F.col("dlo") + F.col("r.e") + length).alias("e"))

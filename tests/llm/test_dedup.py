@@ -6,6 +6,7 @@ import cases
 import numpy as np
 import pytest
 
+from graphloom.llm import common as C
 from graphloom.llm import op1_suffix_dedup as op1
 from graphloom.llm import op5_minhash as op5
 
@@ -30,6 +31,28 @@ def test_repeats(spark, monkeypatch, length, lead, piece):
     assert got == Counter({k: v for k, v in want.items()})
 
 
+def test_repeats_around_a_hot_passage(spark):
+    r = np.random.default_rng(5)
+
+    def text(n):
+        return bytes(r.integers(97, 123, n).astype(np.uint8))
+
+    # the least hash of all lies early in the hot passage, so that many suffixes share over 128 bytes
+    hot = min((text(200) for _ in range(3000)), key=lambda x: C.mix(C.windows_hash(np.frombuffer(x, np.uint8), 64)[:30]).min())
+    texts = []
+    for _ in range(120):
+        left, right = text(150), text(150)
+        texts += [text(r.integers(150, 300)) + left + hot + right + text(r.integers(150, 300)) for _ in range(2)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = {x.row.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept) for x in op1.remove_repeats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == dict(enumerate(brute_repeats(texts, 400)))
+
+
 def test_repeats_keep_columns_and_characters(spark):
     rows, df = cases.documents(spark)
     out = op1.dedup_documents(df, 41, 16)
