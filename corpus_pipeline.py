@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import common, op1_suffix_dedup, op2_decontaminate, op5_minhash, op6_toxicity, op10_pack
 
-#: Bytes of a repeated passage: 50 words, about.
-PASSAGE = 256
+#: Words of a repeated passage: over 50.
+PASSAGE = 51
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once; n_chars follows the text."""
-    out = op1_suffix_dedup.dedup_documents(docs, PASSAGE)
+    out = op1_suffix_dedup.dedup_documents(docs, words=PASSAGE)
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")))

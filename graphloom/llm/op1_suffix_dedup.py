@@ -47,6 +47,8 @@ SLICE = (1 << 20) - 2048
 ANCHORS = "rid bigint, a bigint, dlo int, dhi int, core bigint, c1 bigint, c2 bigint"
 CONTEXTS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, before binary, suffix binary"
 BUCKETS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, ranges array<struct<s:bigint,e:bigint>>, bucket int, windows array<struct<d:bigint,h:bigint,hit:boolean>>, probes array<bigint>"
+#: Bytes that are no white space, and the bytes that stand for a word where passages are counted in words.
+WORD, SYMBOL = ~C.byte_class([(9, 13), (32, 32)]), 8
 #: Steps of the text before a suffix at which groups over several buckets are compared.
 PROBE = 24
 BYTES = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -241,7 +243,36 @@ def runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"s": s, "e": e} for s, e in zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist(), strict=True)]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], keep: bool, whole: bool, schema: list[str]) -> Iterator[pa.RecordBatch]:
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of a text as 8 bytes: 6 of its hash, 2 of the white space behind it."""
+    for batch in batches:
+        out = []
+        for text in batch["text"]:
+            raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            start, end, _ = C.words_of(raw, np.array([0, len(raw)]), WORD)
+            codes = C.words_hash(raw, start, end) & ~C.U64(0xFFFF)
+            if len(start) > 1:
+                gap, size = raw[end[:-1]].astype(C.U64), start[1:] - end[:-1]
+                wide = size > 1  # one byte stands for itself, all else for its hash
+                gap[wide] = C.U64(256) + C.words_hash(raw, end[:-1][wide], start[1:][wide]) % C.U64(65280)
+                codes[:-1] |= gap
+            out.append(codes.astype(">u8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(out, pa.binary())], names=["rid", "text"])
+
+
+def repeated_passages(docs: DataFrame, words: int, lead: int = LEAD) -> DataFrame:
+    """rid and the runs (s, e) of whole words that repeated passages of ``words`` words cover.
+
+    A passage is a string of 8 * words - 2 bytes of the codes that begins with a word;
+    the white space behind its last word does not count.
+    """
+    length = SYMBOL * words - 2
+    coded = docs.mapInArrow(_word_codes, "rid bigint, text binary")
+    first, last = F.ceil(F.col("s") / SYMBOL).cast("bigint"), F.floor((F.col("e") - length) / SYMBOL).cast("bigint")
+    return repeated_spans(coded, length, lead).select("rid", first.alias("s"), (last + words).alias("e")).where(F.col("e") - F.col("s") >= words)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], keep: bool, whole: bool, words: bool, schema: list[str]) -> Iterator[pa.RecordBatch]:
     """Take the repeated runs out of each text."""
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -249,6 +280,9 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: bool, whole: bool, schema: lis
         for packed, spans in zip(batch["packed"], batch["spans"].to_pylist(), strict=True):
             text = open_.decompress(packed.as_py())
             out: list[list[int]] = []
+            if words and spans:
+                start, end, _ = C.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), WORD)
+                spans = [{"s": int(start[x["s"]]), "e": int(end[x["e"] - 1])} for x in spans]
             for s, e in sorted((x["s"], x["e"]) for x in spans or []):
                 if out and s <= out[-1][1]:
                     out[-1][1] = max(out[-1][1], e)
@@ -275,7 +309,8 @@ def _packed(docs: DataFrame) -> DataFrame:
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            packed = [press.compress((t.as_py() or "").encode()) for t in batch["text"]]
+            texts = batch["text"].cast(pa.binary())
+            packed = [press.compress(t.as_py() or b"") for t in texts]
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(packed, pa.binary())], names=["rid", "packed"])
 
     return docs.mapInArrow(squeeze, "rid bigint, packed binary")
@@ -313,25 +348,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     return within.unionByName(across).unionByName(copies)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep: bool = True, whole: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep: bool = True, whole: bool = False, words: int = 0) -> DataFrame:
     """row (all columns but text), n_bytes, n_removed, n_spans, kept (remaining bytes, or their SHA-256 if not keep).
 
     whole: leave characters whole, so that the remaining bytes are UTF-8 again.
+    words: if given, repeats are passages of so many whole words, whatever their bytes.
     """
     numbered = C.numbered(docs)
     slim = numbered.select("rid", "text")
-    spans = repeated_spans(slim, length, lead).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    found = repeated_passages(slim, words, lead) if words else repeated_spans(slim, length, lead)
+    spans = found.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rest = docs.columns
     rows = numbered.select("rid", F.struct(*[F.col(f"row.`{c}`") for c in rest if c != "text"]).alias("row"))
     packed = _packed(slim).join(spans, "rid", "left")
-    cut = packed.mapInArrow(lambda it: _cut(it, keep, whole, ["rid", "n_bytes", "n_removed", "n_spans", "kept"]), f"rid bigint, {BYTES}")
+    cut = packed.mapInArrow(lambda it: _cut(it, keep, whole, words > 0, ["rid", "n_bytes", "n_removed", "n_spans", "kept"]), f"rid bigint, {BYTES}")
     return rows.join(cut, "rid")
 
 
-def dedup_documents(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
+def dedup_documents(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, words: int = 0) -> DataFrame:
     """The documents with repeated strings cut out of their texts; null texts stay null, other columns stay."""
     marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").isNull().alias("__null"))
-    out = remove_repeats(marked, length, lead, whole=True)
+    out = remove_repeats(marked, length, lead, whole=True, words=words)
     text = F.when(~F.col("row.__null"), F.decode("kept", "UTF-8")).alias("text")
     return out.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import cases
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -53,6 +55,38 @@ def test_repeats_around_a_hot_passage(spark):
     assert got == dict(enumerate(brute_repeats(texts, 400)))
 
 
+def brute_passages(texts, words):
+    found = [list(re.finditer("[^\x20\x09-\x0d]+", t)) for t in texts]
+    count = Counter(t[m[i].start() : m[i + words - 1].end()] for t, m in zip(texts, found, strict=True) for i in range(len(m) - words + 1))
+    for t, m in zip(texts, found, strict=True):
+        hit = np.zeros(len(t), bool)
+        for i in range(len(m) - words + 1):
+            s, e = m[i].start(), m[i + words - 1].end()
+            if count[t[s:e]] > 1:
+                hit[s:e] = True
+        yield "".join(c for c, h in zip(t, hit, strict=True) if not h)
+
+
+def test_passages_are_counted_in_words(spark):
+    r = random.Random(7)
+
+    def some(n, most=3):
+        return ["".join(r.choice("abcdeéß") for _ in range(r.randint(1, most))) for _ in range(n)]
+
+    def rows_of(passage):  # in two documents, between other words, blanks and lines
+        return [" ".join(some(80, 9)) + " " + passage + "\n" + " ".join(some(70, 9)) for _ in range(2)]
+
+    short, fewer, long = " ".join(some(51, 2)), " ".join(some(50, 2)), "  ".join(some(70)) + "\n" + " ".join(some(30))
+    blanks = " ".join(some(60, 2))
+    wide = " ".join("w" * r.randint(20, 30) for _ in range(40))  # 800 bytes and more, but 40 words
+    texts = [*rows_of(short), *rows_of(fewer), *rows_of(long), *rows_of(wide), rows_of(blanks)[0], rows_of(blanks.replace(" ", "\n"))[0], "x " * 300, short, " " + long + " "]
+    df = spark.createDataFrame([*enumerate(texts), (100, None), (101, ""), (102, " \n ")], "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.suffix_dedup(spark, df, "").collect()}
+    assert [got.pop(i) for i in (100, 101, 102)] == [None, "", " \n "]
+    assert len(short) < 256 and short not in got[0] and fewer in got[2] and wide in got[6]
+    assert got == dict(enumerate(brute_passages(texts, 51)))
+
+
 def test_repeats_keep_columns_and_characters(spark):
     rows, df = cases.documents(spark)
     out = op1.dedup_documents(df, 41, 16)
