@@ -67,7 +67,7 @@ class Windows:
 
 
 def _place(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int, most: int) -> Iterator[pa.RecordBatch]:
-    enc, windows, part = encoder(path), Windows(size, most), TaskContext.get().partitionId()
+    enc, windows, part = encoder(path, added=True), Windows(size, most), TaskContext.get().partitionId()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "win", "offset", "fill", "open"]
 
     def rows(out: list[tuple]) -> pa.RecordBatch:

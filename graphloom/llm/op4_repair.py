@@ -177,7 +177,7 @@ class Shard:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
-    enc, part, shard = encoder(path), TaskContext.get().partitionId(), 0
+    enc, part, shard = encoder(path, added=True), TaskContext.get().partitionId(), 0
     base = enc.tokenizer.get_vocab_size()
     docs: list[np.ndarray] = []
     names: list[int | None] = []

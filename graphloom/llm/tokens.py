@@ -3,6 +3,7 @@
 A byte-level BPE never merges across its pre-tokens, and a space that stands before
 a character that is no white space always begins a pre-token.  So a text can be cut
 there and each piece encoded alone; pieces repeat, and most come from a cache.
+A text that holds one of the file's added tokens goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ _BEFORE_WORD = re.compile(r"(?= [^\s\x00-\x20\x7f-\xa0])")
 _SPACE_SPACE = re.compile(r" (?:[\s\x00-\x20\x7f-\xa0]|\Z)")
 #: Pre-tokens of a byte-level BPE; a fixed value of that file format.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_HELD: dict[str, Encoder] = {}
+_HELD: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_path() -> str:
@@ -36,12 +37,18 @@ def byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file; holds at most ``most`` cached pieces."""
+    """Encodes texts with one tokenizer file; holds at most ``most`` cached pieces.
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    added: strings of added tokens become their ids, as the library does by itself.
+    Otherwise they are ordinary text.
+    """
+
+    def __init__(self, path: str, most: int = 400_000, added: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(map(re.escape, tokens))) if tokens else None
         self.model, self.most = self.tokenizer.model, most
         self.spaced: dict[str, bytes] = {}  # piece without its leading space -> ids
         self.plain: dict[str, bytes] = {}
@@ -87,6 +94,8 @@ class Encoder:
         """Ids (unsigned 32-bit) of a whole text; null and empty texts have none."""
         if not text:
             return np.empty(0, np.uint32)
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if text[0] == " " or _SPACE_SPACE.search(text):
             ids = self._get(self.plain, [p for p in _BEFORE_WORD.split(text) if p], "")
         else:
@@ -95,8 +104,8 @@ class Encoder:
         return np.frombuffer(ids, np.uint32)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(path)
-    return _HELD[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder for each Python worker, file and way to take added tokens."""
+    if (path, added) not in _HELD:
+        _HELD[path, added] = Encoder(path, added=added)
+    return _HELD[path, added]

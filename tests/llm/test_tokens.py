@@ -67,6 +67,22 @@ def test_pack(spark):
     assert op10.pack(cases.empty(spark)).count() == 0
 
 
+def test_added_tokens_get_their_ids(spark, tmp_path):
+    ref = tokenizers.Tokenizer.from_file(tokens.default_path())
+    enc = tokens.encoder(tokens.default_path(), added=True)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " a  <|endoftext|> b\n", "<|endoftext|><|endoftext|>é", "<|endoftext", "a b", "it's \n 漢"]
+    want = [ref.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and [enc.encode(t).tolist() for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def crc(ids, end):
+        return zlib.crc32(np.array([*ids, end], "<u4").tobytes())
+
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in op10.pack(df).collect()} == {i: (len(x) + 1, crc(x, 1)) for i, x in enumerate(want)}
+    op4.write(df, f"file://{tmp_path}/ids")
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op4.read(spark, f"file://{tmp_path}/ids").collect()} == {i: (len(x) + 1, crc(x, 2)) for i, x in enumerate(want)}
+
+
 def test_automaton():
     r = random.Random(2)
     for _ in range(150):
