@@ -55,7 +55,7 @@ g AS (SELECT subject, CASE WHEN (subject - 1) % 12 < 6 THEN 0 ELSE 1 END AS grp
 s AS (SELECT src, dst, coalesce(sum(w) FILTER (WHERE grp = 0), 0) AS s0, coalesce(sum(w) FILTER (WHERE grp = 1), 0) AS s1, coalesce(sum(w * w) FILTER (WHERE grp = 0), 0) AS q0, coalesce(sum(w * w) FILTER (WHERE grp = 1), 0) AS q1 FROM m JOIN g USING (subject) GROUP BY 1, 2)
 SELECT src, dst, round(abs((s0 / n0 - s1 / n1) / (sqrt((q0 - s0 * s0 / n0 + q1 - s1 * s1 / n1) / (n0 + n1 - 2)) * sqrt(1 / n0 + 1 / n1))), 9) AS t FROM s, c"""
 register("nbs_edge_t", lambda s, d: r9(N.edge_t(_subjects(s, d), _groups(s, d), []), "t"), with_("lines", _T))
-register("nbs", lambda s, d: N.nbs(_subjects(s, d), _groups(s, d), 1.5, 20).select("edges", "p"))
+register("nbs", lambda s, d: N.nbs(_subjects(s, d), _groups(s, d), 1.5).select("edges", "p"))
 
 register("louvain", lambda s, d: M.louvain(G.partners(s, d), G.nations(s, d)))
 register("label_propagation", lambda s, d: M.label_propagation(G.partners(s, d), G.nations(s, d)))

@@ -176,8 +176,8 @@ def simrank(edges: DataFrame, nodes: DataFrame, r: float = 0.9, eps: float = 1e-
         gap = new.join(s.withColumnRenamed("s", "old"), ["a", "b"], "full").agg(F.max(F.abs(F.coalesce("s", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         s = new
         if gap < eps:
-            break
-    return s
+            return s
+    raise RuntimeError("no fixpoint of the similarities within max_steps")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, d: float, teleport: DataFrame | None = None, eps: float = 1e-13, max_steps: int = 500) -> DataFrame:

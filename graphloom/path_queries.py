@@ -75,7 +75,7 @@ register("score_wu", lambda s, d: R.core(G.partners(s, d), G.nations(s, d), 800,
 register("coreness_bu", lambda s, d: R.coreness(G.partners(s, d), G.nations(s, d)))
 register("weighted_distances", lambda s, d: r9(R.weighted_distances(X.invert(G.top_trade(s, d)), G.nations(s, d)).select("src", "dst", "d"), "d"), with_("top node", """, p AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d, [node] AS p FROM node UNION ALL SELECT p.src, t.dst, d + 1 / w, list_append(p, t.dst) FROM p JOIN top t ON t.src = p.dst WHERE NOT list_contains(p, t.dst) AND len(p) < 8)
 SELECT src, dst, round(min(d), 9) AS d FROM p GROUP BY 1, 2""", True))
-register("simrank", lambda s, d: r9(R.simrank(G.partners(s, d), G.nations(s, d), max_steps=3), "s"))
+register("simrank", lambda s, d: r9(R.simrank(G.partners(s, d), G.nations(s, d)), "s"))
 register("pagerank", lambda s, d: r9(R.pagerank(G.top_trade(s, d), G.nations(s, d), 0.5, eps=1e-11), "r"), with_("top node", """, c AS (SELECT dst, sum(w) AS s FROM top GROUP BY 1), l AS (SELECT t.src, t.dst, w / s AS p FROM top t JOIN c USING (dst)), x0 AS (SELECT node, 1 / 25 AS r FROM node)""" + "".join(f", x{i + 1} AS MATERIALIZED (SELECT node, 0.5 * coalesce((SELECT sum(p * r) FROM l JOIN x{i} z ON z.node = l.dst WHERE l.src = n.node), 0) + 0.02 AS r FROM node n)" for i in range(36)) + "\nSELECT node, round(r / (SELECT sum(r) FROM x36), 9) AS r FROM x36"))
 register("eigenvector", lambda s, d: R.eigenvector(X.normalize(G.partners(s, d)), G.nations(s, d), 1e-7).select("node", F.round("v", 5).alias("v")))
 register("betweenness_bin", lambda s, d: r9(R.betweenness(G.partners(s, d), G.nations(s, d))[0], "b"), _sql("und node", "und", """, sp AS (SELECT src, dst, 1 AS d, 1::DOUBLE AS n FROM und), c1 AS (SELECT node AS src, node AS dst, 0 AS d, 1::DOUBLE AS n FROM node)""" + "".join(f", c{i + 1} AS MATERIALIZED (SELECT c.src, e.dst, {i} AS d, sum(n) AS n FROM c{i} c JOIN und e ON e.src = c.dst JOIN dist x ON x.src = c.src AND x.dst = e.dst AND x.d = {i} GROUP BY 1, 2)" for i in range(1, 7)) + """, sg AS (""" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(1, 8)) + """)

@@ -133,3 +133,21 @@ def test_network_statistic(spark):
     groups = spark.createDataFrame([(i, int(i >= 8)) for i in range(16)], "subject bigint, grp int")
     got = N.nbs(cells, groups, 3.0, 20).collect()
     assert [r.edges for r in got] == [2] and got[0].p <= 0.1
+
+
+def test_similarity_reaches_its_fixpoint(spark, sf_dir):
+    from graphloom import path_queries  # noqa: F401  (registers)
+    from graphloom.catalog import queries
+    from graphloom.plans import graphs as G
+
+    e, n = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3)])
+    with pytest.raises(RuntimeError):
+        R.simrank(e, n, max_steps=3)
+    s = {(x.a, x.b): x.s for x in queries()["simrank"](spark, sf_dir).collect()}
+    near: dict[int, list[int]] = {}
+    for x in G.partners(spark, sf_dir).where("src <> dst").collect():
+        near.setdefault(x.src, []).append(x.dst)
+    for a in near:
+        for b in near:
+            want = 1 if a == b else 0.9 * sum(s.get((x, y), 0) for x in near[a] for y in near[b]) / (len(near[a]) * len(near[b]))
+            assert abs(s.get((a, b), 0) - want) < 1e-4
