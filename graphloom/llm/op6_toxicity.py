@@ -174,6 +174,7 @@ class Network:
         return self._best(raw, at)[0]
 
     def _best(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest logit of each row, and the logits of all windows."""
         index, words_at, bucket, grams, grams_at = features(raw, at)
         row, first, n = windows(words_at)
         vectors = np.concatenate([self.inputs(bucket, grams, grams_at), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
@@ -200,11 +201,15 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 10, seed: int = 7) -> N
     index, words_at, bucket, grams, grams_at = features(raw, at)
     row, first, n = windows(words_at)
     # first coordinates start as shrunken log odds of words and n-grams over documents
-    doc = np.repeat(np.arange(len(y)), np.diff(words_at))
-    for name, of, rows in (("words", np.stack([doc, bucket[index]]), WORD_ROWS), ("chars", np.stack([np.repeat(doc, np.diff(grams_at)[index]), _spread(grams, grams_at, index)]), CHAR_ROWS)):
-        pair = np.unique(of[0] * rows + of[1])
-        d, b = pair // rows, pair % rows
-        pos, neg = np.bincount(b[y[d] > 0], minlength=rows), np.bincount(b[y[d] == 0], minlength=rows)
+    seen = {name: np.zeros((2, rows), np.int64) for name, rows in (("words", WORD_ROWS), ("chars", CHAR_ROWS))}
+    for a, b in _document_runs(words_at):
+        doc, word = np.divmod(np.unique(np.repeat(np.arange(a, b), np.diff(words_at[a : b + 1])) * len(bucket) + index[words_at[a] : words_at[b]]), max(len(bucket), 1))
+        grams_of = np.repeat(doc, np.diff(grams_at)[word])
+        for name, of, key in (("words", doc, bucket[word]), ("chars", grams_of, _spread(grams, grams_at, word))):
+            of, key = np.divmod(np.unique(of * seen[name].shape[1] + key), seen[name].shape[1])
+            for toxic in (0, 1):
+                seen[name][toxic] += np.bincount(key[y[of] == toxic], minlength=seen[name].shape[1])
+    for name, (neg, pos) in seen.items():
         odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
         net.p[name][:, 0] = np.clip(odds * (pos + neg) / (pos + neg + 4), -1, 4)
     prior = net.p["words"][bucket, 0] + np.add.reduceat(net.p["chars"][grams, 0], grams_at[:-1]) / np.diff(grams_at) if len(bucket) else np.zeros(0)
@@ -242,6 +247,15 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 10, seed: int = 7) -> N
     return net
 
 
+def _document_runs(words_at: np.ndarray, most: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Runs of documents with about ``most`` words, one document at least."""
+    at, n = 0, len(words_at) - 1
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(words_at, words_at[at] + most, "right")) - 1))
+        yield at, to
+        at = to
+
+
 def _spread(grams: np.ndarray, grams_at: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The n-grams of the chosen words, end to end."""
     size = np.diff(grams_at)[which]
