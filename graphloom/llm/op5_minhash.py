@@ -1,17 +1,18 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
-Documents with equal shingle sets are one node.  A node's signature has one
-minimum for each coordinate; every (coordinate, value) of the first ``POSTED`` is a
-posting key.  Two sets of similarity 0.8 agree in ``MATCH`` of those places or more but
-for about one pair in ten million, so a pair must meet in one of a node's rarest
-``POSTED - MATCH + 1`` keys (prefix filter; the frequent keys are skipped).  For
-candidates all ``COORDINATES`` places are counted.
-
-Small posting lists give their pairs.  A long list is first tied to three leaders, one
+Documents with equal shingle sets are one node.  A node's signature has one minimum
+for each coordinate, and every coordinate-value pair is a posting key.  Two sets of
+similarity 0.8 collide in ``MATCH`` of the ``COORDINATES`` keys or more but for about
+one pair in a million, so that a pair must meet in one of both nodes' rarest
+``COORDINATES - MATCH + 1`` keys: the prefix filter, which skips the lists of frequent
+keys as long as a node has enough others.
+
+Short posting lists give their pairs.  A long list is first tied to three leaders, one
 of them the member whose keys are the most frequent, that is nearest to what the
 list has in common.  If its members are then in one component, nothing is left to
-find.  Else members of different components are compared block by block, on
-their full shingle sets, and a pair of blocks gives one link for any two components.
+find.  Else its members are dealt into blocks, and pairs of blocks count the collisions
+of members of different components, each pair only in the first list that it shares.
+Full sets are compared for pairs at the match threshold; texts come in only there.
 
 All links are confirmed on the full shingle sets; components are contracted by
 Spark joins.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +41,11 @@ from .op1_suffix_dedup import _packed
 #: Words of `[^\x20\x09-\x0D]+`.
 WORD = ~C.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 #: Of similar sets, 38 of 48 places agree on average, with a deviation of 2.8.
-COORDINATES, LEAST_MATCH = 48, 25
-POSTED, MATCH = 24, 8
-#: Posting lists up to this length give all their pairs; longer ones go by components.
+COORDINATES, MATCH = 48, 25
+#: Posting lists up to this length give all their pairs; longer ones go by leaders and blocks.
 SMALL = 12
 BLOCK = 128
+MEMBERS = ["rid", "comp", "n", "sig", "earlier"]
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,34 +111,69 @@ def _sets(packed: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), k)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Compare two blocks of full sets; one link for any two components that have any."""
+def _shared(sets: list[tuple[np.ndarray, np.ndarray]], rows: list[int]) -> np.ndarray:
+    """How many values each row of one table has in common with each row of another; sets: (row, value), distinct."""
+    shared = np.intersect1d(sets[0][1], sets[1][1])
+    both = np.zeros(rows, np.float32)
+    for at in range(0, len(shared), 1 << 15):
+        some = shared[at : at + (1 << 15)]
+        has = []
+        for (r, h), n in zip(sets, rows, strict=True):
+            where = np.minimum(np.searchsorted(some, h), len(some) - 1)
+            ok = some[where] == h
+            matrix = np.zeros((n, len(some)), np.float32)
+            matrix[r[ok], where[ok]] = 1
+            has.append(matrix)
+        both += has[0] @ has[1].T
+    return both
+
+
+def _collisions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks' members that collide often enough, as far as this is the first list they share."""
     for batch in batches:
         for i in range(batch.num_rows):
             sides = [batch[c][i].values for c in ("one", "two")]
-            comps = [x.field("comp").to_numpy() for x in sides]
-            if len(np.unique(np.concatenate(comps))) == 1:
+            rid, comp, n = ([x.field(f).to_numpy() for x in sides] for f in ("rid", "comp", "n"))
+            low, high = np.minimum(n[0][:, None], n[1]), np.maximum(n[0][:, None], n[1])
+            ok = (comp[0][:, None] != comp[1]) & (low * 100 >= high * percent)
+            if not ok.any():
                 continue
-            sets = [_sets(x.field("packed").to_pylist(), k) for x in sides]
-            size = [np.bincount(r, minlength=len(x)) for (r, _), x in zip(sets, sides, strict=True)]
-            shared = np.intersect1d(sets[0][1], sets[1][1])
-            both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
-            for at in range(0, len(shared), 1 << 15):
-                some = shared[at : at + (1 << 15)]
-                has = []
-                for (r, h), x in zip(sets, sides, strict=True):
-                    where = np.minimum(np.searchsorted(some, h), len(some) - 1)
-                    ok = some[where] == h
-                    matrix = np.zeros((len(x), len(some)), np.float32)
-                    matrix[r[ok], where[ok]] = 1
-                    has.append(matrix)
-                both += has[0] @ has[1].T
-            ok = (comps[0][:, None] != comps[1]) & (100 * both >= percent * (size[0][:, None] + size[1] - both))
+            signs = [x.field("sig").flatten().to_numpy().reshape(-1, COORDINATES) for x in sides]
+            count = np.zeros(ok.shape, np.int16)
+            for c in range(COORDINATES):
+                count += signs[0][:, c, None] == signs[1][:, c]
+            ok &= count >= MATCH
+            if not ok.any():
+                continue
+            before = [(np.repeat(np.arange(len(x)), pc.list_value_length(x.field("earlier")).to_numpy()), x.field("earlier").flatten().to_numpy()) for x in sides]
+            ok &= _shared(before, [len(x) for x in sides]) == 0
             x, y = np.nonzero(ok)
             if len(x):
-                _, first = np.unique(np.stack([comps[0][x], comps[1][y]]), axis=1, return_index=True)
-                rids = [side.field("rid").to_numpy() for side in sides]
-                yield pa.RecordBatch.from_arrays([pa.array(rids[0][x[first]]), pa.array(rids[1][y[first]])], names=["a", "b"])
+                cols = [np.repeat(batch["id"][i].as_py(), len(x)), rid[0][x], rid[1][y], comp[0][x], comp[1][y]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "a", "b", "comp_a", "comp_b"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of two blocks, those whose full sets are similar; one link for any two components."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            pairs, texts = batch["pairs"][i].values, batch["texts"][i].values
+            row, h = _sets(texts.field("packed").to_pylist(), k)
+            place = {r: j for j, r in enumerate(texts.field("rid").to_pylist())}
+            ends = [np.array([place[r] for r in pairs.field(c).to_pylist()]) for c in "ab"]
+            size = np.bincount(row, minlength=len(place))
+            sides = [np.unique(x) for x in ends]
+            sets = []
+            for own in sides:
+                to = np.full(len(place), -1)
+                to[own] = np.arange(len(own))
+                sets.append((to[row][to[row] >= 0], h[to[row] >= 0]))
+            both = _shared(sets, [len(x) for x in sides])[np.searchsorted(sides[0], ends[0]), np.searchsorted(sides[1], ends[1])]
+            found = np.flatnonzero(100 * both >= percent * (size[ends[0]] + size[ends[1]] - both))
+            if len(found):
+                comps = np.stack([pairs.field(c).to_numpy()[found] for c in ("comp_a", "comp_b")])
+                found = found[np.unique(comps, axis=1, return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pairs.field(c).take(pa.array(found)) for c in "ab"], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -165,19 +202,21 @@ class NearDuplicates:
         self.signed = C.stored(slim.mapInArrow(lambda it: _signatures(it, k, COORDINATES), schema), "signed")
         self.sets = C.stored(self.signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("node")), "sets")
         self.nodes = C.stored(self.sets.select(F.col("node").alias("rid")).join(self.signed.select("rid", "n", "sig"), "rid"), "nodes")
-        self.links = self._links()
+        self.comp = self._components()
 
-    def _postings(self) -> DataFrame:
-        """key, rid, n, score of the keys in each node's prefix, least frequent first; the score is the sum of frequencies."""
-        keys = self.nodes.select("rid", "n", F.explode(F.slice("sig", 1, POSTED)).alias("key"))
+    def _prefixes(self) -> DataFrame:
+        """rid, n, score, keys: the keys of a node's prefix, least frequent first; the score is the sum of frequencies."""
+        keys = self.nodes.select("rid", "n", F.explode("sig").alias("key"))
         often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         of = keys.join(often, "key").groupBy("rid", "n").agg(F.sum("c").alias("score"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
         # keys of one node alone come first in the order; they use up the prefix but lead nowhere
         prefix = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - (MATCH - 1)))
-        return C.stored(of.select("rid", "n", "score", F.explode(prefix).alias("x")).select(F.col("x.key").alias("key"), "rid", "n", "score"), "postings")
+        return C.stored(of.select("rid", "n", "score", F.transform(prefix, lambda x: x["key"]).alias("keys")).where(F.size("keys") > 0), "prefixes")
 
-    def _links(self) -> DataFrame:
-        postings = self._postings()
+    def _components(self) -> DataFrame:
+        """node, comp of all nodes with a link."""
+        prefixes = self._prefixes()
+        postings = prefixes.select("rid", "n", "score", F.explode("keys").alias("key"))
         leaders = [F.max_by("rid", F.struct("score", "rid")), F.min("rid"), F.min_by("rid", F.xxhash64("rid"))]
         size = C.stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[x.alias(f"l{i}") for i, x in enumerate(leaders)]).where("m > 1"), "keys")
         near_keys = postings.join(size.select("key"), "key", "left_semi").select("rid").distinct()
@@ -190,41 +229,57 @@ class NearDuplicates:
         tied = postings.join(big, "key").select(F.col("rid"), F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("l")).where("rid <> l")
         tied = tied.select(F.least("rid", "l").alias("a"), F.greatest("rid", "l").alias("b"))
         links = self._confirmed(small.unionByName(tied).distinct())
+        comp = connected_components(links, "a", "b")
         if big.isEmpty():
-            return links
-        # long lists with members in several components
-        comp = connected_components(links, "a", "b").withColumnRenamed("node", "rid")
-        long = postings.join(big.select("key"), "key").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        long = C.stored(long.select("key", "rid", "comp"), "long")
+            return comp
+        comp = C.stored(comp, "comp")
+        more = self._blocks(prefixes, big.select("key"), comp)
+        if more is None:
+            return comp
+        # components that the long lists tie together
+        of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        ties = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+        joined = C.stored(connected_components(ties, "a", "b"), "joined").withColumnRenamed("comp", "to")
+        nodes = comp.unionByName(joined.select("node", F.col("node").alias("comp")).join(comp, "node", "left_anti"))
+        return nodes.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+    def _blocks(self, prefixes: DataFrame, big: DataFrame, comp: DataFrame) -> DataFrame | None:
+        """Links (a, b) between the components of members of long lists; None if no list has several."""
+        postings = prefixes.select("rid", "n", "keys", F.explode("keys").alias("key")).join(big, "key")
+        postings = postings.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        long = C.stored(postings.select("key", "rid", "n", "comp", F.slice("keys", F.lit(1), (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")), "long")
         of = long.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
         open_ = of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m")).where("comps > 1")
-        if open_.isEmpty():
-            return links
-        cells = long.join(of, ["key", "comp"]).join(open_.select("key", "m"), "key")
-        cells = cells.withColumn("cell", F.when(F.col("c") >= BLOCK // 2, F.col("comp")).otherwise(F.lit(-1)))
+        of = C.stored(of.join(open_.select("key", "m"), "key"), "open")
+        if of.isEmpty():
+            return None
+        # a large component is a cell of its own: its members are not compared with each other
+        cells = long.join(of, ["key", "comp"]).withColumn("cell", F.when(F.col("c") >= BLOCK // 2, F.col("comp")).otherwise(F.lit(-1)))
         spread = F.ceil(F.when(F.col("cell") >= 0, F.col("c")).otherwise(F.col("m")) / BLOCK)
-        cells = cells.withColumn("block", F.pmod(F.xxhash64("rid"), spread)).join(self.texts, "rid")
-        blocks = C.stored(cells.groupBy("key", "cell", "block").agg(F.collect_list(F.struct("rid", "comp", "packed")).alias("members")), "blocks")
-        two = blocks.select("key", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("members").alias("two"))
+        cells = cells.withColumn("block", F.pmod(F.xxhash64("rid"), spread)).join(self.nodes.select("rid", "sig"), "rid")
+        blocks = C.stored(cells.groupBy("key", "cell", "block").agg(F.collect_list(F.struct(*MEMBERS)).alias("one")), "blocks")
+        two = blocks.select("key", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("one").alias("two"))
         different = (F.col("cell") < F.col("cell2")) | ((F.col("cell") == -1) & (F.col("cell2") == -1) & (F.col("block") <= F.col("block2")))
-        pairs = blocks.withColumnRenamed("members", "one").join(two, "key").where(different).select("one", "two")
-        more = pairs.mapInArrow(lambda it, k=self.k, p=self.percent: _blocks(it, k, p), "a bigint, b bigint")
-        return links.unionByName(C.stored(more.distinct(), "more"))
+        met = blocks.join(two, "key").where(different).select(F.xxhash64("key", "cell", "block", "cell2", "block2").alias("id"), "one", "two")
+        pairs = C.stored(met.mapInArrow(lambda it, p=self.percent: _collisions(it, p), "id bigint, a bigint, b bigint, comp_a bigint, comp_b bigint"), "collisions")
+        own = pairs.select("id", F.col("a").alias("rid")).unionByName(pairs.select("id", F.col("b").alias("rid"))).distinct()
+        texts = own.join(self.texts, "rid").groupBy("id").agg(F.collect_list(F.struct("rid", "packed")).alias("texts"))
+        whole = pairs.groupBy("id").agg(F.collect_list(F.struct("a", "b", "comp_a", "comp_b")).alias("pairs")).join(texts, "id")
+        return C.stored(whole.mapInArrow(lambda it, k=self.k, p=self.percent: _compare(it, k, p), "a bigint, b bigint").distinct(), "more")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those over the match threshold whose full sets are similar."""
         sig = lambda c: self.nodes.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
         pairs = pairs.join(sig("a"), "a").join(sig("b"), "b").where(_similar("n_a", "n_b", self.percent))
         agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        pairs = C.stored(pairs.where(agree >= LEAST_MATCH).select("a", "b"), "pairs")
+        pairs = C.stored(pairs.where(agree >= MATCH).select("a", "b"), "pairs")
         text = lambda c: self.texts.select(F.col("rid").alias(c), F.col("packed").alias(f"text_{c}"))
         full = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
         return C.stored(full.mapInArrow(lambda it, k=self.k, p=self.percent: _confirm(it, k, p), "a bigint, b bigint"), "links")
 
     def components(self) -> DataFrame:
         """rid, doc_id, n_shingles, component_id (least doc_id of the component), first (least rid with that doc_id)."""
-        comp = connected_components(self.links, "a", "b")
-        of = self.sets.join(comp, "node", "left").select("d1", "d2", "n", F.coalesce("comp", "node").alias("comp"))
+        of = self.sets.join(self.comp, "node", "left").select("d1", "d2", "n", F.coalesce("comp", "node").alias("comp"))
         rows = C.stored(self.signed.select("rid", "doc_id", "n", "d1", "d2").join(of, ["d1", "d2", "n"], "left").select("rid", "doc_id", "n", F.coalesce("comp", -1 - F.col("rid")).alias("comp")), "members")
         least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         first = rows.join(least.withColumnRenamed("component_id", "least"), "comp").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("comp").agg(F.min("rid").alias("first"))
