@@ -10,9 +10,10 @@ keys as long as a node has enough others.
 Short posting lists give their pairs.  A long list is first tied to three leaders, one
 of them the member whose keys are the most frequent, that is nearest to what the
 list has in common.  If its members are then in one component, nothing is left to
-find.  Else its members are dealt into blocks, and pairs of blocks count the collisions
-of members of different components, each pair only in the first list that it shares.
-Full sets are compared for pairs at the match threshold; texts come in only there.
+find.  Else its members are dealt into blocks of bounded size, and pairs of blocks count
+the collisions of members of different components, each pair only in the first list
+that it shares.  Full sets are compared for pairs at the match threshold, where they
+stand: only links leave the task.
 
 All links are confirmed on the full shingle sets; components are contracted by
 Spark joins.
@@ -44,8 +45,9 @@ WORD = ~C.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 COORDINATES, MATCH = 48, 25
 #: Posting lists up to this length give all their pairs; longer ones go by leaders and blocks.
 SMALL = 12
-BLOCK = 128
-MEMBERS = ["rid", "comp", "n", "sig", "earlier"]
+#: Members of a block, and its shingles, about.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20
+MEMBERS = ["rid", "comp", "n", "sig", "earlier", "packed"]
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +130,17 @@ def _shared(sets: list[tuple[np.ndarray, np.ndarray]], rows: list[int]) -> np.nd
     return both
 
 
-def _collisions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks' members that collide often enough, as far as this is the first list they share."""
+def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks: one for any two components that have any.
+
+    Collisions are counted for members of different components, and pairs taken up
+    only in the first list that they share; of those at the match threshold the full
+    sets are compared, all at once.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             sides = [batch[c][i].values for c in ("one", "two")]
-            rid, comp, n = ([x.field(f).to_numpy() for x in sides] for f in ("rid", "comp", "n"))
+            comp, n = ([x.field(f).to_numpy() for x in sides] for f in ("comp", "n"))
             low, high = np.minimum(n[0][:, None], n[1]), np.maximum(n[0][:, None], n[1])
             ok = (comp[0][:, None] != comp[1]) & (low * 100 >= high * percent)
             if not ok.any():
@@ -147,33 +154,18 @@ def _collisions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                 continue
             before = [(np.repeat(np.arange(len(x)), pc.list_value_length(x.field("earlier")).to_numpy()), x.field("earlier").flatten().to_numpy()) for x in sides]
             ok &= _shared(before, [len(x) for x in sides]) == 0
-            x, y = np.nonzero(ok)
+            own = [np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))]
+            if not len(own[0]):
+                continue
+            sets = [_sets(x.field("packed").take(pa.array(y)).to_pylist(), k) for x, y in zip(sides, own, strict=True)]
+            both = _shared(sets, [len(x) for x in own])
+            size = [np.bincount(r, minlength=len(x)) for (r, _), x in zip(sets, own, strict=True)]
+            x, y = np.nonzero(ok[np.ix_(*own)] & (100 * both >= percent * (size[0][:, None] + size[1] - both)))
             if len(x):
-                cols = [np.repeat(batch["id"][i].as_py(), len(x)), rid[0][x], rid[1][y], comp[0][x], comp[1][y]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "a", "b", "comp_a", "comp_b"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of the pairs of two blocks, those whose full sets are similar; one link for any two components."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            pairs, texts = batch["pairs"][i].values, batch["texts"][i].values
-            row, h = _sets(texts.field("packed").to_pylist(), k)
-            place = {r: j for j, r in enumerate(texts.field("rid").to_pylist())}
-            ends = [np.array([place[r] for r in pairs.field(c).to_pylist()]) for c in "ab"]
-            size = np.bincount(row, minlength=len(place))
-            sides = [np.unique(x) for x in ends]
-            sets = []
-            for own in sides:
-                to = np.full(len(place), -1)
-                to[own] = np.arange(len(own))
-                sets.append((to[row][to[row] >= 0], h[to[row] >= 0]))
-            both = _shared(sets, [len(x) for x in sides])[np.searchsorted(sides[0], ends[0]), np.searchsorted(sides[1], ends[1])]
-            found = np.flatnonzero(100 * both >= percent * (size[ends[0]] + size[ends[1]] - both))
-            if len(found):
-                comps = np.stack([pairs.field(c).to_numpy()[found] for c in ("comp_a", "comp_b")])
-                found = found[np.unique(comps, axis=1, return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pairs.field(c).take(pa.array(found)) for c in "ab"], names=["a", "b"])
+                x, y = own[0][x], own[1][y]
+                _, first = np.unique(np.stack([comp[0][x], comp[1][y]]), axis=1, return_index=True)
+                rids = [side.field("rid").to_numpy() for side in sides]
+                yield pa.RecordBatch.from_arrays([pa.array(rids[0][x[first]]), pa.array(rids[1][y[first]])], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -248,24 +240,21 @@ class NearDuplicates:
         postings = prefixes.select("rid", "n", "keys", F.explode("keys").alias("key")).join(big, "key")
         postings = postings.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         long = C.stored(postings.select("key", "rid", "n", "comp", F.slice("keys", F.lit(1), (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")), "long")
-        of = long.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        open_ = of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m")).where("comps > 1")
-        of = C.stored(of.join(open_.select("key", "m"), "key"), "open")
+        of = long.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        open_ = of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.sum("s").alias("ms")).where("comps > 1")
+        of = C.stored(of.join(open_.select("key", "m", "ms"), "key"), "open")
         if of.isEmpty():
             return None
         # a large component is a cell of its own: its members are not compared with each other
         cells = long.join(of, ["key", "comp"]).withColumn("cell", F.when(F.col("c") >= BLOCK // 2, F.col("comp")).otherwise(F.lit(-1)))
-        spread = F.ceil(F.when(F.col("cell") >= 0, F.col("c")).otherwise(F.col("m")) / BLOCK)
-        cells = cells.withColumn("block", F.pmod(F.xxhash64("rid"), spread)).join(self.nodes.select("rid", "sig"), "rid")
+        by = lambda c, s: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(s) / BLOCK_SHINGLES))
+        spread = F.when(F.col("cell") >= 0, by("c", "s")).otherwise(by("m", "ms"))
+        cells = cells.withColumn("block", F.pmod(F.xxhash64("rid"), spread)).join(self.nodes.select("rid", "sig"), "rid").join(self.texts, "rid")
         blocks = C.stored(cells.groupBy("key", "cell", "block").agg(F.collect_list(F.struct(*MEMBERS)).alias("one")), "blocks")
         two = blocks.select("key", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("one").alias("two"))
         different = (F.col("cell") < F.col("cell2")) | ((F.col("cell") == -1) & (F.col("cell2") == -1) & (F.col("block") <= F.col("block2")))
-        met = blocks.join(two, "key").where(different).select(F.xxhash64("key", "cell", "block", "cell2", "block2").alias("id"), "one", "two")
-        pairs = C.stored(met.mapInArrow(lambda it, p=self.percent: _collisions(it, p), "id bigint, a bigint, b bigint, comp_a bigint, comp_b bigint"), "collisions")
-        own = pairs.select("id", F.col("a").alias("rid")).unionByName(pairs.select("id", F.col("b").alias("rid"))).distinct()
-        texts = own.join(self.texts, "rid").groupBy("id").agg(F.collect_list(F.struct("rid", "packed")).alias("texts"))
-        whole = pairs.groupBy("id").agg(F.collect_list(F.struct("a", "b", "comp_a", "comp_b")).alias("pairs")).join(texts, "id")
-        return C.stored(whole.mapInArrow(lambda it, k=self.k, p=self.percent: _compare(it, k, p), "a bigint, b bigint").distinct(), "more")
+        met = blocks.join(two, "key").where(different).select("one", "two")
+        return C.stored(met.mapInArrow(lambda it, k=self.k, p=self.percent: _compare(it, k, p), "a bigint, b bigint").distinct(), "more")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those over the match threshold whose full sets are similar."""
