@@ -49,6 +49,8 @@ CONTEXTS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a b
 BUCKETS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bigint, ranges array<struct<s:bigint,e:bigint>>, bucket int, windows array<struct<d:bigint,h:bigint,hit:boolean>>, probes array<bigint>"
 #: Bytes that are no white space, and the bytes that stand for a word where passages are counted in words.
 WORD, SYMBOL = ~C.byte_class([(9, 13), (32, 32)]), 8
+#: Words of a repeated passage: over 50.
+PASSAGE = 51
 #: Steps of the text before a suffix at which groups over several buckets are compared.
 PROBE = 24
 BYTES = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -373,10 +375,25 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, wor
     return out.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+def passage_words(docs: DataFrame, words: int = PASSAGE, lead: int = LEAD) -> DataFrame:
+    """rid and n_passage_words: how many words of a text stand in passages of ``words`` words or more that start anywhere else too.
+
+    docs: rid (unique), text; texts without such passages give no row.
+    """
+    spans = repeated_passages(docs, words, lead).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
+    add = lambda x, r: F.struct((x["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(r["s"], x["end"]))).alias("n"), F.greatest(x["end"], r["e"]).alias("end"))
+    return spans.select("rid", F.aggregate("spans", start, add)["n"].alias("n_passage_words"))
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Contract digest of ``remove_repeats`` over all documents."""
-    out = remove_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+    """Contract digest of ``remove_repeats`` over all documents, and the words that stand in repeated passages of over 50 words."""
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = remove_repeats(docs, keep=False)
+    # a table scan has the same row numbers each time
+    words = passage_words(C.numbered(docs).select("rid", "text"))
+    out = out.join(words, "rid", "left")
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words"))
 
 
 #: SQL has no substring index; brute force over all 400-byte strings stands in.

@@ -87,6 +87,24 @@ def test_passages_are_counted_in_words(spark):
     assert got == dict(enumerate(brute_passages(texts, 51)))
 
 
+def test_words_in_passages(spark):
+    r = random.Random(9)
+
+    def some(n):
+        return ["".join(r.choice("abcde") for _ in range(r.randint(1, 6))) for _ in range(n)]
+
+    a, b, c = some(51), some(50), some(80)
+    texts = [some(60) + a + some(40), a + some(9) + c, b + some(70), some(20) + b, c[10:] + some(3) + c[:70] + some(2) + c[20:75], [], some(4)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(99, None)], "rid bigint, text string")
+    count = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    want = {}
+    for j, t in enumerate(texts):
+        hit = {k for i in range(len(t) - 50) if count[tuple(t[i : i + 51])] > 1 for k in range(i, i + 51)}
+        if hit:
+            want[j] = len(hit)
+    assert {x.rid: x.n_passage_words for x in op1.passage_words(df).collect()} == want and len(want) == 3
+
+
 def test_repeats_keep_columns_and_characters(spark):
     rows, df = cases.documents(spark)
     out = op1.dedup_documents(df, 41, 16)
