@@ -51,8 +51,8 @@ BUCKETS = "core bigint, c1 bigint, c2 bigint, dlo int, dhi int, rid bigint, a bi
 WORD, SYMBOL = ~C.byte_class([(9, 13), (32, 32)]), 8
 #: Words of a repeated passage: over 50.
 PASSAGE = 51
-#: Steps of the text before a suffix at which groups over several buckets are compared.
-PROBE = 24
+#: Bytes, and words of a passage, from one place before a suffix to the next at which groups over several buckets are compared.
+PROBE, PROBE_WORDS = 24, 12
 BYTES = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
@@ -177,8 +177,11 @@ def _words(strings: list[bytes], length: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width * 8, b"\0") for x in strings), ">u8").reshape(-1, width).astype(np.uint64)
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterator[pa.RecordBatch]:
-    """Sort one bucket's suffixes; compare the windows of suffixes that share their leading bytes."""
+def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int, step_: int, probe: int) -> Iterator[pa.RecordBatch]:
+    """Sort one bucket's suffixes; compare the windows of suffixes that share their leading bytes.
+
+    Other buckets are told of windows that start at a multiple of ``step_``.
+    """
     parts, bucket = list(batches), TaskContext.get().partitionId()
     if not parts:
         return
@@ -231,9 +234,9 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterat
             own_windows = slice(ends[k] - n[k], ends[k])
             hit = twice[own_windows]
             # of equal windows, one tells the other buckets
-            tell = [{"d": x, "h": y, "hit": z} for x, y, z, w in zip(d[own_windows].tolist(), h[own_windows].view(np.int64).tolist(), hit.tolist(), again[own_windows].tolist(), strict=True) if not w] if edge[k] else None
+            tell = [{"d": x, "h": y, "hit": z} for x, y, z, w in zip(d[own_windows].tolist(), h[own_windows].view(np.int64).tolist(), hit.tolist(), again[own_windows].tolist(), strict=True) if not w and (head[6][i] - x) % step_ == 0] if edge[k] else None
             if tell or hit.any():
-                probes = [int.from_bytes(hashlib.blake2b(before[i][-p:], digest_size=8).digest(), "little", signed=True) for p in range(PROBE, head[3][i] + 1, PROBE)] if tell else None
+                probes = [int.from_bytes(hashlib.blake2b(before[i][-p:], digest_size=8).digest(), "little", signed=True) for p in range(probe, head[3][i] + 1, probe)] if tell else None
                 out.append((*[c[i] for c in head], runs(hit), bucket, tell, probes))
         if out:
             yield _batch(out, BUCKETS)
@@ -271,7 +274,7 @@ def repeated_passages(docs: DataFrame, words: int, lead: int = LEAD) -> DataFram
     length = SYMBOL * words - 2
     coded = docs.mapInArrow(_word_codes, "rid bigint, text binary")
     first, last = F.ceil(F.col("s") / SYMBOL).cast("bigint"), F.floor((F.col("e") - length) / SYMBOL).cast("bigint")
-    return repeated_spans(coded, length, lead).select("rid", first.alias("s"), (last + words).alias("e")).where(F.col("e") - F.col("s") >= words)
+    return repeated_spans(coded, length, lead, SYMBOL).select("rid", first.alias("s"), (last + words).alias("e")).where(F.col("e") - F.col("s") >= words)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: bool, whole: bool, words: bool, schema: list[str]) -> Iterator[pa.RecordBatch]:
@@ -318,9 +321,12 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(squeeze, "rid bigint, packed binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
-    """rid and the byte runs (s, e) that repeated strings cover.  docs: rid (unique), text."""
-    spark = docs.sparkSession
+def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, step: int = 1) -> DataFrame:
+    """rid and the byte runs (s, e) that repeated strings cover.  docs: rid (unique), text.
+
+    step: only strings that start at its multiples need be found.
+    """
+    spark, probe = docs.sparkSession, PROBE if step == 1 else PROBE_WORDS * step
     parts = C.shuffle_parts(spark)
     anchors = C.stored(docs.mapInArrow(lambda it: _anchors(it, length, lead), ANCHORS), "anchors")
     key = ["core", "c1", "c2", "dlo", "dhi"]
@@ -332,7 +338,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     texts = C.stored(_packed(docs).join(want, "rid").mapInArrow(lambda it: _contexts(it, length), CONTEXTS), "suffixes")
     buckets = max(parts, texts.count() // 12_000 + 1)
     sorted_ = texts.repartitionByRange(buckets, "suffix", "c1")
-    compared = C.stored(sorted_.mapInArrow(lambda it: _bucket(it, length, lead), BUCKETS), "buckets")
+    compared = C.stored(sorted_.mapInArrow(lambda it: _bucket(it, length, lead, step, probe), BUCKETS), "buckets")
     ids = ["core", "c1", "c2", "dlo", "dhi", "rid", "a"]
     within = compared.select(*ids, F.explode("ranges").alias("r")).select("rid", (F.col("a") - F.col("dlo") + F.col("r.s")).alias("s"), (F.col("a") - F.col("dlo") + F.col("r.e") + length).alias("e"))
     # leading bytes that several buckets have; their windows meet once for each bucket
@@ -342,7 +348,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     probes = edge.select(*ids, F.posexplode("probes").alias("i", "p"))
     agree = probes.groupBy("core", "i", "p").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "i", "p")
     reach = probes.join(agree, ["core", "i", "p"]).groupBy(*key).agg(F.max("i").alias("i"))
-    bound = PROBE * (F.coalesce("i", F.lit(-1)) + 2) - 1
+    bound = probe * (F.coalesce("i", F.lit(-1)) + 2) - 1
     edge = edge.join(reach, key, "left").select(*ids, F.explode(F.filter("windows", lambda w: w["d"] <= bound)).alias("w")).select(*ids, "w.d", "w.h", "w.hit")
     twice = edge.groupBy("core", "d", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "d", "h")
     across = edge.where("NOT hit").join(twice, ["core", "d", "h"]).select("rid", (F.col("a") - F.col("d")).alias("s"), (F.col("a") - F.col("d") + length).alias("e"))
