@@ -32,6 +32,8 @@ def breadth_distances(edges: DataFrame, sources: DataFrame | None = None, max_st
             break
         layers.append(new)
         seen = _union(layers)
+    else:
+        raise RuntimeError("distances did not settle")
     return seen
 
 
@@ -94,6 +96,8 @@ def local_efficiency(edges: DataFrame, nodes: DataFrame, max_steps: int = 1000)
         if new.isEmpty():
             break
         layers.append(new)
+    else:
+        raise RuntimeError("local distances did not settle")
     total = _union(layers).groupBy(F.col("ego").alias("node")).agg(F.sum(1 / F.col("d")).alias("x"))
     k = near.groupBy(F.col("ego").alias("node")).agg(F.count(F.lit(1)).alias("k"))
     return nodes.select("node").join(k, "node", "left").join(total, "node", "left").select("node", F.coalesce(F.col("x") / F.when(F.col("k") > 1, F.col("k") * (F.col("k") - 1)), F.lit(0.0)).alias("e"))
@@ -238,6 +242,63 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     return nodes.select("node").join(node, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("b")), flow.groupBy("src", "dst").agg(F.sum("x").alias("b"))
 
 
+def efficiency_weighted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """e: mean of 1 / d over all ordered pairs, where an edge is as long as the inverse of its weight."""
+    return efficiency(weighted_distances(edges.where("w <> 0").select("src", "dst", (1 / F.col("w")).alias("w")), nodes), nodes)
+
+
+def local_efficiency_weighted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, e of an undirected graph: over pairs of a node's neighbours, the cube root of both weights and 1 / d among the neighbours."""
+    e = edges.where("src <> dst AND w <> 0").select("src", "dst", "w")
+    near = e.select(F.col("src").alias("ego"), F.col("dst").alias("x"), F.cbrt("w").alias("c"))
+    at = lambda c: F.struct("ego", F.col(c).alias("at"))  # noqa: E731  a node of the graph around ego
+    own = e.join(near.select("ego", F.col("x").alias("src")), "src").join(near.select("ego", F.col("x").alias("dst")), ["ego", "dst"])
+    own = own.select(at("src").alias("src"), at("dst").alias("dst"), (1 / F.col("w")).alias("w"))
+    d = weighted_distances(stored(own, "ego"), near.select(at("x").alias("node"))).where("src.at <> dst.at")
+    c = lambda end: near.select(at("x").alias(end), F.col("c").alias(f"c_{end}"))
+    total = d.join(c("src"), "src").join(c("dst"), "dst").groupBy(F.col("src.ego").alias("node")).agg(F.sum(F.col("c_src") * F.col("c_dst") * F.cbrt(1 / F.col("d"))).alias("x"))
+    k = near.groupBy(F.col("ego").alias("node")).agg(F.count(F.lit(1)).alias("k"))
+    return nodes.select("node").join(k, "node", "left").join(total, "node", "left").select("node", F.coalesce(F.col("x") / F.when(F.col("k") > 1, F.col("k") * (F.col("k") - 1)), F.lit(0.0)).alias("e"))
+
+
+def betweenness_weighted(lengths: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, b) and (src, dst, b) over all ordered pairs, by the shortest paths of edges with lengths, from all sources at once.
+
+    The edges on shortest paths of a source have no cycle; a node's turn comes when
+    all its predecessors have had theirs, and in reverse order on the way back.
+    """
+    e = lengths.where("src <> dst").select("src", "dst", F.col("w").alias("len"))
+    d = weighted_distances(lengths, nodes)
+    of = lambda c: d.select(F.col("src").alias("s"), F.col("dst").alias(c), F.col("d").alias(f"d_{c}"))
+    tight = stored(e.join(of("src"), "src").join(of("dst"), ["s", "dst"]).where("d_src + len = d_dst").select("s", "src", "dst"), "tight")
+    wanted = tight.groupBy("s", "dst").agg(F.count(F.lit(1)).alias("wanted"))
+    layers, arrived = [stored(nodes.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("n")), "layer")], None
+    while True:
+        step = tight.join(layers[-1].withColumnRenamed("node", "src"), ["s", "src"]).select("s", "dst", "n", F.lit(1).alias("c"))
+        step = step if arrived is None else step.unionByName(arrived)
+        arrived = stored(step.groupBy("s", "dst").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).join(wanted, ["s", "dst"]), "arrived")
+        new = stored(arrived.where("c = wanted").select("s", F.col("dst").alias("node"), "n"), "layer")
+        if new.isEmpty():
+            break
+        layers.append(new)
+        arrived = arrived.where("c < wanted").drop("wanted")
+    counts, flows = _union(layers), []
+    for layer in reversed(layers[1:]):
+        below = layer.withColumn("dep", F.lit(0.0)) if not flows else layer.join(_union(flows).groupBy("s", F.col("src").alias("node")).agg(F.sum("x").alias("dep")), ["s", "node"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
+        up = counts.select("s", F.col("node").alias("src"), F.col("n").alias("n_up"))
+        flows.append(stored(below.withColumnRenamed("node", "dst").join(tight, ["s", "dst"]).join(up, ["s", "src"]).select("s", "src", "dst", (F.col("n_up") / F.col("n") * (1 + F.col("dep"))).alias("x")), "flow"))
+    flow = _union(flows) if flows else tight.withColumn("x", F.lit(0.0))
+    node = flow.where("s <> src").groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("b"))
+    return nodes.select("node").join(node, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("b")), flow.groupBy("src", "dst").agg(F.sum("x").alias("b"))
+
+
+def connecting_threshold(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """thr: the largest weight down to which edges must be kept for one component; null if there are several anyway."""
+    tree = maximum_spanning_forest(edges, nodes)
+    n = nodes.agg(F.count(F.lit(1)).alias("n"))
+    return tree.agg(F.count(F.lit(1)).alias("m"), F.min("w").alias("low")).join(F.broadcast(n)).select(F.when(F.col("m") == F.col("n") - 1, F.col("low")).alias("thr"))
+
+
 def edge_range(edges: DataFrame, max_steps: int = 1000) -> DataFrame:
     """src, dst, range: distance of an edge's ends once it is gone, null if there is none; one search, the edge is a key."""
     e = stored(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
@@ -251,6 +312,8 @@ def edge_range(edges: DataFrame, max_steps: int = 1000) -> DataFrame:
         front = front.join(found[-1].select("a", "b"), ["a", "b"], "left_anti")
         if front.isEmpty():
             break
+    else:
+        raise RuntimeError("ranges did not settle")
     return e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(_union(found), ["a", "b"], "left").select(F.col("a").alias("src"), F.col("b").alias("dst"), "range")
 
 

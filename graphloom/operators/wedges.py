@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import weights
 
+#: Ranks whose weights one task sums up in order.
+RUN = 1 << 16
+
 
 def triangles(edges: DataFrame) -> DataFrame:
     """a, b, c and the weights ab, ac, bc of every triangle of an undirected graph, once each."""
@@ -88,11 +92,23 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("k")).alias("ra"), F.sum(1 / F.log("k")).alias("aa"))
 
 
+def _corners(edges: DataFrame) -> DataFrame:
+    """src < dst, via, both: each edge of each triangle with the third node and the sum of its weights to both ends.
+
+    Hubs cost no more than in ``triangles``: wedges that no edge closes are not made.
+    """
+    t = triangles(edges)
+    corner = lambda x, y, via, wx, wy: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.col(via).alias("via"), (F.col(wx) + F.col(wy)).alias("both"))
+    return t.select(F.explode(F.array(corner("a", "b", "c", "ac", "bc"), corner("a", "c", "b", "ab", "bc"), corner("b", "c", "a", "ab", "ac"))).alias("x")).select("x.*")
+
+
 def neighbour_scores(edges: DataFrame) -> DataFrame:
     """a, b and jaccard, resource allocation, Adamic-Adar, preferential attachment of each edge a < b."""
     e = edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     k = edges.where("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    got = e.join(common_neighbours(edges), ["a", "b"], "left").join(k.select(F.col("src").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("src").alias("b"), F.col("k").alias("kb")), "b")
+    via = _corners(edges).join(k.select(F.col("src").alias("via"), "k"), "via")
+    shared = via.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("k")).alias("ra"), F.sum(1 / F.log("k")).alias("aa"))
+    got = e.join(shared, ["a", "b"], "left").join(k.select(F.col("src").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("src").alias("b"), F.col("k").alias("kb")), "b")
     n = F.coalesce("n", F.lit(0))
     return got.select("a", "b", (n / (F.col("ka") + F.col("kb") - n)).alias("jaccard"), F.coalesce("ra", F.lit(0.0)).alias("ra"), F.coalesce("aa", F.lit(0.0)).alias("aa"), (F.col("ka") * F.col("kb")).alias("pa"))
 
@@ -102,8 +118,9 @@ def edge_neighbour_overlap(edges: DataFrame, directed: bool = False) -> DataFram
     e = edges.where("src <> dst")
     near = (e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if directed else e.select("src", "dst")).distinct()
     k = near.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    shared = near.select(F.col("src"), F.col("dst").alias("via")).join(near.select(F.col("src").alias("dst"), F.col("dst").alias("via")), "via").join(e.select("src", "dst"), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    got = e.select("src", "dst").join(shared, ["src", "dst"], "left").join(k.withColumnRenamed("k", "k1"), "src").join(k.select(F.col("src").alias("dst"), F.col("k").alias("k2")), "dst")
+    shared = _corners(near.withColumn("w", F.lit(1.0))).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    e = e.select("src", "dst", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    got = e.join(shared, ["a", "b"], "left").join(k.withColumnRenamed("k", "k1"), "src").join(k.select(F.col("src").alias("dst"), F.col("k").alias("k2")), "dst")
     n = F.coalesce("n", F.lit(0))
     # each end is a neighbour of the other
     return got.select("src", "dst", F.try_divide(n, F.col("k1") + F.col("k2") - n - 2).alias("overlap"))
@@ -173,37 +190,73 @@ def local_reweighting(edges: DataFrame) -> DataFrame:
     e = edges.where("src <> dst").select("src", "dst", "w")
     s = e.groupBy("src").agg(F.sum("w").alias("s"))
     all_ = e.agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("count"))
-    via = e.select(F.col("src"), F.col("dst").alias("k"), F.col("w").alias("wi")).join(e.select(F.col("src").alias("dst"), F.col("dst").alias("k"), F.col("w").alias("wj")), "k").where("src <> dst")
-    shared = via.groupBy("src", "dst").agg(F.sum(F.col("wi") + F.col("wj")).alias("t"))
-    got = e.join(shared, ["src", "dst"], "left").join(s.withColumnRenamed("s", "si"), "src").join(s.select(F.col("src").alias("dst"), F.col("s").alias("sj")), "dst").join(F.broadcast(all_))
+    shared = _corners(e).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.sum("both").alias("t"))
+    ends = e.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
+    got = ends.join(shared, ["a", "b"], "left").join(s.withColumnRenamed("s", "si"), "src").join(s.select(F.col("src").alias("dst"), F.col("s").alias("sj")), "dst").join(F.broadcast(all_))
     tie = 2 * (F.col("w") + 0.5 * F.coalesce("t", F.lit(0.0))) / (F.col("si") + F.col("sj"))
     raw = got.select("src", "dst", (F.col("count") * F.col("w") / F.col("total") * tie).alias("x"))
     rows = raw.groupBy("src").agg(F.sum("x").alias("row"))
     return raw.join(rows, "src").select("src", "dst", (F.col("x") / F.col("row")).alias("w"))
 
 
+def _levels(edges: DataFrame, nodes: DataFrame, directed: bool) -> DataFrame:
+    """lo, hi and nk, ek, wk: nodes of degree over each k in lo..hi, edges and weight among them.
+
+    One row for each distinct degree, of which a graph of m edges has at most about 2 sqrt(m).
+    """
+    d = (weights.degrees_dir(edges, nodes) if directed else weights.degrees_und(edges, nodes)).select("node", "deg")
+    ends = edges.join(d.select(F.col("node").alias("src"), F.col("deg").alias("d1")), "src").join(d.select(F.col("node").alias("dst"), F.col("deg").alias("d2")), "dst")
+    least = ends.groupBy(F.least("d1", "d2").alias("deg")).agg(F.count(F.lit(1)).alias("e"), F.sum("w").alias("s"))
+    levels = d.groupBy("deg").agg(F.count(F.lit(1)).alias("v")).join(least, "deg", "left")
+    above = W.orderBy(F.desc("deg")).rowsBetween(W.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    below = F.coalesce(F.max("deg").over(W.orderBy(F.desc("deg")).rowsBetween(1, 1)), F.lit(0))
+    return levels.select(below.alias("lo"), (F.col("deg") - 1).alias("hi"), total("v").alias("nk"), total("e").alias("ek"), total("s").alias("wk"))
+
+
 def rich_club(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
     """k, nk, ek, r: nodes of degree over k, edges among them, and their share of all possible ones."""
-    e = edges.where("src <> dst")
-    d = (weights.degrees_dir(e, nodes) if directed else weights.degrees_und(e, nodes)).select("node", "deg")
-    least = e.join(d.select(F.col("node").alias("src"), F.col("deg").alias("d1")), "src").join(d.select(F.col("node").alias("dst"), F.col("deg").alias("d2")), "dst").groupBy(F.least("d1", "d2").alias("deg")).agg(F.count(F.lit(1)).alias("e"))
-    levels = d.groupBy("deg").agg(F.count(F.lit(1)).alias("v")).join(least, "deg", "left")  # one row for each degree
-    grid = d.agg(F.max("deg").alias("top")).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top"))).alias("k"))
-    over = grid.join(F.broadcast(levels), F.col("deg") > F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("nk"), F.coalesce(F.sum("e"), F.lit(0)).alias("ek"))
-    return over.select("k", "nk", "ek", F.try_divide(F.col("ek"), F.col("nk") * (F.col("nk") - 1)).alias("r"))
+    levels = _levels(edges.where("src <> dst"), nodes, directed)
+    rows = levels.where("hi >= 1").select(F.explode(F.sequence(F.greatest("lo", F.lit(1).cast("bigint")), F.col("hi"))).alias("k"), "nk", "ek")
+    last = levels.agg(F.max(F.col("hi") + 1).alias("k")).where("k >= 1").select("k", F.lit(0).cast("bigint").alias("nk"), F.lit(0).cast("bigint").alias("ek"))
+    return rows.unionByName(last).select("k", "nk", "ek", F.try_divide(F.col("ek"), F.col("nk") * (F.col("nk") - 1)).alias("r"))
 
 
 def rich_club_weighted(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
     """k, r: weight among nodes of degree k or more over the sum of as many of the strongest weights."""
     e = edges.where("src <> dst")
-    d = (weights.degrees_dir(e, nodes) if directed else weights.degrees_und(e, nodes)).select("node", "deg")
-    ends = e.join(d.select(F.col("node").alias("src"), F.col("deg").alias("d1")), "src").join(d.select(F.col("node").alias("dst"), F.col("deg").alias("d2")), "dst")
-    least = ends.groupBy(F.least("d1", "d2").alias("deg")).agg(F.count(F.lit(1)).alias("e"), F.sum("w").alias("s"))
-    grid = d.agg(F.max("deg").alias("top")).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top"))).alias("k"))
-    over = grid.join(F.broadcast(least), F.col("deg") >= F.col("k"), "left").groupBy("k").agg(F.sum("e").alias("ek"), F.sum("s").alias("wk"))
-    strong = weights.ranked(e.select("w", "src", "dst"), [F.desc("w"), F.col("src"), F.col("dst")]).select("w", "rank")
-    best = strong.join(F.broadcast(over), F.col("rank") <= F.col("ek")).groupBy("k").agg(F.sum("w").alias("top"))
-    return over.join(best, "k", "left").select("k", F.try_divide("wk", "top").alias("r"))
+    levels = _levels(e, nodes, directed).where("hi >= 0").select(F.explode(F.sequence(F.col("lo") + 1, F.col("hi") + 1)).alias("k"), F.when(F.col("ek") > 0, F.col("ek")).alias("ek"), F.when(F.col("ek") > 0, F.col("wk")).alias("wk"))
+    strong = weights.ranked(e.select("w", "src", "dst"), [F.desc("w"), F.col("src"), F.col("dst")])
+    # sums of the strongest weights: of whole runs of ranks, and inside each run
+    strong = strong.select("w", "rank", F.floor((F.col("rank") - 1) / RUN).alias("run"))
+    runs = strong.groupBy("run").agg(F.sum("w").alias("s"))
+    runs = runs.select("run", F.coalesce(F.sum("s").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    inside = F.sum("w").over(W.partitionBy("run").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    best = strong.select("run", F.col("rank").alias("ek"), inside.alias("inside")).join(levels.select("ek").distinct(), "ek", "left_semi").join(runs, "run").select("ek", (F.col("before") + F.col("inside")).alias("top"))
+    return levels.join(best, "ek", "left").select("k", F.try_divide("wk", "top").alias("r"))
+
+
+def matching_und(edges: DataFrame) -> DataFrame:
+    """src, dst, m of ordered pairs that share a neighbour: twice the shared ones over those and dst's other neighbours, src left out."""
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    k = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    pairs = e.select(F.col("src").alias("x"), F.col("dst").alias("via")).join(e.select(F.col("src").alias("y"), F.col("dst").alias("via")), "via").where("x <> y").groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    got = pairs.join(k.withColumnRenamed("src", "dst"), "dst").join(e.withColumn("a", F.lit(1)), ["src", "dst"], "left")
+    return got.select("src", "dst", (2 * F.col("n") / (F.col("k") - F.coalesce("a", F.lit(0)) + F.col("n"))).alias("m"))
+
+
+def topological_overlap(edges: DataFrame, steps: int = 1) -> DataFrame:
+    """a < b, overlap: shared nodes within ``steps`` edges (one more if a and b are tied) over those of the larger neighbourhood, of pairs that have any."""
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    near = e
+    for _ in range(steps - 1):
+        near = near.unionByName(near.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").where("src <> dst").select("src", "dst")).distinct()
+    k = near.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    shared = near.select(F.col("src").alias("a"), F.col("dst").alias("via")).join(near.select(F.col("src").alias("b"), F.col("dst").alias("via")), "via").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    got = shared.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("t")).where("a < b"), ["a", "b"], "full")
+    got = got.join(k.select(F.col("src").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("src").alias("b"), F.col("k").alias("kb")), "b")
+    n, t = F.coalesce("n", F.lit(0)), F.coalesce("t", F.lit(0))
+    return got.select("a", "b", ((n + t) / (F.greatest("ka", "kb") - t + 1)).alias("overlap"))
 
 
 def rentian(edges: DataFrame, places: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import register
 from graphloom.operators import paths as R
+from graphloom.operators import wedges as T
 from graphloom.operators import weights as X
 from graphloom.plans import graphs as G
 from graphloom.plans.graphs import with_
@@ -89,3 +90,18 @@ m AS (SELECT t[1] AS u, t[2] AS v, t[3] AS x FROM t3), has AS (SELECT DISTINCT s
 SELECT u, v, x, CAST(""" + " + ".join(f"CASE WHEN EXISTS (SELECT 1 FROM has WHERE src = {a} AND dst = {b}) THEN {1 << i} ELSE 0 END" for i, (a, b) in enumerate(("uv", "vu", "ux", "xu", "vx", "xv"))) + " AS BIGINT) AS code FROM m"
 register("motif3_codes", lambda s, d: R.motif_codes(G.top_trade(s, d)), with_("top", _CODE))
 register("motif3", lambda s, d: R.motifs3(G.top_trade(s, d)), with_("top", ", k AS (" + "WITH " + _CODE[2:] + "), cl AS (SELECT * FROM (VALUES " + ", ".join(map(str, R.motif3_classes())) + ") AS v(code, class))\nSELECT node, CAST(class AS BIGINT) AS class, count(*) AS n FROM (SELECT unnest([u, v, x]) AS node, code FROM k) JOIN cl USING (code) GROUP BY 1, 2"))
+
+# weighted paths, and similarity over several steps
+_LENGTHS = """, p AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d, [node] AS p FROM node UNION ALL SELECT p.src, t.dst, d + 1 / w, list_append(p, t.dst) FROM p JOIN top t ON t.src = p.dst WHERE NOT list_contains(p, t.dst) AND len(p) < 8), dw AS (SELECT src, dst, min(d) AS d FROM p GROUP BY 1, 2)"""
+register("efficiency_wei", lambda s, d: r9(R.efficiency_weighted(G.top_trade(s, d), G.nations(s, d)), "e"), with_("top node", _LENGTHS + "\nSELECT round(sum(1 / d) / 600, 9) AS e FROM dw WHERE src <> dst", True))
+register("local_efficiency_wei", lambda s, d: r9(R.local_efficiency_weighted(X.normalize(G.partners(s, d)), G.nations(s, d)), "e"))
+register("betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.top_trade(s, d)), G.nations(s, d))[0], "b"))
+register("edge_betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.top_trade(s, d)), G.nations(s, d))[1], "b"))
+register("connecting_threshold", lambda s, d: R.connecting_threshold(G.mirrored(G.without_loops(G.trade(s, d))), G.nations(s, d)), with_("trade node", """, m AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM trade WHERE src <> dst UNION ALL SELECT dst, src, w FROM trade WHERE src <> dst) GROUP BY 1, 2),
+t AS (SELECT DISTINCT w AS thr FROM m), reach AS (SELECT thr, (SELECT min(node) FROM node) AS node FROM t UNION SELECT r.thr, m.dst FROM reach r JOIN m ON m.src = r.node AND m.w >= r.thr)
+SELECT max(thr) AS thr FROM (SELECT thr FROM reach GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM node))""", True))
+register("matching_und", lambda s, d: r9(T.matching_und(G.copart(s, d)), "m"), with_("copart", """, k AS (SELECT src, count(*) AS k FROM copart GROUP BY 1), n AS (SELECT a.src, b.src AS dst, count(*) AS n FROM copart a JOIN copart b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2)
+SELECT n.src, n.dst, round(2 * n / (k.k - CASE WHEN c.src IS NULL THEN 0 ELSE 1 END + n), 9) AS m FROM n JOIN k ON k.src = n.dst LEFT JOIN copart c ON c.src = n.src AND c.dst = n.dst"""))
+register("topological_overlap", lambda s, d: r9(T.topological_overlap(G.partners(s, d), 2), "overlap"), with_("und", """, near AS (SELECT src, dst FROM und UNION SELECT a.src, b.dst FROM und a JOIN und b ON a.dst = b.src WHERE a.src <> b.dst), k AS (SELECT src, count(*) AS k FROM near GROUP BY 1),
+x AS (SELECT p.src AS a, q.src AS b, (SELECT count(*) FROM near m JOIN near n ON m.dst = n.dst WHERE m.src = p.src AND n.src = q.src) AS n, (SELECT count(*) FROM und WHERE src = p.src AND dst = q.src) AS t, greatest(p.k, q.k) AS k FROM k p JOIN k q ON p.src < q.src)
+SELECT a, b, round((n + t) / (k - t + 1), 9) AS overlap FROM x WHERE n + t > 0"""))

@@ -151,3 +151,44 @@ def test_similarity_reaches_its_fixpoint(spark, sf_dir):
         for b in near:
             want = 1 if a == b else 0.9 * sum(s.get((x, y), 0) for x in near[a] for y in near[b]) / (len(near[a]) * len(near[b]))
             assert abs(s.get((a, b), 0) - want) < 1e-4
+
+
+def test_weighted_betweenness(spark):
+    """Against all simple paths of a small graph with ties."""
+    arcs = {(0, 1): 1, (1, 2): 1, (0, 2): 2, (2, 3): 1, (1, 3): 2, (3, 4): 3, (2, 4): 4, (4, 0): 1, (5, 0): 2, (3, 5): 1, (4, 5): 9}
+    e = spark.createDataFrame([(a, b, float(w)) for (a, b), w in arcs.items()], "src bigint, dst bigint, w double")
+    v = spark.createDataFrame([(i,) for i in range(7)], "node bigint")
+    node, edge, inverse, ordered = dict.fromkeys(range(7), 0.0), dict.fromkeys(arcs, 0.0), 0.0, 42
+    for s in range(7):
+        paths = {}
+        todo = [(s,)]
+        while todo:
+            p = todo.pop()
+            todo += [(*p, b) for (a, b) in arcs if a == p[-1] and b not in p]
+            if len(p) > 1:
+                paths.setdefault(p[-1], []).append((sum(arcs[x] for x in zip(p, p[1:])), p))
+        for found in paths.values():
+            best = min(found)[0]
+            inverse += 1 / best
+            short = [p for n, p in found if n == best]
+            for p in short:
+                for x in p[1:-1]:
+                    node[x] += 1 / len(short)
+                for x in zip(p, p[1:]):
+                    edge[x] += 1 / len(short)
+    got_node, got_edge = R.betweenness_weighted(e, v)
+    assert {n: pytest.approx(b) for n, b in rows(got_node)} == node
+    assert {(a, b): pytest.approx(x) for a, b, x in rows(got_edge)} == {k: x for k, x in edge.items() if x}
+    assert rows(R.efficiency_weighted(X.invert(e), v))[0][0] == pytest.approx(inverse / ordered)
+
+
+def test_weighted_local_efficiency_of_equal_weights(spark):
+    """With unit weights and neighbours one edge apart it is the clustering coefficient."""
+    e, v = graph(spark, [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4)])
+    assert rows(R.local_efficiency_weighted(e, v)) == [(n, pytest.approx(c)) for n, c in rows(T.clustering_und(e, v))]
+
+
+def test_unsettled_loops_raise(spark):
+    e, _ = graph(spark, [(i, i + 1) for i in range(6)])
+    with pytest.raises(RuntimeError):
+        R.breadth_distances(e, max_steps=3)
