@@ -3,6 +3,11 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns
 a DataFrame that the caller writes as Parquet and reads again as the next stage's
 docs.  All stages but the last return the columns of ``documents``.
+
+Defined cases, in every stage: a null text stays null, and null, empty and wordless
+texts are kept; repeated rows are copies of each other, of which near_dedup keeps one;
+without labels no document is toxic, without a benchmark none is contaminated; an
+empty table stays empty; columns that bear names an operator uses itself pass through.
 """
 
 from __future__ import annotations
@@ -12,10 +17,6 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import common, op1_suffix_dedup, op2_decontaminate, op5_minhash, op6_toxicity, op10_pack
 
-#: Words of a repeated passage: over 50.
-PASSAGE = 51
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold."""
     return op6_toxicity.drop_toxic(docs, op6_toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
@@ -28,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once; n_chars follows the text."""
-    out = op1_suffix_dedup.dedup_documents(docs, words=PASSAGE)
+    out = op1_suffix_dedup.dedup_documents(docs, words=op1_suffix_dedup.PASSAGE)
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")))
