@@ -6,9 +6,11 @@ the partitioning and the shuffles are always Spark's.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,26 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 
 
+def tidy(generator: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A generator that at its end hands freed memory back to the system.
+
+    Python workers live on from task to task; what they keep of an earlier stage's
+    arrays would stand beside what the next stage needs.
+    """
+
+    @functools.wraps(generator)
+    def run(*args, **how):
+        try:
+            yield from generator(*args, **how)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

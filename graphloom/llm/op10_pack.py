@@ -68,6 +68,7 @@ class Windows:
         return out
 
 
+@C.tidy
 def _place(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int, most: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     enc, windows, part = encoder(path), Windows(size, most), TaskContext.get().partitionId()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "win", "offset", "fill", "open"]

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +100,7 @@ def _slices(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np
         row += n
 
 
+@C.tidy
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rid = batch["rid"].to_numpy()
@@ -115,6 +116,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rid", "a", "dlo", "dhi", "core", "c1", "c2"])
 
 
+@C.tidy
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Cut the contexts of the samples out of their texts."""
     open_ = zstandard.ZstdDecompressor()
@@ -177,6 +179,7 @@ def _words(strings: list[bytes], length: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width * 8, b"\0") for x in strings), ">u8").reshape(-1, width).astype(np.uint64)
 
 
+@C.tidy
 def _bucket(batches: Iterator[pa.RecordBatch], length: int, lead: int, step_: int, probe: int) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's suffixes; compare the windows of suffixes that share their leading bytes.
 
@@ -272,11 +275,11 @@ def repeated_passages(docs: DataFrame, words: int, lead: int = LEAD) -> DataFram
     the white space behind its last word does not count.
     """
     length = SYMBOL * words - 2
-    coded = docs.mapInArrow(_word_codes, "rid bigint, text binary")
     first, last = F.ceil(F.col("s") / SYMBOL).cast("bigint"), F.floor((F.col("e") - length) / SYMBOL).cast("bigint")
-    return repeated_spans(coded, length, lead, SYMBOL).select("rid", first.alias("s"), (last + words).alias("e")).where(F.col("e") - F.col("s") >= words)
+    return repeated_spans(docs, length, lead, SYMBOL, _word_codes).select("rid", first.alias("s"), (last + words).alias("e")).where(F.col("e") - F.col("s") >= words)
 
 
+@C.tidy
 def _cut(batches: Iterator[pa.RecordBatch], keep: bool, whole: bool, words: bool, schema: list[str]) -> Iterator[pa.RecordBatch]:
     """Take the repeated runs out of each text."""
     open_ = zstandard.ZstdDecompressor()
@@ -308,12 +311,17 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: bool, whole: bool, words: bool
         yield pa.RecordBatch.from_arrays([new.get(n, batch[n] if n in batch.schema.names else None) for n in schema], names=schema)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """rid and the text as a Zstandard frame: what is shuffled is a third of the text."""
+def _as_is(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return batches
 
+
+def _packed(docs: DataFrame, code: Callable = _as_is) -> DataFrame:
+    """rid and the text as a Zstandard frame: what is shuffled is a third of the text.  code: what becomes of a batch first."""
+
+    @C.tidy
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in code(batches):
             texts = batch["text"].cast(pa.binary())
             packed = [press.compress(t.as_py() or b"") for t in texts]
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(packed, pa.binary())], names=["rid", "packed"])
@@ -321,21 +329,22 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(squeeze, "rid bigint, packed binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, step: int = 1) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, step: int = 1, code: Callable = _as_is) -> DataFrame:
     """rid and the byte runs (s, e) that repeated strings cover.  docs: rid (unique), text.
 
-    step: only strings that start at its multiples need be found.
+    step: only strings that start at its multiples need be found.  code: what turns
+    batches of texts into those of the bytes that are looked at.
     """
     spark, probe = docs.sparkSession, PROBE if step == 1 else PROBE_WORDS * step
     parts = C.shuffle_parts(spark)
-    anchors = C.stored(docs.mapInArrow(lambda it: _anchors(it, length, lead), ANCHORS), "anchors")
+    anchors = C.stored(docs.mapInArrow(lambda it: _anchors(code(it), length, lead), ANCHORS), "anchors")
     key = ["core", "c1", "c2", "dlo", "dhi"]
     contexts = C.stored(anchors.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"), F.min_by("a", "rid").alias("a")), "contexts")
     # leading bytes in several contexts, at least one of them undecided
     shared = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("core")
     undecided = contexts.join(shared, "core")
     want = undecided.groupBy("rid").agg(F.collect_list(F.struct(*key, "a")).alias("want"))
-    texts = C.stored(_packed(docs).join(want, "rid").mapInArrow(lambda it: _contexts(it, length), CONTEXTS), "suffixes")
+    texts = C.stored(_packed(docs, code).join(want, "rid").mapInArrow(lambda it: _contexts(it, length), CONTEXTS), "suffixes")
     buckets = max(parts, texts.count() // 12_000 + 1)
     sorted_ = texts.repartitionByRange(buckets, "suffix", "c1")
     compared = C.stored(sorted_.mapInArrow(lambda it: _bucket(it, length, lead, step, probe), BUCKETS), "buckets")

@@ -196,6 +196,7 @@ class Shard:
         return self._ids(s[a:b])[start - (ends[a] - n[a] if a < len(s) else 0) :][: stop - start]
 
 
+@C.tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
     enc, part, shard = encoder(path), TaskContext.get().partitionId(), 0
     docs: list[np.ndarray] = []
@@ -227,6 +228,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
     df.mapInArrow(lambda it: _encode(it, tokenizer, end_id, shard_ids), SHARDS).write.parquet(path)
 
 
+@C.tidy
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for r in frame.itertuples():

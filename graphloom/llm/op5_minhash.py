@@ -80,6 +80,7 @@ def _seeds(n: int) -> np.ndarray:
     return C.mix(np.arange(1, n + 1).astype(np.uint64)) | C.U64(1)
 
 
+@C.tidy
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, coordinates: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, raw, at in C.pieces(batch, 1 << 19):
@@ -130,6 +131,7 @@ def _shared(sets: list[tuple[np.ndarray, np.ndarray]], rows: list[int]) -> np.nd
     return both
 
 
+@C.tidy
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between two blocks: one for any two components that have any.
 
@@ -168,6 +170,7 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
                 yield pa.RecordBatch.from_arrays([pa.array(rids[0][x[first]]), pa.array(rids[1][y[first]])], names=["a", "b"])
 
 
+@C.tidy
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Keep pairs whose full shingle sets reach the similarity."""
     for batch in batches:

@@ -29,6 +29,8 @@ from . import common as C
 from .op2_decontaminate import WORD
 
 WINDOW, STRIDE = 32, 16
+#: Windows that are read at once.
+BATCH = 2048
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 GRAMS = (3, 5)
@@ -180,10 +182,10 @@ class Network:
         vectors = np.concatenate([self.inputs(bucket, grams, grams_at), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
         out = np.empty(len(row), np.float32)
         index = np.append(index, np.full(WINDOW, len(bucket)))
-        for i in range(0, len(row), 4096):
-            mask = np.arange(WINDOW) < n[i : i + 4096, None]
-            place = np.where(mask, first[i : i + 4096, None] + np.arange(WINDOW), len(index) - 1)
-            out[i : i + 4096] = self.logits(vectors, index[place], mask)
+        for i in range(0, len(row), BATCH):
+            mask = np.arange(WINDOW) < n[i : i + BATCH, None]
+            place = np.where(mask, first[i : i + BATCH, None] + np.arange(WINDOW), len(index) - 1)
+            out[i : i + BATCH] = self.logits(vectors, index[place], mask)
         begin = np.searchsorted(row, np.arange(len(at) - 1))
         return np.maximum.reduceat(out, begin), out
 
@@ -322,6 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 900, longest: int = 20_0
     return net
 
 
+@C.tidy
 def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, raw, at in C.pieces(batch, 1 << 19):
