@@ -1,4 +1,4 @@
-"""Gains of moving single nodes between communities under several qualities.
+"""Gains of moving nodes and joining communities under several qualities, and optimisers made of them.
 
 Methods: modularity, configuration (modularity without its scale), cpm, significance
 and surprise (the asymptotic form: weight times the divergence of its share inside
@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .partitions import binary_kl
+from graphloom.plans.shared import stored
+
+from .partitions import binary_kl, partition_at_level
 
 SIGNED = ("sta", "pos", "smp", "gja", "neg")
 METHODS = ("modularity", "configuration", "cpm", "significance", "surprise", *SIGNED)
+#: A move counts as a rise of the quality above this (rounding of sums).
+LEAST_GAIN = 1e-10
 #: Sums of a community: nodes, weight inside, from and into it; p: positive, q: negative.
 SUMS = ("n", "ip", "op", "np", "iq", "oq", "nq")
 
@@ -113,3 +117,161 @@ def quality(edges: DataFrame, parts: DataFrame, method: str = "modularity", gamm
 def move_gains(edges: DataFrame, parts: DataFrame, method: str = "modularity", gamma: float = 1.0) -> DataFrame:
     """node, comm, gain: how the quality changes if the node alone moves to a community that it has edges with."""
     return _gains(_split(edges), _sized(parts), method, gamma)
+
+
+def _better(e: DataFrame, now: DataFrame, moves: DataFrame, method: str, gamma: float, q: float, seed: int) -> tuple[DataFrame, float] | None:
+    """Apply ``moves`` (key, comm -> to, gain) to as many keys at once as raise the quality.
+
+    Moves that are made at once can spoil each other; then half as many are tried, in
+    the end the best alone, which raises the quality by its gain.
+    """
+    moves = stored(moves, "moves")
+    left, share = moves.count(), 1
+    while left:
+        some = moves.where(F.pmod(F.xxhash64("key", F.lit(seed + share)), F.lit(2 * share)) == 0) if share < left else moves.orderBy(F.desc("gain"), "key").limit(1)
+        new = now.join(some.select("of", "key", "to"), F.when(F.col("of") == "node", now.node).otherwise(now.comm) == some.key, "left")
+        new = stored(new.select("node", F.coalesce("to", "comm").alias("comm"), "size"), "moved")
+        value = _quality(e, new, method, gamma).first()[0] or 0.0
+        if value > q:
+            return new, value
+        if share >= left:
+            return None
+        share *= 2
+    return None
+
+
+def _settle(e: DataFrame, parts: DataFrame, method: str, gamma: float, seed: int) -> tuple[DataFrame, float]:
+    """Move single nodes until no move raises the quality."""
+    now, q = parts, _quality(e, parts, method, gamma).first()[0] or 0.0
+    while True:
+        seed += 1
+        best = _gains(e, now, method, gamma).where(F.col("gain") > LEAST_GAIN).groupBy("node").agg(F.max(F.struct("gain", (-F.col("comm")).alias("c"))).alias("b"))
+        step = _better(e, now, best.select(F.lit("node").alias("of"), F.col("node").alias("key"), (-F.col("b.c")).alias("to"), F.col("b.gain").alias("gain")), method, gamma, q, seed)
+        if step is None:
+            return now, q
+        now, q = step
+
+
+def _collapsed(e: DataFrame, parts: DataFrame) -> DataFrame:
+    """Communities as nodes; the positive and the negative weights are summed apart."""
+    p = parts.select("node", "comm")
+    both = e.join(p.select(F.col("node").alias("src"), F.col("comm").alias("c1")), "src").join(p.select(F.col("node").alias("dst"), F.col("comm").alias("c2")), "dst")
+    return both.groupBy(F.col("c1").alias("src"), F.col("c2").alias("dst")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+
+
+def optimise(edges: DataFrame, nodes: DataFrame, method: str = "modularity", gamma: float = 1.0, seed: int = 1) -> DataFrame:
+    """level, node, comm: partitions of rising quality, the communities of a level being the nodes of the next.
+
+    Level 0 starts from single nodes; it ends when no move of a node raises the quality,
+    the last level when no move of a community does.  A community is named by its least
+    node.  Directed graphs hold their arcs, undirected ones both directions; signed
+    methods take signed weights.  A graph without edges gives single nodes.
+    """
+    e = stored(_split(edges), "split")
+    level, out = 0, None
+    parts = stored(nodes.select("node", F.col("node").alias("comm"), F.lit(1.0).alias("size")).distinct(), "level")
+    while True:
+        start = _quality(e, parts, method, gamma).first()[0] or 0.0
+        best, q = _settle(e, parts, method, gamma, seed + 1000 * level)
+        if q <= start and level:
+            return out
+        least = best.groupBy("comm").agg(F.min("node").alias("least"))
+        best = stored(best.join(least, "comm").select("node", F.col("least").alias("comm"), "size"), "level")
+        step = best.select(F.lit(level).alias("level"), "node", "comm")
+        out = step if out is None else out.unionByName(step)
+        if q <= start:
+            return out
+        e = stored(_collapsed(e, best), "split")
+        parts = stored(best.groupBy("comm").agg(F.sum("size").alias("size")).select(F.col("comm").alias("node"), "comm", "size"), "level")
+        level += 1
+
+
+def best_of(edges: DataFrame, nodes: DataFrame, method: str = "modularity", gamma: float = 1.0, seed: int = 1) -> DataFrame:
+    """node, comm: the last partition of ``optimise``."""
+    tree = stored(optimise(edges, nodes, method, gamma, seed), "tree")
+    return partition_at_level(tree, tree.agg(F.max("level")).first()[0])
+
+
+def finetune(edges: DataFrame, parts: DataFrame, method: str = "modularity", gamma: float = 1.0, jump: float = 0.0, seed: int = 1) -> DataFrame:
+    """node, comm: ``parts`` after moves of single nodes, until no move raises the quality.
+
+    ``jump`` is the chance of each node to go first to some community that it has edges
+    with, whatever the gain; what comes of that counts only if it is better in the end.
+    """
+    e = stored(_split(edges), "split")
+    parts = stored(_sized(parts), "start")
+    best, q = _settle(e, parts, method, gamma, seed)
+    if jump > 0:
+        some = _gains(e, parts, method, gamma).where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < jump * (1 << 30))
+        some = some.groupBy("node").agg(F.min_by("comm", F.xxhash64("comm", "node", F.lit(seed))).alias("to"))
+        shaken = stored(parts.join(some, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "size"), "shaken")
+        other, value = _settle(e, shaken, method, gamma, seed)
+        if value > q:
+            best = other
+    return best.select("node", "comm")
+
+
+def merge_gains(edges: DataFrame, parts: DataFrame, method: str = "surprise", gamma: float = 1.0) -> DataFrame:
+    """a, b (a < b), gain: how the quality changes if two communities with edges between them become one."""
+    return _merges(_split(edges), _sized(parts), method, gamma)
+
+
+def _merges(e: DataFrame, parts: DataFrame, method: str, gamma: float) -> DataFrame:
+    _, _, comms, total = _sums(e, parts)
+    between = _collapsed(e, parts).where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("p").alias("lp"), F.sum("q").alias("lq"))
+    named = lambda k: comms.select(F.col("comm").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in SUMS])
+    rows = between.join(named("a"), "a").join(named("b"), "b").join(F.broadcast(total))
+    a, b = ({c: F.col(f"{k}_{c}") for c in SUMS} for k in "ab")
+    if method == "surprise":
+        gain = _surprise(F.col("ti") + F.col("lp"), F.col("tk") + 2 * a["n"] * b["n"]) - _surprise(F.col("ti"), F.col("tk"))
+    else:
+        both = {c: a[c] + b[c] for c in SUMS}
+        both |= {"ip": both["ip"] + F.col("lp"), "iq": both["iq"] + F.col("lq")}
+        gain = _value(method, gamma, both) - _value(method, gamma, a) - _value(method, gamma, b)
+    return rows.select("a", "b", gain.alias("gain"))
+
+
+def agglomerate(edges: DataFrame, nodes: DataFrame, method: str = "surprise", gamma: float = 1.0, seed: int = 1) -> DataFrame:
+    """node, comm: joins communities, from single nodes on, until no join of two raises the quality.
+
+    A round joins the pairs that are each other's best.
+    """
+    e = stored(_split(edges), "split")
+    now = stored(nodes.select("node", F.col("node").alias("comm"), F.lit(1.0).alias("size")).distinct(), "single")
+    q = _quality(e, now, method, gamma).first()[0] or 0.0
+    while True:
+        seed += 1
+        pairs = stored(_merges(e, now, method, gamma).where(F.col("gain") > LEAST_GAIN), "pairs")
+        ends = pairs.select("a", "b", "gain", F.explode(F.array("a", "b")).alias("end"))
+        first = ends.groupBy("end").agg(F.max(F.struct("gain", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
+        mutual = first.groupBy((-F.col("x.a")).alias("to"), (-F.col("x.b")).alias("key"), F.col("x.gain").alias("gain")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        step = _better(e, now, mutual.select(F.lit("comm").alias("of"), "key", "to", "gain"), method, gamma, q, seed)
+        if step is None:
+            return now.select("node", "comm")
+        now, q = step
+
+
+def resolutions(edges: DataFrame, nodes: DataFrame, method: str, low: float, high: float, least: float, seed: int = 1) -> DataFrame:
+    """gamma, communities, quality, within: the profile between two resolutions.
+
+    ``within`` is what the resolution multiplies: the sum of n * n (cpm) or of expected
+    weights (configuration).  An interval is halved while ``within`` differs at its ends
+    and it is longer than ``least``; each resolution is one optimisation.
+    """
+    if method not in ("cpm", "configuration"):
+        raise ValueError(f"{method} has no resolution that its quality is linear in")
+    found: dict[float, tuple] = {}
+
+    def at(gamma: float) -> tuple:
+        if gamma not in found:
+            p = stored(best_of(edges, nodes, method, gamma, seed), "profile")
+            one, more = (_quality(_split(edges), _sized(p), method, g).first()[0] or 0.0 for g in (gamma, gamma + 1.0))
+            found[gamma] = (gamma, p.select("comm").distinct().count(), one, one - more)
+        return found[gamma]
+
+    open_ = [(low, high)]
+    while open_:
+        a, b = open_.pop()
+        if abs(at(a)[3] - at(b)[3]) > LEAST_GAIN and b - a > least:
+            open_ += [(a, (a + b) / 2), ((a + b) / 2, b)]
+    return edges.sparkSession.createDataFrame(sorted(found.values()), "gamma double, communities bigint, quality double, within double")

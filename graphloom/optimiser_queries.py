@@ -41,6 +41,33 @@ for _m, (_graph, _g, _gamma, _r, _f) in _GAINS.items():
         with_(_names, _MOVES.format(g=_g, f=_f, r=_r)),
     )
 
+# The same for joins of two communities: v and d are their names.
+_JOINS = _MOVES.replace(_MOVES[: _MOVES.index("ee AS")], """, cand AS (SELECT DISTINCT least(a.comm, b.comm) AS v, greatest(a.comm, b.comm) AS d FROM {g} JOIN p a ON a.node = src JOIN p b ON b.node = dst WHERE a.comm <> b.comm),
+mv AS (SELECT v, d, node, CASE WHEN comm = d THEN v ELSE comm END AS comm FROM cand, p UNION ALL SELECT -1, -1, node, comm FROM p),
+""").replace("v AS node, d AS comm", "v AS a, d AS b")
+for _m in ("modularity", "surprise", "sta"):
+    _graph, _g, _gamma, _r, _f = _GAINS[_m]
+    register(
+        f"merge_gains_{_m}",
+        lambda s, d, m=_m, graph=_graph, gamma=_gamma, r=_r: O.merge_gains(graph(s, d), G.regions(s, d), m, gamma).select("a", "b", F.round("gain", r).alias("gain")),
+        with_({"trade": "trade p", "change": "change p"}.get(_g, "und p"), _JOINS.format(g=_g, f=_f, r=_r)),
+    )
+
+# Optimisers have no SQL; tests hold them against known communities and against all single moves.
+_share = lambda s, d: X.normalize(G.mirrored(G.without_loops(G.trade(s, d))))
+_plain = lambda s, d: X.binarize(G.partners(s, d))
+register("louvain_dir", lambda s, d: O.optimise(G.trade(s, d), G.nations(s, d)))
+register("louvain_sign", lambda s, d: O.optimise(G.change(s, d), G.nations(s, d), "sta"))
+register("finetune_und", lambda s, d: O.finetune(_share(s, d), G.regions(s, d)))
+register("finetune_dir", lambda s, d: O.finetune(G.trade(s, d), G.regions(s, d)))
+register("finetune_sign", lambda s, d: O.finetune(G.change(s, d), G.regions(s, d), "sta"))
+register("probtune_sign", lambda s, d: O.finetune(G.change(s, d), G.regions(s, d), "sta", jump=0.3))
+register("best_cpm", lambda s, d: O.best_of(_share(s, d), G.nations(s, d), "cpm", 0.5))
+register("best_significance", lambda s, d: O.best_of(_plain(s, d), G.nations(s, d), "significance"))
+register("best_surprise", lambda s, d: O.best_of(_plain(s, d), G.nations(s, d), "surprise"))
+register("agglomerate_surprise", lambda s, d: O.agglomerate(_plain(s, d), G.nations(s, d)))
+register("resolutions_cpm", lambda s, d: O.resolutions(_share(s, d), G.nations(s, d), "cpm", 0.0, 1.0, 0.5))
+
 register("from_communities", lambda s, d: P.to_communities(G.trade(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), G.regions(s, d)), with_("trade p", "\nSELECT dst AS node, comm, sum(w) AS s FROM trade JOIN p ON p.node = src GROUP BY 1, 2"))
 
 

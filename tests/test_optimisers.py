@@ -78,3 +78,63 @@ def test_motifs(spark, size, functional):
     assert got.keys() == want.keys()
     for k, x in want.items():
         assert got[k] == pytest.approx(x)
+
+
+def cliques(spark):
+    from graphloom.operators.random_graphs import ring_of_cliques
+
+    e = ring_of_cliques(spark, 4, 4)
+    return e, e.select(e.src.alias("node")).distinct()
+
+
+@pytest.mark.parametrize("method", ["modularity", "significance", "surprise", "cpm", "sta"])
+def test_optimisers_find_cliques(spark, method):
+    e, v = cliques(spark)
+    assert rows(O.best_of(e, v, method, 0.5 if method == "cpm" else 1.0)) == [(i, i // 4 * 4) for i in range(16)]
+
+
+def test_agglomeration_finds_cliques(spark):
+    e, v = cliques(spark)
+    assert rows(O.agglomerate(e, v)) == [(i, i // 4 * 4) for i in range(16)]
+
+
+@pytest.mark.parametrize("method", ["surprise", "neg"])
+def test_merge_gains(spark, method):
+    e, p = signed(spark)
+    e = e if method in O.SIGNED else e.where("w > 0").selectExpr("src", "dst", "1D AS w")
+    before = O.quality(e, p, method).first()[0]
+    for a, b, gain in rows(O.merge_gains(e, p, method)):
+        after = O.quality(e, p.selectExpr("node", f"CASE WHEN comm = {b} THEN {a} ELSE comm END AS comm"), method).first()[0]
+        assert gain == pytest.approx(after - before, abs=1e-9)
+
+
+@pytest.mark.parametrize("jump", [0.0, 0.5])
+def test_finetuned_partitions_rest(spark, jump):
+    e, p = signed(spark)
+    arcs = e.where("w > 0 AND (src + 2 * dst) % 3 > 0")
+    for g, method in ((e, "sta"), (arcs, "modularity")):
+        q = O.finetune(g, p, method, jump=jump)
+        assert O.quality(g, q, method).first()[0] >= O.quality(g, p, method).first()[0]
+        assert O.move_gains(g, q, method).where("gain > 1e-9").isEmpty()
+
+
+def test_levels_rise_and_rest(spark):
+    from graphloom.operators.partitions import partition_at_level
+
+    e, _ = signed(spark)
+    v = spark.range(10).selectExpr("id AS node")  # node 9 has no edges
+    tree = O.optimise(e, v, "smp")
+    levels = [r[0] for r in tree.select("level").distinct().orderBy("level").collect()]
+    q = [O.quality(e, partition_at_level(tree, n), "smp").first()[0] for n in levels]
+    assert q == sorted(q)
+    assert O.move_gains(e, partition_at_level(tree, 0), "smp").where("gain > 1e-9").isEmpty()
+    assert (9, 9) in rows(partition_at_level(tree, levels[-1]))
+    assert rows(O.optimise(e.limit(0), v)) == [(0, i, i) for i in range(10)]
+
+
+def test_resolutions(spark):
+    e, v = cliques(spark)
+    got = rows(O.resolutions(e, v, "cpm", 0.0, 1.5, 0.5))
+    assert got[0][:2] == (0.0, 1)
+    assert got[-1][:2] == (1.5, 16)
+    assert all(a[3] >= b[3] for a, b in zip(got, got[1:]))
