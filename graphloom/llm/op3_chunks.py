@@ -7,8 +7,9 @@ Spark joins, and a medium is the ordered list of its chunk digests.  Reading bac
 joins the lists with one copy of each chunk, checks every digest, and puts the
 payload together again; media with the same list are read once.
 
-Stored form of a medium (little-endian): ``CDC1``, number of chunks (32 bits), payload
-length (64 bits), length (32 bits) and 16-byte digest of each chunk, then the chunks.
+Stored form of a medium: for each chunk in order, its 16-byte digest and its body as it
+stands in the store (a Zstandard frame with the store's dictionary).  ``media_*`` are
+taken from these bytes as they are read.
 
 Defined cases: null counts as empty; an empty text is 64 zero bytes; repeated rows
 share all chunks; an empty table gives no rows; other columns are not read.
@@ -17,7 +18,6 @@ share all chunks; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,18 +98,21 @@ def _stage(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in STAGED.split(", ")])
 
 
-def _medium(chunks: list[bytes]) -> tuple:
-    """Features of the payload of verified chunks, in the order of FEATURES."""
+def _medium(stored: list[tuple[bytes, bytes]], reader: zstandard.ZstdDecompressor) -> tuple:
+    """Features of a medium from its digests and bodies, in the order of FEATURES; chunks are verified."""
+    chunks = [_open(body, name, reader) for name, body in stored]
     payload = b"".join(chunks)
-    head = b"CDC1" + struct.pack("<IQ", len(chunks), len(payload)) + b"".join(struct.pack("<I", len(c)) + digest(c) for c in chunks)
-    medium = hashlib.sha256(head)
-    medium.update(payload)
+    medium, size = hashlib.sha256(), 0
+    for name, body in stored:
+        medium.update(name)
+        medium.update(body)
+        size += len(name) + len(body)
     samples = np.frombuffer(payload, np.uint8)
     counts = np.bincount(samples, minlength=256)
     share = counts[counts > 0] / len(samples)
     entropy = float(-(share * np.log2(share)).sum())
     feature = f"chunks={len(chunks)};mean={int(counts @ np.arange(256)) / len(samples):.4f};max={int(samples.max())};entropy={entropy:.4f}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), C.crc32(payload[-64:]), len(head) + len(payload), medium.hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), C.crc32(payload[-64:]), size, medium.hexdigest(), feature
 
 
 def _open(body: bytes, name: bytes, reader: zstandard.ZstdDecompressor) -> bytes:
@@ -126,19 +129,26 @@ def _read(batches: Iterator[pa.RecordBatch], dictionary: bytes, key: str) -> Ite
         out = []
         if key == "digest":
             for name, body in zip(batch["digest"], batch["body"], strict=True):
-                out.append(_medium([_open(body.as_py(), name.as_py(), reader)]))
+                out.append(_medium([(name.as_py(), body.as_py())], reader))
         else:
             for chunks in batch["chunks"]:
-                out.append(_medium([_open(x["body"].as_py(), x["digest"].as_py(), reader) for x in chunks]))
+                out.append(_medium([(x["digest"].as_py(), x["body"].as_py()) for x in chunks], reader))
         if out:
             yield pa.RecordBatch.from_arrays([batch[key], *(pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), FEATURES, strict=True))], names=[key, *(n for n, _ in FEATURES)])
 
 
 def _dictionary(docs: DataFrame, most: int = 2000, longest: int = 8192) -> bytes:
-    """A compression dictionary from at most ``most`` texts of middle length; without one, chunks compress alone."""
-    texts = C.clean(docs, "text").where(F.octet_length("text").between(512, longest)).limit(most).collect()
+    """A compression dictionary from at most ``most`` different texts of middle length; without one, chunks compress alone.
+
+    The texts of least hash are taken, so that the same table gives the same stored bytes.
+    """
+    rows = C.clean(docs, "text").where(F.octet_length("text").between(512, longest)).select(F.xxhash64("text").alias("h"), "text")
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
+    if not least:
+        return b""
+    texts = rows.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("text").alias("text")).collect()
     try:
-        return zstandard.train_dictionary(64 << 10, [r["text"].encode() for r in texts]).as_bytes()
+        return zstandard.train_dictionary(64 << 10, [r["text"].encode() for r in sorted(texts)]).as_bytes()
     except zstandard.ZstdError:  # too few samples
         return b""
 

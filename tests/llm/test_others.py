@@ -61,6 +61,18 @@ def test_chunks(spark):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[1003].media_sha256 == got[1004].media_sha256
+    store = op3.ChunkStore(df)
+    again = {r.doc_id: r for r in store.features().collect()}
+    assert again == got  # the same table gives the same stored bytes
+    staged = store.staged.collect()
+    bodies = {r.digest: bytes(r.body) for r in staged if r.body is not None}
+    for i, t in rows:
+        rid = min(r.rid for r in staged if r.doc_id == i)  # rows may repeat
+        media = b"".join(bytes(r.digest) + bodies[r.digest] for r in sorted((r for r in staged if r.rid == rid), key=lambda r: r.seq))
+        payload = (t or "").encode()
+        payload += bytes(max(64, -(-len(payload) // 64) * 64) - len(payload))
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert f"mean={sum(payload) / len(payload):.4f};max={max(payload)};" in got[i].feature
     assert op3.ChunkStore(cases.empty(spark)).features().count() == 0
 
 
