@@ -60,13 +60,29 @@ register("nbs", lambda s, d: N.nbs(_subjects(s, d), _groups(s, d), 1.5).select("
 register("louvain", lambda s, d: M.louvain(G.partners(s, d), G.nations(s, d)))
 register("label_propagation", lambda s, d: M.label_propagation(G.partners(s, d), G.nations(s, d)))
 register("consensus", lambda s, d: M.consensus(G.partners(s, d), G.nations(s, d), 0.5, 2))
-register("rewired_degrees_dir", lambda s, d: X.degrees_dir(A.rewire(G.top_trade(s, d), 3), G.nations(s, d)), with_("top node", """
-SELECT node, coalesce(i, 0) AS id, coalesce(o, 0) AS od, coalesce(i, 0) + coalesce(o, 0) AS deg FROM node LEFT JOIN (SELECT dst, count(*) AS i FROM top GROUP BY 1) a ON node = a.dst LEFT JOIN (SELECT src, count(*) AS o FROM top GROUP BY 1) b ON node = b.src"""))
-register("rewired_degrees_und", lambda s, d: X.degrees_und(A.rewire(G.partners(s, d), 3, directed=False, connected=True), G.nations(s, d)), with_("und node", "\nSELECT node, count(dst) AS deg FROM node LEFT JOIN und ON src = node GROUP BY 1"))
+
+
+def _rewired(new: DataFrame, old: DataFrame, measure) -> DataFrame:
+    """The measure of the rewired graph, whether any edge is new or of another sign, and whether the number of edges and the sum of weights are kept."""
+    held = lambda e: e.agg(F.struct(F.count(F.lit(1)), F.sum("w")).alias("held"))
+    place = lambda e: e.select("src", "dst", F.signum("w").alias("sign"))
+    moved = place(new).join(place(old), ["src", "dst", "sign"], "left_anti").agg((F.count(F.lit(1)) > 0).alias("changed"))
+    kept = held(new).unionByName(held(old)).agg((F.count_distinct("held") == 1).alias("kept"))
+    return measure(new).join(F.broadcast(moved)).join(F.broadcast(kept))
+
+
+_signs = lambda e: e.groupBy(F.col("src").alias("node")).agg(F.count_if(F.col("w") > 0).alias("pos"), F.count_if(F.col("w") < 0).alias("neg"))
+register("rewired_degrees_dir", lambda s, d: _rewired(A.rewire(G.top_trade(s, d), 3), G.top_trade(s, d), lambda e: X.degrees_dir(e, G.nations(s, d))), with_("top node", """
+SELECT node, coalesce(i, 0) AS id, coalesce(o, 0) AS od, coalesce(i, 0) + coalesce(o, 0) AS deg, true AS changed, true AS kept FROM node LEFT JOIN (SELECT dst, count(*) AS i FROM top GROUP BY 1) a ON node = a.dst LEFT JOIN (SELECT src, count(*) AS o FROM top GROUP BY 1) b ON node = b.src"""))
+register(
+    "rewired_degrees_und",
+    lambda s, d: _rewired(A.rewire(G.partners(s, d), 3, directed=False, connected=True), G.partners(s, d), lambda e: X.degrees_und(e, G.nations(s, d))),
+    with_("und node", "\nSELECT node, count(dst) AS deg, true AS changed, true AS kept FROM node LEFT JOIN und ON src = node GROUP BY 1"),
+)
 register(
     "rewired_signs",
-    lambda s, d: A.rewire(G.change(s, d), 2, directed=False, by_sign=True).groupBy(F.col("src").alias("node")).agg(F.count_if(F.col("w") > 0).alias("pos"), F.count_if(F.col("w") < 0).alias("neg")),
-    with_("change", "\nSELECT src AS node, count(*) FILTER (WHERE w > 0) AS pos, count(*) FILTER (WHERE w < 0) AS neg FROM change GROUP BY 1"),
+    lambda s, d: _rewired(A.rewire(G.change(s, d), 2, directed=False, by_sign=True), G.change(s, d), _signs),
+    with_("change", "\nSELECT src AS node, count(*) FILTER (WHERE w > 0) AS pos, count(*) FILTER (WHERE w < 0) AS neg, true AS changed, true AS kept FROM change GROUP BY 1"),
 )
 register("latticed", lambda s, d: A.rewire(G.top_trade(s, d), 3, lattice=True))
 register("random_edges", lambda s, d: A.random_edges(G.nations(s, d), G.top_trade(s, d).count()))

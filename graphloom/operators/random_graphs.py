@@ -15,7 +15,8 @@ def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = Tr
     In a round, edges fall into buckets by hash and the first and last of each bucket
     swap their targets, unless that makes a loop or an edge that exists or that two
     swaps would make.  lattice: only swaps that bring ends nearer; by_sign: only edges
-    of the same sign; connected: rounds that split the graph are taken back.
+    of the same sign, which change places with what joins their ends crosswise if that
+    is of one other sign (or absent) on both sides; connected: rounds that split the graph are taken back.
     Undirected graphs are mirrored and come back mirrored.
     """
     now = edges.where("src <> dst").select("src", "dst", "w")
@@ -33,6 +34,10 @@ def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = Tr
         ok = (a != d) & (c != b) & (a != c) & (b != d)
         if lattice:
             ok = ok & (F.abs(a - d) + F.abs(c - b) < F.abs(a - b) + F.abs(c - d))
+        if by_sign:
+            new = stored(_exchanged(now, two.where(ok), directed), "rewired")
+            now = new if not connected or _pieces(new) <= pieces else now
+            continue
         two = two.where(ok).select("b", "sign", F.array(F.struct(a.alias("s"), d.alias("t"), F.col("x.w").alias("w")), F.struct(c.alias("s"), b.alias("t"), F.col("y.w").alias("w"))).alias("new"), F.array("x", "y").alias("old"))
         ends = (lambda s, t: (s, t)) if directed else (lambda s, t: (F.least(s, t), F.greatest(s, t)))
         made = two.select("b", "sign", F.explode("new").alias("e")).select("b", "sign", *[x.alias(k) for x, k in zip(ends(F.col("e.s"), F.col("e.t")), ("src", "dst"), strict=True)], "e.w")
@@ -47,6 +52,23 @@ def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = Tr
     return now if directed else now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
+def _exchanged(now: DataFrame, two: DataFrame, directed: bool) -> DataFrame:
+    """Exchange the weights of a-b, c-d with those of a-d, c-b in the pairs ``two``; no place takes part in two exchanges."""
+    ends = (F.col("p.s"), F.col("p.t")) if directed else (F.least("p.s", "p.t"), F.greatest("p.s", "p.t"))
+    place = lambda i, s, t: F.struct(F.lit(i).alias("i"), F.col(s).alias("s"), F.col(t).alias("t"))
+    four = two.select("b", "sign", F.explode(F.array(place(0, "x.s", "x.t"), place(1, "y.s", "y.t"), place(2, "x.s", "y.t"), place(3, "y.s", "x.t"))).alias("p"))
+    four = four.select("b", "sign", "p.i", ends[0].alias("src"), ends[1].alias("dst")).join(now, ["src", "dst"], "left")
+    four = stored(four, "places")
+    sign = lambda i: F.max(F.when(F.col("i") == i, F.coalesce(F.signum("w"), F.lit(0.0))))
+    fit = four.groupBy("b", "sign").agg(sign(2).alias("r2"), sign(3).alias("r3"), F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("of")).where("r2 = r3 AND r2 <> sign")
+    four = stored(four.join(fit.select("b", "sign", "of"), ["b", "sign"]), "fitting")
+    # of exchanges that want the same place, the one of least bucket goes on
+    first = four.groupBy("src", "dst").agg(F.min(F.struct("b", "sign")).alias("first"))
+    late = four.join(first, ["src", "dst"]).where(F.struct("b", "sign") != F.col("first")).select("b", "sign").distinct()
+    done = four.join(late, ["b", "sign"], "left_anti").select("src", "dst", F.element_at("of", (F.col("i") + 2) % 4).alias("w"))
+    return now.join(done, ["src", "dst"], "left_anti").unionByName(done.where("w IS NOT NULL"))
+
+
 def _pieces(edges: DataFrame) -> int:
     return connected_components(edges).agg(F.count_distinct("comp")).first()[0]
 

@@ -138,3 +138,17 @@ def test_resolutions(spark):
     assert got[0][:2] == (0.0, 1)
     assert got[-1][:2] == (1.5, 16)
     assert all(a[3] >= b[3] for a, b in zip(got, got[1:]))
+
+
+def test_signs_change_places_in_a_complete_graph(spark):
+    from graphloom.operators.random_graphs import rewire
+
+    draw = random.Random(5)
+    half = [(a, b, draw.choice([-1.0, 1.0]) * draw.randint(1, 9)) for b in range(12) for a in range(b)]
+    e = spark.createDataFrame(half + [(b, a, w) for a, b, w in half], "src bigint, dst bigint, w double")
+    new = rewire(e, 4, directed=False, by_sign=True)
+    signs = lambda df: rows(df.groupBy("src").agg({"*": "count"}).join(df.where("w < 0").groupBy("src").count(), "src", "left"))
+    assert signs(new) == signs(e)
+    assert sorted(w for *_, w in rows(new)) == sorted(w for *_, w in rows(e))
+    assert {(a, b): w for a, b, w in rows(new)} == {(b, a): w for a, b, w in rows(new)}
+    assert rows(new) != rows(e)
