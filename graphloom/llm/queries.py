@@ -17,6 +17,8 @@ from . import (
     op8_licenses,
     op9_token_counts,
     op10_pack,
+    op12_best_fit,
+    op13_repair_turns,
 )
 
 _MODULES = {
@@ -30,6 +32,8 @@ _MODULES = {
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
+    "op12_best_fit": op12_best_fit,
+    "op13_repair_turns": op13_repair_turns,
 }
 
 

@@ -90,6 +90,8 @@ class Encoder:
         self.first, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids, self.used = np.empty(1 << 18, np.uint32), 0
 
+    cuts = staticmethod(cuts)
+
     def _piece(self, piece: bytes) -> bytes:
         """Ids of a piece that is not known yet."""
         if _SIMPLE.fullmatch(piece):
@@ -147,7 +149,7 @@ class Encoder:
         """Ids of rows without added tokens, and the offsets of the rows' ids."""
         if not len(raw):
             return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
-        start = cuts(raw, at)
+        start = self.cuts(raw, at)
         size = np.diff(np.append(start, len(raw)))
         padded = np.concatenate([raw, np.zeros(LONG, np.uint8)])
         eight = np.ndarray(len(raw) + LONG - 7, "<u8", padded, strides=(1,))
@@ -212,8 +214,35 @@ class Encoder:
                 yield doc, np.concatenate([ids[a:b], end])
 
 
-def encoder(path: str) -> Encoder:
+def word_cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First bytes of pieces for a tokenizer that drops white space and takes letters, single digits and other marks apart."""
+    begin = np.zeros(len(raw), bool)
+    kind = _KIND[raw]
+    accent = np.flatnonzero(raw[:-1] == 0xC3)
+    accent = accent[(raw[accent + 1] != 0x97) & (raw[accent + 1] != 0xB7)]
+    kind[accent] = kind[accent + 1] = 1
+    left, right = kind[:-1], kind[1:]
+    # nothing that is composed, and no word, goes over white space; an apostrophe can take the letters behind it
+    begin[1:] = (left != right) & ((left == 4) | (right == 4) | (left > 0) & (right > 0) & ~((raw[:-1] == 39) & (right == 1)))
+    begin[at[:-1][np.diff(at) > 0]] = True
+    return np.flatnonzero(begin)
+
+
+class WordEncoder(Encoder):
+    """For files whose tokenizer lower-cases, drops white space and marks the ends of words."""
+
+    cuts = staticmethod(word_cuts)
+
+    def _piece(self, piece: bytes) -> bytes:
+        if piece.isspace():
+            return b""
+        if piece.isalpha():  # letters of ASCII
+            return array("I", [t.id for t in self.model.tokenize(piece.decode().lower())]).tobytes()
+        return array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+
+
+def encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
     """One encoder for each Python worker and file."""
     if path not in _HELD:
-        _HELD[path] = Encoder(path)
+        _HELD[path] = kind(path)
     return _HELD[path]
