@@ -17,6 +17,7 @@ from . import (
     op8_licenses,
     op9_token_counts,
     op10_pack,
+    op11_hard_negatives,
     op12_best_fit,
     op13_repair_turns,
 )
@@ -32,6 +33,7 @@ _MODULES = {
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_best_fit": op12_best_fit,
     "op13_repair_turns": op13_repair_turns,
 }

@@ -6,10 +6,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import tokenizers
 
 import cases
+from graphloom.llm import op11_hard_negatives as op11
 from graphloom.llm import op12_best_fit as op12
 from graphloom.llm import op13_repair_turns as op13
 from graphloom.llm import tokens
@@ -165,3 +168,65 @@ def test_word_pieces_equal_the_library():
             ids, ids_at = enc.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
             want = [ref.encode(x, add_special_tokens=False).ids for x in part]
             assert [ids[a:b].tolist() for a, b in zip(ids_at[:-1], ids_at[1:], strict=True)] == want
+
+
+def vectors(seed, n, dim, small=False):
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        v = (r.integers(-2, 3, dim) / 256 if small else r.normal(0, 0.3, dim)).astype(np.float32).tolist()
+        rows.append((i * (7 if small else 1), v, int(r.integers(0, 3))))
+    rows += [(700, rows[3][1], 1), (900, [0.0] * dim, 1), (1400, None, 2), (1500, [None] + [0.5] * (dim - 1), 2), (1600, [float("nan")] * dim, 1), (1700, [float("inf")] * dim, 1), (1800, [0.1] * dim, None), (None, [0.1] * dim, 1)]
+    return rows + rows[:40]  # repeated rows
+
+
+SHAPE = "vec_id bigint, embedding array<float>, label int, key int, v string, windows int"
+
+
+def test_hard_negatives_against_sql(spark, monkeypatch):
+    monkeypatch.setattr(op11, "LEAF", 4)
+    monkeypatch.setattr(op11, "BLOCK", 64)
+    monkeypatch.setattr(op11, "TILE", 512)
+    for seed, n, dim, small in ((1, 300, 8, False), (2, 400, 3, True), (3, 30, 1, True)):
+        rows = vectors(seed, n, dim, small)
+        df = spark.createDataFrame([(*x, 1, "x", 2) for x in rows], SHAPE)
+        got = sorted(tuple(x) for x in op11.mine(op11.usable(df, relabel=True)).collect())
+        con = duckdb.connect()
+        embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding", "label"]).astype({"vec_id": "Int64", "label": "Int64"})  # noqa: F841
+        rel = con.sql(op11.SQL.replace("FROM embeddings", "FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding, label FROM embeddings)"))
+        assert rel.columns == op11.RESULT
+        assert got == sorted(rel.fetchall()) and len(got) > 10
+    assert op11.mine(op11.usable(df.limit(0))).count() == 0
+    assert op11.mine(op11.usable(df.where("vec_id % 100 <> 0"))).count() == 0
+
+
+def test_tree_prunes_and_finds_all():
+    r = np.random.default_rng(5)
+    for dim, n in ((2, 5000), (5, 3000), (1, 700)):
+        v = r.integers(-300, 300, (n, dim))
+        order, leaves = op11.packed(v)
+        assert sorted(order) == list(range(n)) and max(np.diff(leaves)) <= op11.LEAF and leaves[-1] == n
+        tree = op11.Tree(order, order % 3, v[order], leaves)
+        read = 0
+        for anchor in r.integers(-300, 300, (20, dim)):
+            scores = tree.v @ anchor
+            lo, hi = sorted(int(x) for x in r.choice(scores, 2))
+            low, high = tree.intervals(anchor[None, :])
+            mine, mask = op11.Windows([(lo, hi), (op11.LEAST, op11.MOST)], 5), tree.labels != 1
+            read += op11.search(tree, anchor, [x[0] for x in low], [x[0] for x in high], mine, mask)
+            for found, (a, b) in zip(mine.found, [(lo, hi), (op11.LEAST, op11.MOST)], strict=True):
+                some = mask & (scores >= a) & (scores <= b)
+                assert found == sorted(zip((-scores[some]).tolist(), tree.ids[some].tolist(), strict=True))[:5]
+        assert dim > 2 or read < 20 * len(leaves) / 2
+
+
+def test_large_components_stay_whole(spark):
+    rows = [(i * 100, [float(i + 1) * 2.0**17, 3.0 + i], i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    want, v = set(), {i: [int(256 * x) for x in e] for i, e, _ in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    for i, _, label in rows:
+        for p in sorted((j for j, _, x in rows if x == label and j != i), key=lambda j: (-dot(i, j), j))[:5]:
+            fits = [j for j, _, x in rows if x != label and 80 * dot(i, p) <= 100 * dot(i, j) <= 100 * dot(i, p)]
+            want |= {(i, p, k, j, dot(i, p), dot(i, j)) for k, j in enumerate(sorted(fits, key=lambda j: (-dot(i, j), j))[:5], 1)}
+    assert {tuple(x) for x in op11.mine(op11.usable(df)).collect()} == want
