@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,17 +200,38 @@ def clean(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether ``df`` only reads files, so that each run sees the same rows in the same partitions."""
-    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
-    return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LogicalRelation)\b", x) for x in lines)
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only picks rows and columns of files that it reads once each."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.deterministic() and plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    files = list(plan.relation().location().inputFiles())
+    return len(files) == len(set(files)) and sum(map(len, files)) <= FILE_NAMES
+
+
+#: Bytes of file names up to which files are numbered by a broadcast table.
+FILE_NAMES = 32 << 20
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """rid (a number of the row), row (all its columns) and text; doc_id need not be unique.
 
-    The numbers hold for all jobs that use the result: anything but a plain file
-    scan, whose rows another run could deal out differently, is stored first.
+    Rows of files are numbered by their file and their place in it, whatever splits
+    a job reads them in: Spark sizes splits by the cores there are at the time, so numbers that
+    count rows by partition would change from job to job.  All other rows are stored with their numbers.
     """
-    out = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"), F.col("text").alias("text"))
-    return out if is_scan(docs) else stored(out, "numbered")
+    if _is_scan(docs):
+        try:
+            meta = docs.metadataColumn("_metadata")
+            rows = docs.select(meta["file_path"].alias("__file"), meta["row_index"].alias("__at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+        except AnalysisException:  # a format whose rows have no place
+            pass
+        else:
+            names = sorted(r[0] for r in rows.select("__file").distinct().collect())
+            if len(names) < 2:
+                return rows.select(F.col("__at").cast("bigint").alias("rid"), "row", "text")
+            files = docs.sparkSession.createDataFrame(list(enumerate(names)), "__k bigint, __file string")
+            return rows.join(F.broadcast(files), "__file").select((F.shiftleft("__k", 36) + F.col("__at")).alias("rid"), "row", "text")
+    return stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"), F.col("text").alias("text")), "numbered")

@@ -405,7 +405,7 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract digest of ``remove_repeats`` over all documents, and the words that stand in repeated passages of over 50 words."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs, keep=False)
-    # a table scan has the same row numbers each time
+    # a row of a file has the same number each time
     words = passage_words(C.numbered(docs).select("rid", "text"))
     out = out.join(words, "rid", "left")
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words"))

@@ -7,10 +7,12 @@ import cases
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import common as C
 from graphloom.llm import op1_suffix_dedup as op1
 from graphloom.llm import op5_minhash as op5
+from graphloom.llm import op7_warc as op7
 
 
 def brute_repeats(texts, length):
@@ -170,3 +172,45 @@ def test_equal_digest_of_rest(spark, sf_dir):
     want = {i: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for (i, _), x in zip(docs, brute_repeats([t for _, t in docs], 400), strict=True)}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op1.op1_suffix_dedup(spark, sf_dir).collect()}
     assert got == want
+
+
+def with_splits(spark, n, f):
+    """f() with files cut into ``n`` splits or more, as if more cores had joined."""
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.minPartitionNum", str(n))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 27 if n == 1 else 1 << 12))
+    try:
+        return f()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, tmp_path):
+    rows, df = cases.documents(spark)
+    long = df.withColumn("row", F.repeat(F.sha2("text", 256), 200))  # several row groups
+    long.repartition(3).write.option("parquet.block.size", "4096").parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    ids = lambda d: sorted((r.rid, r.row.doc_id) for r in C.numbered(d).select("rid", "row").collect())
+    few, many = with_splits(spark, 1, docs.rdd.getNumPartitions), with_splits(spark, 40, lambda: spark.read.parquet(f"file://{tmp_path}/docs").rdd.getNumPartitions())
+    assert few < many
+    for d in (docs, docs.select("doc_id", "text").where("doc_id <> 5"), spark.read.parquet(f"file://{tmp_path}/docs", f"file://{tmp_path}/docs"), docs.join(docs.select("doc_id").distinct(), "doc_id")):
+        a, b = with_splits(spark, 1, lambda d=d: ids(d)), with_splits(spark, 40, lambda d=d: ids(d))
+        assert len({i for i, _ in a}) == len(a) == d.count() and len({i for i, _ in b}) == len(b)
+    assert with_splits(spark, 1, lambda: ids(docs)) == with_splits(spark, 40, lambda: ids(docs))
+
+    def late(build, collect):
+        """A plan that is made with one number of splits and run with another."""
+        plan = with_splits(spark, 1, build)
+        return with_splits(spark, 40, lambda: collect(plan))
+
+    kept = late(lambda: op5.near_dedup(docs, k=4), lambda x: sorted(r.doc_id for r in x.collect()))
+    assert kept == sorted(r.doc_id for r in op5.near_dedup(docs, k=4).collect()) and len(kept) > 10
+    cut = lambda x: Counter((r.row.doc_id, r.n_removed, r.kept) for r in x.collect())
+    want = Counter((i, x[1], x[3]) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 40), strict=True))
+    assert late(lambda: op1.remove_repeats(docs, 40, 16), cut) == want
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.coalesce("text", F.lit("")).alias("html"))
+    op7.write(pages, f"file://{tmp_path}/warc")
+    assert op7.read(spark, f"file://{tmp_path}/warc").count() == len(rows)
