@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.shared import shared_dir, stored  # noqa: F401
+from graphloom.plans.shared import discard, shared_dir, stored  # noqa: F401
 
 U64 = np.uint64
 #: An odd multiplier for polynomial hashes modulo 2**64.

@@ -352,7 +352,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, step
     within = compared.select(*ids, F.explode("ranges").alias("r")).select("rid", (F.col("a") - F.col("dlo") + F.col("r.s")).alias("s"), (F.col("a") - F.col("dlo") + F.col("r.e") + length).alias("e"))
     # leading bytes that several buckets have; their windows meet once for each bucket
     over = compared.where(F.col("windows").isNotNull()).groupBy("core").agg(F.min("bucket").alias("b0"), F.max("bucket").alias("b1")).where("b0 < b1").select("core")
-    edge = C.stored(compared.where(F.col("windows").isNotNull()).join(over, "core").drop("ranges", "bucket"), "edges")
+    edge = edge0 = C.stored(compared.where(F.col("windows").isNotNull()).join(over, "core").drop("ranges", "bucket"), "edges")
     # how far the text before a suffix agrees with that of any other bounds its windows from the left
     probes = edge.select(*ids, F.posexplode("probes").alias("i", "p"))
     agree = probes.groupBy("core", "i", "p").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "i", "p")
@@ -362,7 +362,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, step
     twice = edge.groupBy("core", "d", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "d", "h")
     across = edge.where("NOT hit").join(twice, ["core", "d", "h"]).select("rid", (F.col("a") - F.col("d")).alias("s"), (F.col("a") - F.col("d") + length).alias("e"))
     copies = anchors.join(contexts.where("n > 1").select(*key), key, "left_semi").select("rid", (F.col("a") - F.col("dlo")).alias("s"), (F.col("a") - F.col("dhi") + length).alias("e"))
-    return within.unionByName(across).unionByName(copies)
+    spans = C.stored(within.unionByName(across).unionByName(copies), "spans")
+    C.discard(anchors, contexts, texts, compared, edge0)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep: bool = True, whole: bool = False, words: int = 0) -> DataFrame:
