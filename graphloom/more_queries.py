@@ -31,7 +31,7 @@ def _pajek(s, d) -> DataFrame:
 
 def _edge_list(s, d) -> DataFrame:
     path = _file(s, "list")
-    S.write_edge_list(G.top_trade(s, d), G.read(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_name").alias("label")), path)
+    S.write_edge_list(G.excess_trade(s, d), G.read(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_name").alias("label")), path)
     return S.read_edge_list(s, path)
 
 
@@ -72,7 +72,7 @@ def _rewired(new: DataFrame, old: DataFrame, measure) -> DataFrame:
 
 
 _signs = lambda e: e.groupBy(F.col("src").alias("node")).agg(F.count_if(F.col("w") > 0).alias("pos"), F.count_if(F.col("w") < 0).alias("neg"))
-register("rewired_degrees_dir", lambda s, d: _rewired(A.rewire(G.top_trade(s, d), 3), G.top_trade(s, d), lambda e: X.degrees_dir(e, G.nations(s, d))), with_("top node", """
+register("rewired_degrees_dir", lambda s, d: _rewired(A.rewire(G.excess_trade(s, d), 3), G.excess_trade(s, d), lambda e: X.degrees_dir(e, G.nations(s, d))), with_("top node", """
 SELECT node, coalesce(i, 0) AS id, coalesce(o, 0) AS od, coalesce(i, 0) + coalesce(o, 0) AS deg, true AS changed, true AS kept FROM node LEFT JOIN (SELECT dst, count(*) AS i FROM top GROUP BY 1) a ON node = a.dst LEFT JOIN (SELECT src, count(*) AS o FROM top GROUP BY 1) b ON node = b.src"""))
 register(
     "rewired_degrees_und",
@@ -84,8 +84,8 @@ register(
     lambda s, d: _rewired(A.rewire(G.change(s, d), 2, directed=False, by_sign=True), G.change(s, d), _signs),
     with_("change", "\nSELECT src AS node, count(*) FILTER (WHERE w > 0) AS pos, count(*) FILTER (WHERE w < 0) AS neg, true AS changed, true AS kept FROM change GROUP BY 1"),
 )
-register("latticed", lambda s, d: A.rewire(G.top_trade(s, d), 3, lattice=True))
-register("random_edges", lambda s, d: A.random_edges(G.nations(s, d), G.top_trade(s, d).count()))
-register("ring_lattice", lambda s, d: A.ring_lattice(G.nations(s, d), G.top_trade(s, d).count()))
+register("latticed", lambda s, d: A.rewire(G.excess_trade(s, d), 3, lattice=True))
+register("random_edges", lambda s, d: A.random_edges(G.nations(s, d), G.excess_trade(s, d).count()))
+register("ring_lattice", lambda s, d: A.ring_lattice(G.nations(s, d), G.excess_trade(s, d).count()))
 register("hierarchical", lambda s, d: A.hierarchical(G.nations(s, d), 2, 2.0))
 register("small_worldness", lambda s, d: A.small_worldness(G.partners(s, d), G.nations(s, d), 2))

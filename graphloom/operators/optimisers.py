@@ -6,6 +6,9 @@ communities from the share of pairs there); sta, pos, smp, gja and neg weigh the
 positive and the negative part of signed graphs.  Directed graphs hold their arcs,
 undirected ones both directions.  Partitions may carry ``size``, how many nodes of the
 first graph a node stands for; otherwise it is 1.
+
+Inside, edges and partitions carry a key ``run``: many partitions, of one graph or of
+several, at one resolution or at many, are optimised by the same jobs.
 """
 
 from __future__ import annotations
@@ -26,39 +29,53 @@ SUMS = ("n", "ip", "op", "np", "iq", "oq", "nq")
 
 
 def _split(edges: DataFrame) -> DataFrame:
-    """src, dst, p, q: positive and negative weight."""
-    return edges.select("src", "dst", F.greatest(F.col("w"), F.lit(0.0)).alias("p"), F.greatest(-F.col("w"), F.lit(0.0)).alias("q"))
+    """run, src, dst, p, q: positive and negative weight."""
+    run = F.col("run") if "run" in edges.columns else F.lit(0)
+    return edges.select(run.cast("bigint").alias("run"), "src", "dst", F.greatest(F.col("w"), F.lit(0.0)).alias("p"), F.greatest(-F.col("w"), F.lit(0.0)).alias("q"))
 
 
 def _sized(parts: DataFrame) -> DataFrame:
     size = F.col("size") if "size" in parts.columns else F.lit(1)
-    return parts.select("node", "comm", size.cast("double").alias("size"))
+    run = F.col("run") if "run" in parts.columns else F.lit(0)
+    gamma = [F.col("gamma")] if "gamma" in parts.columns else []
+    return parts.select(run.cast("bigint").alias("run"), "node", "comm", size.cast("double").alias("size"), *gamma)
+
+
+def _ends(e: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges with the communities of their ends, c1 and c2, within each run."""
+    p = lambda end, comm: parts.select("run", F.col("node").alias(end), F.col("comm").alias(comm))
+    return e.join(p("src", "c1"), ["run", "src"]).join(p("dst", "c2"), ["run", "dst"])
+
 
+def _sums(e: DataFrame, parts: DataFrame, gamma: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """links (run, node, comm, lp, lq), nodes with the links to their own community, communities, totals of each run.
 
-def _sums(e: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """links (node, comm, lp, lq), nodes with the links to their own community, communities, totals."""
-    p = parts.select("node", "comm")
-    both = e.where("src <> dst").join(p.select(F.col("node").alias("src"), F.col("comm").alias("c1")), "src").join(p.select(F.col("node").alias("dst"), F.col("comm").alias("c2")), "dst")
+    The resolution stands with the totals: ``gamma``, or the column of that name in ``parts``.
+    """
+    own_gamma = F.max("gamma") if "gamma" in parts.columns else F.lit(float(gamma))
+    both = _ends(e.where("src <> dst"), parts)
     side = lambda node, comm: F.struct(F.col(node).alias("node"), F.col(comm).alias("comm"), "p", "q")
-    links = both.select(F.explode(F.array(side("src", "c2"), side("dst", "c1"))).alias("x")).groupBy("x.node", "x.comm").agg(F.sum("x.p").alias("lp"), F.sum("x.q").alias("lq"))
+    links = both.select("run", F.explode(F.array(side("src", "c2"), side("dst", "c1"))).alias("x")).groupBy("run", "x.node", "x.comm").agg(F.sum("x.p").alias("lp"), F.sum("x.q").alias("lq"))
     zero, loop = F.lit(0.0), F.col("src") == F.col("dst")
     own = lambda c: F.when(loop, F.col(c)).otherwise(zero)
     out = F.struct(F.col("src").alias("node"), F.col("p").alias("op"), F.col("q").alias("oq"), zero.alias("np"), zero.alias("nq"), own("p").alias("xp"), own("q").alias("xq"))
     into = F.struct(F.col("dst").alias("node"), zero.alias("op"), zero.alias("oq"), F.col("p").alias("np"), F.col("q").alias("nq"), zero.alias("xp"), zero.alias("xq"))
     names = ("op", "oq", "np", "nq", "xp", "xq")
-    ends = e.select(F.explode(F.array(out, into)).alias("x")).groupBy("x.node").agg(*[F.sum(f"x.{c}").alias(c) for c in names])
-    nodes = parts.join(ends, "node", "left").join(links, ["node", "comm"], "left")
-    nodes = nodes.select("node", "comm", "size", *[F.coalesce(c, zero).alias(c) for c in (*names, "lp", "lq")])
-    comms = nodes.groupBy("comm").agg(
+    ends = e.select("run", F.explode(F.array(out, into)).alias("x")).groupBy("run", "x.node").agg(*[F.sum(f"x.{c}").alias(c) for c in names])
+    nodes = parts.join(ends, ["run", "node"], "left").join(links, ["run", "node", "comm"], "left")
+    nodes = nodes.select("run", "node", "comm", "size", *[F.coalesce(c, zero).alias(c) for c in (*names, "lp", "lq")])
+    comms = nodes.groupBy("run", "comm").agg(
         F.sum("size").alias("n"), (F.sum("lp") / 2 + F.sum("xp")).alias("ip"), (F.sum("lq") / 2 + F.sum("xq")).alias("iq"), *[F.sum(c).alias(c) for c in ("op", "np", "oq", "nq")]
     )
     pairs = F.col("n") * (F.col("n") - 1)
-    total = comms.agg(F.sum("op").alias("tp"), F.sum("oq").alias("tq"), F.sum("n").alias("tn"), F.sum("ip").alias("ti"), F.sum(pairs).alias("tk"))
+    total = comms.groupBy("run").agg(F.sum("op").alias("tp"), F.sum("oq").alias("tq"), F.sum("n").alias("tn"), F.sum("ip").alias("ti"), F.sum(pairs).alias("tk"))
+    total = total.join(parts.groupBy("run").agg(own_gamma.alias("gamma")), "run")  # a row for each run
     return links, nodes, comms, total
 
 
-def _value(method: str, gamma: float, c: dict[str, Column]) -> Column:
-    """What a community with the sums ``c`` adds to the quality."""
+def _value(method: str, c: dict[str, Column]) -> Column:
+    """What a community with the sums ``c`` adds to the quality, at the resolution of its run."""
+    gamma = F.col("gamma")
     tp, tq, tn = F.col("tp"), F.col("tq"), F.col("tn")
     if method == "cpm":
         return c["ip"] - gamma * c["n"] * c["n"]
@@ -82,18 +99,20 @@ def _surprise(inside: Column, pairs: Column) -> Column:
     return F.col("tp") * binary_kl(inside / F.col("tp"), pairs / (F.col("tn") * (F.col("tn") - 1)))
 
 
-def _quality(e: DataFrame, parts: DataFrame, method: str, gamma: float) -> DataFrame:
-    *_, comms, total = _sums(e, parts)
+def _qualities(e: DataFrame, parts: DataFrame, method: str, gamma: float) -> DataFrame:
+    """run, quality."""
+    *_, comms, total = _sums(e, parts, gamma)
     if method == "surprise":
-        return total.select(_surprise(F.col("ti"), F.col("tk")).alias("quality"))
-    return comms.join(F.broadcast(total)).agg(F.sum(_value(method, gamma, {c: F.col(c) for c in SUMS})).alias("quality"))
+        return total.select("run", _surprise(F.col("ti"), F.col("tk")).alias("quality"))
+    return comms.join(total, "run").groupBy("run").agg(F.sum(_value(method, {c: F.col(c) for c in SUMS})).alias("quality"))
 
 
 def _gains(e: DataFrame, parts: DataFrame, method: str, gamma: float) -> DataFrame:
-    links, nodes, comms, total = _sums(e, parts)
-    named = lambda key, k: comms.select(F.col("comm").alias(key), *[F.col(c).alias(f"{k}_{c}") for c in SUMS])
+    """run, node, now, comm, gain."""
+    links, nodes, comms, total = _sums(e, parts, gamma)
+    named = lambda key, k: comms.select("run", F.col("comm").alias(key), *[F.col(c).alias(f"{k}_{c}") for c in SUMS])
     at = nodes.withColumnsRenamed({"comm": "now", "lp": "kp", "lq": "kq"})
-    rows = links.withColumnRenamed("comm", "to").join(at, "node").where("to <> now").join(named("now", "a"), "now").join(named("to", "b"), "to").join(F.broadcast(total))
+    rows = links.withColumnRenamed("comm", "to").join(at, ["run", "node"]).where("to <> now").join(named("now", "a"), ["run", "now"]).join(named("to", "b"), ["run", "to"]).join(total, "run")
     a, b = ({c: F.col(f"{k}_{c}") for c in SUMS} for k in "ab")
     # what the node takes out of its own community, and what it brings into the other
     takes = {"n": F.col("size"), "ip": F.col("kp") + F.col("xp"), "iq": F.col("kq") + F.col("xq")} | {c: F.col(c) for c in ("op", "np", "oq", "nq")}
@@ -104,94 +123,139 @@ def _gains(e: DataFrame, parts: DataFrame, method: str, gamma: float) -> DataFra
         now = _surprise(F.col("ti"), F.col("tk"))
         gain = _surprise(F.col("ti") - F.col("kp") + F.col("lp"), F.col("tk") + pairs(left) + pairs(joined) - pairs(a) - pairs(b)) - now
     else:
-        f = lambda c: _value(method, gamma, c)
+        f = lambda c: _value(method, c)
         gain = f(left) + f(joined) - f(a) - f(b)
-    return rows.select("node", F.col("to").alias("comm"), gain.alias("gain"))
+    return rows.select("run", "node", "now", F.col("to").alias("comm"), gain.alias("gain"))
 
 
 def quality(edges: DataFrame, parts: DataFrame, method: str = "modularity", gamma: float = 1.0) -> DataFrame:
     """quality: one row."""
-    return _quality(_split(edges), _sized(parts), method, gamma)
+    return _qualities(_split(edges), _sized(parts), method, gamma).select("quality")
 
 
 def move_gains(edges: DataFrame, parts: DataFrame, method: str = "modularity", gamma: float = 1.0) -> DataFrame:
     """node, comm, gain: how the quality changes if the node alone moves to a community that it has edges with."""
-    return _gains(_split(edges), _sized(parts), method, gamma)
+    return _gains(_split(edges), _sized(parts), method, gamma).select("node", "comm", "gain")
+
+
+def _apart(moves: DataFrame, seed: int) -> DataFrame:
+    """Of moves (run, a, b, gain, ...) those that no other move of a or b outdoes: no two of a run share a community."""
+    order = F.struct("gain", F.xxhash64("run", "key", F.lit(seed)).alias("h"), "key")
+    ends = moves.select("run", F.explode(F.array("a", "b")).alias("end"), order.alias("x"))
+    first = ends.groupBy("run", "end").agg(F.max("x.gain").alias("gain"), F.max("x").alias("x")).select("run", "end", F.col("x.key").alias("key"))
+    both = first.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    return moves.join(both, ["run", "key"])
+
 
+def _wandering(moves: DataFrame, seed: int) -> DataFrame:
+    """In each run the half of the moves that a hash of the run picks, or all where it picks none."""
+    mine = F.pmod(F.xxhash64("run", "key", F.lit(seed)), F.lit(2)) == 0
+    some = moves.groupBy("run").agg(F.bool_or(mine).alias("some"))
+    return moves.join(some, "run").where(mine | ~F.col("some")).drop("some")
 
-def _better(e: DataFrame, now: DataFrame, moves: DataFrame, method: str, gamma: float, q: float, seed: int) -> tuple[DataFrame, float] | None:
-    """Apply ``moves`` (key, comm -> to, gain) to as many keys at once as raise the quality.
 
-    Moves that are made at once can spoil each other; then half as many are tried, in
-    the end the best alone, which raises the quality by its gain.
+def _step(e: DataFrame, now: DataFrame, moves: DataFrame, of: str, method: str, gamma: float, seed: int, wander: bool = False) -> DataFrame | None:
+    """``now`` after those of the moves (run, key, a, b, gain: key goes from community a to b) that can be made at once; None without any.
+
+    Gains of moves that share no community add up, for all qualities but surprise.  There the
+    whole is taken again, and runs that did not rise make their best move alone.
     """
     moves = stored(moves, "moves")
-    left, share = moves.count(), 1
-    while left:
-        some = moves.where(F.pmod(F.xxhash64("key", F.lit(seed + share)), F.lit(2 * share)) == 0) if share < left else moves.orderBy(F.desc("gain"), "key").limit(1)
-        new = now.join(some.select("of", "key", "to"), F.when(F.col("of") == "node", now.node).otherwise(now.comm) == some.key, "left")
-        new = stored(new.select("node", F.coalesce("to", "comm").alias("comm"), "size"), "moved")
-        value = _quality(e, new, method, gamma).first()[0] or 0.0
-        if value > q:
-            return new, value
-        if share >= left:
-            return None
-        share *= 2
-    return None
-
-
-def _settle(e: DataFrame, parts: DataFrame, method: str, gamma: float, seed: int) -> tuple[DataFrame, float]:
-    """Move single nodes until no move raises the quality."""
-    now, q = parts, _quality(e, parts, method, gamma).first()[0] or 0.0
+    if not moves.limit(1).count():
+        return None
+    key = "node" if of == "node" else "comm"
+
+    def moved(some: DataFrame) -> DataFrame:
+        to = some.select("run", F.col("key").alias(key), F.col("b").alias("to"))
+        return stored(now.join(to, ["run", key], "left").select("run", "node", F.coalesce("to", "comm").alias("comm"), *[c for c in now.columns if c not in ("run", "node", "comm")]), "moved")
+
+    some = _apart(_wandering(moves, seed) if wander else moves, seed)
+    if method != "surprise":
+        return moved(some)
+    new = moved(some)
+    before, after = _qualities(e, now, method, gamma), _qualities(e, new, method, gamma).withColumnRenamed("quality", "new")
+    rose = stored(before.join(after, "run").select("run", (F.col("new") > F.col("quality") + LEAST_GAIN).alias("rose")), "rose")
+    single = moves.groupBy("run").agg(F.max_by("key", F.struct("gain", "key")).alias("key"))
+    one = moves.join(single, ["run", "key"]).join(rose.where("NOT rose"), "run").select("run", "key", "a", "b", "gain")
+    if not one.limit(1).count():
+        return new
+    return moved(some.join(rose.where("rose"), "run").select("run", "key", "a", "b", "gain").unionByName(one))
+
+
+def _settle(e: DataFrame, parts: DataFrame, method: str, gamma: float, seed: int, wander: bool = False) -> DataFrame:
+    """Move single nodes until no move raises the quality of its run; ``wander``: each run on a way of its own."""
+    now = parts
     while True:
         seed += 1
-        best = _gains(e, now, method, gamma).where(F.col("gain") > LEAST_GAIN).groupBy("node").agg(F.max(F.struct("gain", (-F.col("comm")).alias("c"))).alias("b"))
-        step = _better(e, now, best.select(F.lit("node").alias("of"), F.col("node").alias("key"), (-F.col("b.c")).alias("to"), F.col("b.gain").alias("gain")), method, gamma, q, seed)
+        best = _gains(e, now, method, gamma).where(F.col("gain") > LEAST_GAIN).groupBy("run", "node", "now").agg(F.max(F.struct("gain", (-F.col("comm")).alias("c"))).alias("b"))
+        step = _step(e, now, best.select("run", F.col("node").alias("key"), F.col("now").alias("a"), (-F.col("b.c")).alias("b"), F.col("b.gain").alias("gain")), "node", method, gamma, seed, wander)
         if step is None:
-            return now, q
-        now, q = step
+            return now
+        now = step
 
 
 def _collapsed(e: DataFrame, parts: DataFrame) -> DataFrame:
     """Communities as nodes; the positive and the negative weights are summed apart."""
-    p = parts.select("node", "comm")
-    both = e.join(p.select(F.col("node").alias("src"), F.col("comm").alias("c1")), "src").join(p.select(F.col("node").alias("dst"), F.col("comm").alias("c2")), "dst")
-    return both.groupBy(F.col("c1").alias("src"), F.col("c2").alias("dst")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return _ends(e, parts).groupBy("run", F.col("c1").alias("src"), F.col("c2").alias("dst")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
-def optimise(edges: DataFrame, nodes: DataFrame, method: str = "modularity", gamma: float = 1.0, seed: int = 1) -> DataFrame:
-    """level, node, comm: partitions of rising quality, the communities of a level being the nodes of the next.
+def optimise_runs(edges: DataFrame, nodes: DataFrame, method: str = "modularity", gamma: float = 1.0, seed: int = 1, wander: bool = False) -> DataFrame:
+    """run, level, node, comm: ``optimise`` for every run in ``nodes`` (run, node and, if wanted, gamma), all by the same jobs.
 
-    Level 0 starts from single nodes; it ends when no move of a node raises the quality,
-    the last level when no move of a community does.  A community is named by its least
-    node.  Directed graphs hold their arcs, undirected ones both directions; signed
-    methods take signed weights.  A graph without edges gives single nodes.
+    edges: run, src, dst, w.  wander: runs of one graph take ways of their own.  A run whose last level changed nothing repeats it while others go on.
     """
     e = stored(_split(edges), "split")
     level, out = 0, None
-    parts = stored(nodes.select("node", F.col("node").alias("comm"), F.lit(1.0).alias("size")).distinct(), "level")
+    columns = ["gamma"] if "gamma" in nodes.columns else []
+    parts = stored(nodes.select(F.col("run").cast("bigint").alias("run"), "node", F.col("node").alias("comm"), F.lit(1.0).alias("size"), *columns).distinct(), "level")
     while True:
-        start = _quality(e, parts, method, gamma).first()[0] or 0.0
-        best, q = _settle(e, parts, method, gamma, seed + 1000 * level)
-        if q <= start and level:
+        best = _settle(e, parts, method, gamma, seed + 1000 * level, wander)
+        least = best.groupBy("run", "comm").agg(F.min("node").alias("least"))
+        best = stored(best.join(least, ["run", "comm"]).select("run", "node", F.col("least").alias("comm"), "size", *columns), "level")
+        if level and not best.where("node <> comm").limit(1).count():  # nothing was joined
             return out
-        least = best.groupBy("comm").agg(F.min("node").alias("least"))
-        best = stored(best.join(least, "comm").select("node", F.col("least").alias("comm"), "size"), "level")
-        step = best.select(F.lit(level).alias("level"), "node", "comm")
+        step = best.select("run", F.lit(level).alias("level"), "node", "comm")
         out = step if out is None else out.unionByName(step)
-        if q <= start:
-            return out
         e = stored(_collapsed(e, best), "split")
-        parts = stored(best.groupBy("comm").agg(F.sum("size").alias("size")).select(F.col("comm").alias("node"), "comm", "size"), "level")
+        parts = stored(best.groupBy("run", F.col("comm").alias("node"), F.col("comm").alias("comm"), *columns).agg(F.sum("size").alias("size")).select("run", "node", "comm", "size", *columns), "level")
         level += 1
 
 
+def best_of_runs(edges: DataFrame, nodes: DataFrame, method: str = "modularity", gamma: float = 1.0, seed: int = 1, wander: bool = False) -> DataFrame:
+    """run, node, comm: the last partitions of ``optimise_runs``."""
+    tree = stored(optimise_runs(edges, nodes, method, gamma, seed, wander), "tree")
+    out = tree.where("level = 0").select("run", "node", "comm")
+    for i in range(1, tree.agg(F.max("level")).first()[0] + 1):
+        step = tree.where(F.col("level") == i).select("run", F.col("node").alias("comm"), F.col("comm").alias("next"))
+        out = out.join(step, ["run", "comm"]).select("run", "node", F.col("next").alias("comm"))
+    return out
+
+
+def optimise(edges: DataFrame, nodes: DataFrame, method: str = "modularity", gamma: float = 1.0, seed: int = 1) -> DataFrame:
+    """level, node, comm: partitions of rising quality, the communities of a level being the nodes of the next.
+
+    Level 0 starts from single nodes; it ends when no move of a node raises the quality,
+    the last level when no move of a community does.  In a step, all moves that no other
+    move of the same communities outdoes are made.  A community is named by its least
+    node.  Directed graphs hold their arcs, undirected ones both directions; signed
+    methods take signed weights.  A graph without edges gives single nodes.
+    """
+    return optimise_runs(edges.select(F.lit(0).alias("run"), "src", "dst", "w"), nodes.select(F.lit(0).alias("run"), "node"), method, gamma, seed).drop("run")
+
+
 def best_of(edges: DataFrame, nodes: DataFrame, method: str = "modularity", gamma: float = 1.0, seed: int = 1) -> DataFrame:
     """node, comm: the last partition of ``optimise``."""
     tree = stored(optimise(edges, nodes, method, gamma, seed), "tree")
     return partition_at_level(tree, tree.agg(F.max("level")).first()[0])
 
 
+def _shaken(e: DataFrame, parts: DataFrame, method: str, gamma: float, jump: Column, seed: int) -> DataFrame:
+    """Nodes go with the chance ``jump`` to some community that they have edges with, whatever the gain."""
+    some = _gains(e, parts, method, gamma).where(F.pmod(F.xxhash64("run", "node", F.lit(seed)), F.lit(1 << 30)) < jump * (1 << 30))
+    some = some.groupBy("run", "node").agg(F.min_by("comm", F.xxhash64("run", "comm", "node", F.lit(seed))).alias("to"))
+    return stored(parts.join(some, ["run", "node"], "left").select("run", "node", F.coalesce("to", "comm").alias("comm"), "size"), "shaken")
+
+
 def finetune(edges: DataFrame, parts: DataFrame, method: str = "modularity", gamma: float = 1.0, jump: float = 0.0, seed: int = 1) -> DataFrame:
     """node, comm: ``parts`` after moves of single nodes, until no move raises the quality.
 
@@ -200,35 +264,32 @@ def finetune(edges: DataFrame, parts: DataFrame, method: str = "modularity", gam
     """
     e = stored(_split(edges), "split")
     parts = stored(_sized(parts), "start")
-    best, q = _settle(e, parts, method, gamma, seed)
+    best = _settle(e, parts, method, gamma, seed)
     if jump > 0:
-        some = _gains(e, parts, method, gamma).where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < jump * (1 << 30))
-        some = some.groupBy("node").agg(F.min_by("comm", F.xxhash64("comm", "node", F.lit(seed))).alias("to"))
-        shaken = stored(parts.join(some, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "size"), "shaken")
-        other, value = _settle(e, shaken, method, gamma, seed)
-        if value > q:
-            best = other
+        other = _settle(e, _shaken(e, parts, method, gamma, F.lit(jump), seed), method, gamma, seed)
+        q = [_qualities(e, p, method, gamma).first()["quality"] or 0.0 for p in (best, other)]
+        best = other if q[1] > q[0] else best
     return best.select("node", "comm")
 
 
 def merge_gains(edges: DataFrame, parts: DataFrame, method: str = "surprise", gamma: float = 1.0) -> DataFrame:
     """a, b (a < b), gain: how the quality changes if two communities with edges between them become one."""
-    return _merges(_split(edges), _sized(parts), method, gamma)
+    return _merges(_split(edges), _sized(parts), method, gamma).select("a", "b", "gain")
 
 
 def _merges(e: DataFrame, parts: DataFrame, method: str, gamma: float) -> DataFrame:
-    _, _, comms, total = _sums(e, parts)
-    between = _collapsed(e, parts).where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("p").alias("lp"), F.sum("q").alias("lq"))
-    named = lambda k: comms.select(F.col("comm").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in SUMS])
-    rows = between.join(named("a"), "a").join(named("b"), "b").join(F.broadcast(total))
+    _, _, comms, total = _sums(e, parts, gamma)
+    between = _collapsed(e, parts).where("src <> dst").groupBy("run", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("p").alias("lp"), F.sum("q").alias("lq"))
+    named = lambda k: comms.select("run", F.col("comm").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in SUMS])
+    rows = between.join(named("a"), ["run", "a"]).join(named("b"), ["run", "b"]).join(total, "run")
     a, b = ({c: F.col(f"{k}_{c}") for c in SUMS} for k in "ab")
     if method == "surprise":
         gain = _surprise(F.col("ti") + F.col("lp"), F.col("tk") + 2 * a["n"] * b["n"]) - _surprise(F.col("ti"), F.col("tk"))
     else:
         both = {c: a[c] + b[c] for c in SUMS}
         both |= {"ip": both["ip"] + F.col("lp"), "iq": both["iq"] + F.col("lq")}
-        gain = _value(method, gamma, both) - _value(method, gamma, a) - _value(method, gamma, b)
-    return rows.select("a", "b", gain.alias("gain"))
+        gain = _value(method, both) - _value(method, a) - _value(method, b)
+    return rows.select("run", "a", "b", gain.alias("gain"))
 
 
 def agglomerate(edges: DataFrame, nodes: DataFrame, method: str = "surprise", gamma: float = 1.0, seed: int = 1) -> DataFrame:
@@ -237,18 +298,19 @@ def agglomerate(edges: DataFrame, nodes: DataFrame, method: str = "surprise", ga
     A round joins the pairs that are each other's best.
     """
     e = stored(_split(edges), "split")
-    now = stored(nodes.select("node", F.col("node").alias("comm"), F.lit(1.0).alias("size")).distinct(), "single")
-    q = _quality(e, now, method, gamma).first()[0] or 0.0
+    now = stored(_sized(nodes.select("node", F.col("node").alias("comm")).distinct()), "single")
     while True:
         seed += 1
         pairs = stored(_merges(e, now, method, gamma).where(F.col("gain") > LEAST_GAIN), "pairs")
-        ends = pairs.select("a", "b", "gain", F.explode(F.array("a", "b")).alias("end"))
-        first = ends.groupBy("end").agg(F.max(F.struct("gain", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
-        mutual = first.groupBy((-F.col("x.a")).alias("to"), (-F.col("x.b")).alias("key"), F.col("x.gain").alias("gain")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-        step = _better(e, now, mutual.select(F.lit("comm").alias("of"), "key", "to", "gain"), method, gamma, q, seed)
+        best = F.struct("gain", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+        first = pairs.select("run", best.alias("x"), F.explode(F.array("a", "b")).alias("end")).groupBy("run", "end").agg(F.max("x").alias("x"))
+        mutual = first.groupBy("run", "x").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        # the later community of a pair goes into the earlier one
+        moves = mutual.select("run", (-F.col("x.b")).alias("key"), (-F.col("x.b")).alias("a"), (-F.col("x.a")).alias("b"), F.col("x.gain").alias("gain"))
+        step = _step(e, now, moves, "comm", method, gamma, seed)
         if step is None:
             return now.select("node", "comm")
-        now, q = step
+        now = step
 
 
 def resolutions(edges: DataFrame, nodes: DataFrame, method: str, low: float, high: float, least: float, seed: int = 1) -> DataFrame:
@@ -256,22 +318,21 @@ def resolutions(edges: DataFrame, nodes: DataFrame, method: str, low: float, hig
 
     ``within`` is what the resolution multiplies: the sum of n * n (cpm) or of expected
     weights (configuration).  An interval is halved while ``within`` differs at its ends
-    and it is longer than ``least``; each resolution is one optimisation.
+    and it is longer than ``least``.  All resolutions of one width are optimised
+    together, the resolution being a key.
     """
     if method not in ("cpm", "configuration"):
         raise ValueError(f"{method} has no resolution that its quality is linear in")
     found: dict[float, tuple] = {}
-
-    def at(gamma: float) -> tuple:
-        if gamma not in found:
-            p = stored(best_of(edges, nodes, method, gamma, seed), "profile")
-            one, more = (_quality(_split(edges), _sized(p), method, g).first()[0] or 0.0 for g in (gamma, gamma + 1.0))
-            found[gamma] = (gamma, p.select("comm").distinct().count(), one, one - more)
-        return found[gamma]
-
-    open_ = [(low, high)]
-    while open_:
-        a, b = open_.pop()
-        if abs(at(a)[3] - at(b)[3]) > LEAST_GAIN and b - a > least:
-            open_ += [(a, (a + b) / 2), ((a + b) / 2, b)]
-    return edges.sparkSession.createDataFrame(sorted(found.values()), "gamma double, communities bigint, quality double, within double")
+    spark, todo = edges.sparkSession, [low, high]
+    while todo:
+        runs = spark.createDataFrame(list(enumerate(todo)), "run bigint, gamma double")
+        keyed = stored(edges.join(F.broadcast(runs)).select("run", "src", "dst", "w"), "keyed")  # the graph once for each resolution
+        p = best_of_runs(keyed, nodes.join(F.broadcast(runs)).select("run", "node", "gamma"), method, seed=seed)
+        p = stored(p.join(F.broadcast(runs), "run").select("run", "node", "comm", "gamma"), "profile")
+        q = lambda more, p=p, keyed=keyed: _qualities(_split(keyed), _sized(p.withColumn("gamma", F.col("gamma") + more)), method, 0.0)
+        both = q(0.0).join(q(1.0).withColumnRenamed("quality", "other"), "run").join(p.groupBy("run").agg(F.count_distinct("comm").alias("n")), "run").join(F.broadcast(runs), "run")
+        found |= {r["gamma"]: (r["gamma"], r["n"], r["quality"], r["quality"] - r["other"]) for r in both.collect()}  # a row for each resolution
+        at = sorted(found)
+        todo = [(a + b) / 2 for a, b in zip(at[:-1], at[1:], strict=True) if b - a > least and abs(found[a][3] - found[b][3]) > LEAST_GAIN]
+    return spark.createDataFrame(sorted(found.values()), "gamma double, communities bigint, quality double, within double")

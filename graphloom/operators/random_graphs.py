@@ -9,7 +9,7 @@ from graphloom.functions.components import connected_components
 from graphloom.plans.shared import stored
 
 
-def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = True, lattice: bool = False, by_sign: bool = False, connected: bool = False) -> DataFrame:
+def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = True, lattice: bool = False, by_sign: bool = False, connected: bool = False, stride: int = 0) -> DataFrame:
     """Edges (src, dst, w) with the same degrees and other ends; weights go with the sources.
 
     In a round, edges fall into buckets by hash and the first and last of each bucket
@@ -17,18 +17,21 @@ def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = Tr
     swaps would make.  lattice: only swaps that bring ends nearer; by_sign: only edges
     of the same sign, which change places with what joins their ends crosswise if that
     is of one other sign (or absent) on both sides; connected: rounds that split the graph are taken back.
+    stride: nodes k * stride .. are the k-th of several graphs that are rewired together, each in itself.
     Undirected graphs are mirrored and come back mirrored.
     """
     now = edges.where("src <> dst").select("src", "dst", "w")
     now = stored(now if directed else now.where("src < dst"), "rewired")
     n = now.count()
+    graphs = now.select(F.floor(F.col("src") / stride)).distinct().count() if stride else 1
     pieces = _pieces(now) if connected else 0
     for r in range(rounds):
         h = F.xxhash64("src", "dst", F.lit(seed), F.lit(r))
         turn = (F.pmod(h, F.lit(7)) < 3) if not directed else F.lit(False)
         e = now.select(h.alias("h"), F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("s"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("t"), "w", "src", "dst")
         sign = F.signum("w") if by_sign else F.lit(0.0)
-        bucket = e.groupBy(F.pmod(F.col("h"), F.lit(max(1, n // 2))).alias("b"), sign.alias("sign"))
+        graph = F.floor(F.col("src") / stride).cast("bigint") if stride else F.lit(0)
+        bucket = e.groupBy((graph * n + F.pmod(F.col("h"), F.lit(max(1, n // 2 // graphs)))).alias("b"), sign.alias("sign"))
         two = bucket.agg(F.min(F.struct("h", "s", "t", "w", "src", "dst")).alias("x"), F.max(F.struct("h", "s", "t", "w", "src", "dst")).alias("y")).where("x.h < y.h")
         a, b, c, d = (F.col(k) for k in ("x.s", "x.t", "y.s", "y.t"))
         ok = (a != d) & (c != b) & (a != c) & (b != d)

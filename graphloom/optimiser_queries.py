@@ -93,6 +93,6 @@ SELECT node, CAST(class AS BIGINT) AS class, count(*) AS n, round(sum(i), 9) AS
 for _name, _size, _kind in (("motif3_structural", 3, False), ("motif3_functional", 3, True), ("motif4_structural", 4, False)):
     register(
         _name,
-        lambda s, d, size=_size, kind=_kind: M.motifs(X.normalize(G.top_trade(s, d)), size, kind).select("node", "class", "n", F.round("intensity", 9).alias("intensity"), F.round("coherence", 9).alias("coherence")),
+        lambda s, d, size=_size, kind=_kind: M.motifs(X.normalize(G.excess_trade(s, d)), size, kind).select("node", "class", "n", F.round("intensity", 9).alias("intensity"), F.round("coherence", 9).alias("coherence")),
         _motif_sql(_size, _kind),
     )

@@ -19,11 +19,11 @@ def _sql(names: str, g: str, body: str) -> str:
     return with_(names, _REACH.format(g=g) + body, True)
 
 
-register("breadth_distances", lambda s, d: R.breadth_distances(G.top_trade(s, d)), _sql("top", "top", "\nSELECT src, dst, d FROM bd"))
+register("breadth_distances", lambda s, d: R.breadth_distances(G.excess_trade(s, d)), _sql("top", "top", "\nSELECT src, dst, d FROM bd"))
 register("distances", lambda s, d: R.distances(G.partners(s, d), G.nations(s, d)), _sql("und node", "und", "\nSELECT src, dst, d FROM dist UNION ALL SELECT node, node, 0 FROM node"))
 register(
     "breadth",
-    lambda s, d: R.breadth(G.top_trade(s, d), 0),
+    lambda s, d: R.breadth(G.excess_trade(s, d), 0),
     _sql("top", "top", ", z AS (SELECT dst AS node, d FROM dist WHERE src = 0 UNION ALL SELECT 0, 0)\nSELECT z.node, z.d, coalesce((SELECT min(t.src) FROM top t JOIN z y ON y.node = t.src WHERE t.dst = z.node AND y.d + 1 = z.d AND z.d > 0), -1) AS parent FROM z"),
 )
 register(
@@ -31,7 +31,7 @@ register(
     lambda s, d: r9(R.path_summary(R.distances(G.partners(s, d), G.nations(s, d))).select("lambda", "radius", "diameter"), "lambda"),
     _sql("und", "und", ', x AS (SELECT src, max(d) AS e FROM dist GROUP BY 1)\nSELECT round(avg(d), 9) AS "lambda", (SELECT min(e) FROM x) AS radius, (SELECT max(e) FROM x) AS diameter FROM dist'),
 )
-register("efficiency_bin", lambda s, d: r9(R.efficiency(R.distances(G.top_trade(s, d), G.nations(s, d)), G.nations(s, d)), "e"), _sql("top", "top", "\nSELECT round(sum(1 / d) / 600, 9) AS e FROM dist"))
+register("efficiency_bin", lambda s, d: r9(R.efficiency(R.distances(G.excess_trade(s, d), G.nations(s, d)), G.nations(s, d)), "e"), _sql("top", "top", "\nSELECT round(sum(1 / d) / 600, 9) AS e FROM dist"))
 register(
     "local_efficiency",
     lambda s, d: r9(R.local_efficiency(G.partners(s, d), G.nations(s, d)), "e"),
@@ -42,12 +42,12 @@ SELECT node, round(coalesce((SELECT sum(1 / d) FROM dd WHERE ego = node) / nulli
 )
 _WALK = """, walk AS (SELECT src, dst, 1 AS q, 1.0 AS n FROM top), w2 AS (SELECT a.src, b.dst, 2 AS q, count(*) AS n FROM top a JOIN top b ON a.dst = b.src GROUP BY 1, 2), w3 AS (SELECT a.src, b.dst, 3 AS q, sum(n) AS n FROM w2 a JOIN top b ON a.dst = b.src GROUP BY 1, 2)
 SELECT src, dst, q, CAST(n AS BIGINT) AS n FROM (SELECT * FROM walk UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)"""
-register("walks", lambda s, d: R.walks(G.top_trade(s, d), 3), with_("top", _WALK))
+register("walks", lambda s, d: R.walks(G.excess_trade(s, d), 3), with_("top", _WALK))
 _PATH = """, path AS (SELECT [src, dst] AS p FROM top UNION ALL SELECT list_append(p, dst) FROM path JOIN top ON src = p[-1] WHERE p[1] <> p[-1] AND len(p) < 5 AND (dst = p[1] OR NOT list_contains(p, dst))), pn AS (SELECT p[1] AS src, p[-1] AS dst, CAST(len(p) - 1 AS INTEGER) AS q, count(*) AS n FROM path GROUP BY 1, 2, 3)"""
-register("simple_paths", lambda s, d: R.simple_paths(G.top_trade(s, d), G.nations(s, d), 4), with_("top", _PATH + "\nSELECT * FROM pn", True))
+register("simple_paths", lambda s, d: R.simple_paths(G.excess_trade(s, d), G.nations(s, d), 4), with_("top", _PATH + "\nSELECT * FROM pn", True))
 register(
     "cycle_probability",
-    lambda s, d: r9(R.cycle_probability(R.simple_paths(G.top_trade(s, d), G.nations(s, d), 4)), "fcyc", "pcyc"),
+    lambda s, d: r9(R.cycle_probability(R.simple_paths(G.excess_trade(s, d), G.nations(s, d), 4)), "fcyc", "pcyc"),
     with_("top", _PATH + ", c AS (SELECT q, coalesce(sum(n) FILTER (WHERE src = dst), 0) AS c, sum(n) AS n FROM pn GROUP BY 1)\nSELECT q, round(c / n, 9) AS fcyc, round(coalesce(c / lag(n - c) OVER (ORDER BY q), 0), 9) AS pcyc FROM c", True),
 )
 register(
@@ -71,32 +71,32 @@ def _peel(names: str, g: str, k: int, x: str = "count(*)", directed: bool = Fals
 
 
 register("kcore_bu", lambda s, d: R.core(G.partners(s, d), G.nations(s, d), 4), _peel("und", "und", 4))
-register("kcore_bd", lambda s, d: R.core(G.top_trade(s, d), G.nations(s, d), 5), _peel("top", "top", 5, directed=True))
+register("kcore_bd", lambda s, d: R.core(G.excess_trade(s, d), G.nations(s, d), 5), _peel("top", "top", 5, directed=True))
 register("score_wu", lambda s, d: R.core(G.partners(s, d), G.nations(s, d), 800, True), _peel("und", "und", 800, "sum(w)"))
 register("coreness_bu", lambda s, d: R.coreness(G.partners(s, d), G.nations(s, d)))
-register("weighted_distances", lambda s, d: r9(R.weighted_distances(X.invert(G.top_trade(s, d)), G.nations(s, d)).select("src", "dst", "d"), "d"), with_("top node", """, p AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d, [node] AS p FROM node UNION ALL SELECT p.src, t.dst, d + 1 / w, list_append(p, t.dst) FROM p JOIN top t ON t.src = p.dst WHERE NOT list_contains(p, t.dst) AND len(p) < 8)
+register("weighted_distances", lambda s, d: r9(R.weighted_distances(X.invert(G.excess_trade(s, d)), G.nations(s, d)).select("src", "dst", "d"), "d"), with_("top node", """, p AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d, [node] AS p FROM node UNION ALL SELECT p.src, t.dst, d + 1 / w, list_append(p, t.dst) FROM p JOIN top t ON t.src = p.dst WHERE NOT list_contains(p, t.dst) AND len(p) < 8)
 SELECT src, dst, round(min(d), 9) AS d FROM p GROUP BY 1, 2""", True))
 register("simrank", lambda s, d: r9(R.simrank(G.partners(s, d), G.nations(s, d)), "s"))
-register("pagerank", lambda s, d: r9(R.pagerank(G.top_trade(s, d), G.nations(s, d), 0.5, eps=1e-11), "r"), with_("top node", """, c AS (SELECT dst, sum(w) AS s FROM top GROUP BY 1), l AS (SELECT t.src, t.dst, w / s AS p FROM top t JOIN c USING (dst)), x0 AS (SELECT node, 1 / 25 AS r FROM node)""" + "".join(f", x{i + 1} AS MATERIALIZED (SELECT node, 0.5 * coalesce((SELECT sum(p * r) FROM l JOIN x{i} z ON z.node = l.dst WHERE l.src = n.node), 0) + 0.02 AS r FROM node n)" for i in range(36)) + "\nSELECT node, round(r / (SELECT sum(r) FROM x36), 9) AS r FROM x36"))
+register("pagerank", lambda s, d: r9(R.pagerank(G.excess_trade(s, d), G.nations(s, d), 0.5, eps=1e-11), "r"), with_("top node", """, c AS (SELECT dst, sum(w) AS s FROM top GROUP BY 1), l AS (SELECT t.src, t.dst, w / s AS p FROM top t JOIN c USING (dst)), x0 AS (SELECT node, 1 / 25 AS r FROM node)""" + "".join(f", x{i + 1} AS MATERIALIZED (SELECT node, 0.5 * coalesce((SELECT sum(p * r) FROM l JOIN x{i} z ON z.node = l.dst WHERE l.src = n.node), 0) + 0.02 AS r FROM node n)" for i in range(36)) + "\nSELECT node, round(r / (SELECT sum(r) FROM x36), 9) AS r FROM x36"))
 register("eigenvector", lambda s, d: R.eigenvector(X.normalize(G.partners(s, d)), G.nations(s, d), 1e-7).select("node", F.round("v", 5).alias("v")))
 register("betweenness_bin", lambda s, d: r9(R.betweenness(G.partners(s, d), G.nations(s, d))[0], "b"), _sql("und node", "und", """, sp AS (SELECT src, dst, 1 AS d, 1::DOUBLE AS n FROM und), c1 AS (SELECT node AS src, node AS dst, 0 AS d, 1::DOUBLE AS n FROM node)""" + "".join(f", c{i + 1} AS MATERIALIZED (SELECT c.src, e.dst, {i} AS d, sum(n) AS n FROM c{i} c JOIN und e ON e.src = c.dst JOIN dist x ON x.src = c.src AND x.dst = e.dst AND x.d = {i} GROUP BY 1, 2)" for i in range(1, 7)) + """, sg AS (""" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(1, 8)) + """)
 SELECT node, round(coalesce((SELECT sum(a.n * b.n / t.n) FROM sg a JOIN sg b ON b.src = a.dst JOIN sg t ON t.src = a.src AND t.dst = b.dst AND t.d = a.d + b.d WHERE a.dst = node AND a.src <> node AND b.dst <> node), 0), 9) AS b FROM node"""))
-register("edge_betweenness_bin", lambda s, d: r9(R.betweenness(G.top_trade(s, d), G.nations(s, d))[1], "b"))
-register("edge_range", lambda s, d: R.edge_range(G.top_trade(s, d)))
+register("edge_betweenness_bin", lambda s, d: r9(R.betweenness(G.excess_trade(s, d), G.nations(s, d))[1], "b"))
+register("edge_range", lambda s, d: R.edge_range(G.excess_trade(s, d)))
 register("backbone", lambda s, d: R.backbone(G.partners(s, d), G.nations(s, d), 3.0))
 register("maximum_spanning_forest", lambda s, d: R.maximum_spanning_forest(G.copart(s, d), G.read(s, d, "part").select(F.col("p_partkey").alias("node"))))
 _CODE = """, near AS (SELECT src, dst FROM top UNION SELECT dst, src FROM top), t3 AS (SELECT DISTINCT list_sort([a.src, a.dst, b.dst]) AS t FROM near a JOIN near b ON a.src = b.src AND a.dst < b.dst),
 m AS (SELECT t[1] AS u, t[2] AS v, t[3] AS x FROM t3), has AS (SELECT DISTINCT src, dst FROM top)
 SELECT u, v, x, CAST(""" + " + ".join(f"CASE WHEN EXISTS (SELECT 1 FROM has WHERE src = {a} AND dst = {b}) THEN {1 << i} ELSE 0 END" for i, (a, b) in enumerate(("uv", "vu", "ux", "xu", "vx", "xv"))) + " AS BIGINT) AS code FROM m"
-register("motif3_codes", lambda s, d: R.motif_codes(G.top_trade(s, d)), with_("top", _CODE))
-register("motif3", lambda s, d: R.motifs3(G.top_trade(s, d)), with_("top", ", k AS (" + "WITH " + _CODE[2:] + "), cl AS (SELECT * FROM (VALUES " + ", ".join(map(str, R.motif3_classes())) + ") AS v(code, class))\nSELECT node, CAST(class AS BIGINT) AS class, count(*) AS n FROM (SELECT unnest([u, v, x]) AS node, code FROM k) JOIN cl USING (code) GROUP BY 1, 2"))
+register("motif3_codes", lambda s, d: R.motif_codes(G.excess_trade(s, d)), with_("top", _CODE))
+register("motif3", lambda s, d: R.motifs3(G.excess_trade(s, d)), with_("top", ", k AS (" + "WITH " + _CODE[2:] + "), cl AS (SELECT * FROM (VALUES " + ", ".join(map(str, R.motif3_classes())) + ") AS v(code, class))\nSELECT node, CAST(class AS BIGINT) AS class, count(*) AS n FROM (SELECT unnest([u, v, x]) AS node, code FROM k) JOIN cl USING (code) GROUP BY 1, 2"))
 
 # weighted paths, and similarity over several steps
 _LENGTHS = """, p AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d, [node] AS p FROM node UNION ALL SELECT p.src, t.dst, d + 1 / w, list_append(p, t.dst) FROM p JOIN top t ON t.src = p.dst WHERE NOT list_contains(p, t.dst) AND len(p) < 8), dw AS (SELECT src, dst, min(d) AS d FROM p GROUP BY 1, 2)"""
-register("efficiency_wei", lambda s, d: r9(R.efficiency_weighted(G.top_trade(s, d), G.nations(s, d)), "e"), with_("top node", _LENGTHS + "\nSELECT round(sum(1 / d) / 600, 9) AS e FROM dw WHERE src <> dst", True))
+register("efficiency_wei", lambda s, d: r9(R.efficiency_weighted(G.excess_trade(s, d), G.nations(s, d)), "e"), with_("top node", _LENGTHS + "\nSELECT round(sum(1 / d) / 600, 9) AS e FROM dw WHERE src <> dst", True))
 register("local_efficiency_wei", lambda s, d: r9(R.local_efficiency_weighted(X.normalize(G.partners(s, d)), G.nations(s, d)), "e"))
-register("betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.top_trade(s, d)), G.nations(s, d))[0], "b"))
-register("edge_betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.top_trade(s, d)), G.nations(s, d))[1], "b"))
+register("betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.excess_trade(s, d)), G.nations(s, d))[0], "b"))
+register("edge_betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.excess_trade(s, d)), G.nations(s, d))[1], "b"))
 register("connecting_threshold", lambda s, d: R.connecting_threshold(G.mirrored(G.without_loops(G.trade(s, d))), G.nations(s, d)), with_("trade node", """, m AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM trade WHERE src <> dst UNION ALL SELECT dst, src, w FROM trade WHERE src <> dst) GROUP BY 1, 2),
 t AS (SELECT DISTINCT w AS thr FROM m), reach AS (SELECT thr, (SELECT min(node) FROM node) AS node FROM t UNION SELECT r.thr, m.dst FROM reach r JOIN m ON m.src = r.node AND m.w >= r.thr)
 SELECT max(thr) AS thr FROM (SELECT thr FROM reach GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM node))""", True))

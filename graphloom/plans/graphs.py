@@ -45,15 +45,23 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).groupBy("src", "dst").agg(F.sum("l_quantity").alias("w"))
 
 
-def top_trade(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """Directed and sparse: the k largest partners of each nation, without loops."""
-    order = W.partitionBy("src").orderBy(F.desc("w"), "dst")
-    return without_loops(trade(spark, sf_dir)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("src", "dst", "w")
+def excess_trade(spark: SparkSession, sf_dir: str, z: float = 1.2) -> DataFrame:
+    """Directed and sparse: trade that is above what the strengths of both nations lead to expect by more than ``z`` deviations, without loops.
+
+    The expectation is the product of the nation's orders and the other's deliveries over all
+    trade; a deviation is that of as many line items of random quantity.
+    """
+    t = trade(spark, sf_dir)
+    q = read(spark, sf_dir, "lineitem").agg((F.sum(F.col("l_quantity") * F.col("l_quantity")) / F.sum("l_quantity")).alias("item"))
+    by = lambda c, name: t.groupBy(c).agg(F.sum("w").alias(name))
+    x = t.join(by("src", "o"), "src").join(by("dst", "i"), "dst").join(F.broadcast(t.agg(F.sum("w").alias("t")))).join(F.broadcast(q))
+    e = F.col("o") * F.col("i") / F.col("t")
+    return without_loops(x).where(F.col("w") - e > z * F.sqrt(e * F.col("item"))).select("src", "dst", "w")
 
 
 def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected form of ``top_trade``."""
-    return mirrored(top_trade(spark, sf_dir))
+    """Undirected form of ``excess_trade``."""
+    return mirrored(excess_trade(spark, sf_dir))
 
 
 def change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +98,9 @@ SQL = {
     "lines": """lines AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, l_quantity AS q, o_orderdate AS day
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)""",
     "trade": "trade AS (SELECT src, dst, sum(q) AS w FROM lines GROUP BY 1, 2)",
-    "top": "top AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM trade WHERE src <> dst) WHERE k <= 3)",
+    "top": """so AS (SELECT src, sum(w) AS o FROM trade GROUP BY 1), si AS (SELECT dst, sum(w) AS i FROM trade GROUP BY 1),
+top AS (SELECT src, dst, w FROM (SELECT t.src, t.dst, w, o * i / (SELECT sum(w) FROM trade) AS e FROM trade t JOIN so USING (src) JOIN si USING (dst))
+  WHERE src <> dst AND w - e > 1.2 * sqrt(e * (SELECT sum(l_quantity * l_quantity) / sum(l_quantity) FROM lineitem)))""",
     "und": "und AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM top UNION ALL SELECT dst, src, w FROM top) GROUP BY 1, 2)",
     "change": """half AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE WHEN year(day) % 2 = 1 THEN q ELSE -q END) AS w
   FROM lines WHERE src <> dst GROUP BY 1, 2 HAVING sum(CASE WHEN year(day) % 2 = 1 THEN q ELSE -q END) <> 0),

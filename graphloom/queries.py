@@ -60,10 +60,10 @@ register("indicator", lambda s, d: X.indicator(G.regions(s, d)), with_("p", '\nS
 # 2.3 degree and strength
 
 _DEG = """, deg AS (SELECT node, coalesce(i, 0) AS id, coalesce(o, 0) AS od FROM node LEFT JOIN (SELECT dst, count(*) AS i FROM top GROUP BY 1) a ON node = a.dst LEFT JOIN (SELECT src, count(*) AS o FROM top GROUP BY 1) b ON node = b.src)"""
-register("degrees_dir", lambda s, d: X.degrees_dir(G.top_trade(s, d), G.nations(s, d)), with_("top node", _DEG + "\nSELECT node, id, od, id + od AS deg FROM deg"))
+register("degrees_dir", lambda s, d: X.degrees_dir(G.excess_trade(s, d), G.nations(s, d)), with_("top node", _DEG + "\nSELECT node, id, od, id + od AS deg FROM deg"))
 register("degrees_und", lambda s, d: X.degrees_und(G.copart(s, d), G.read(s, d, "part").select(F.col("p_partkey").alias("node"))), with_("copart", "\nSELECT p_partkey AS node, coalesce(k, 0) AS deg FROM part LEFT JOIN (SELECT dst, count(*) AS k FROM copart GROUP BY 1) ON dst = p_partkey"))
-register("joint_degree", lambda s, d: X.joint_degree(G.top_trade(s, d), G.nations(s, d)), with_("top node", _DEG + "\nSELECT od, id, count(*) AS n FROM deg GROUP BY 1, 2"))
-register("degree_balance", lambda s, d: X.degree_balance(G.top_trade(s, d), G.nations(s, d)), with_("top node", _DEG + "\nSELECT count(*) FILTER (WHERE od > id) AS j_od, count(*) FILTER (WHERE id > od) AS j_id, count(*) FILTER (WHERE id = od) AS j_bl FROM deg"))
+register("joint_degree", lambda s, d: X.joint_degree(G.excess_trade(s, d), G.nations(s, d)), with_("top node", _DEG + "\nSELECT od, id, count(*) AS n FROM deg GROUP BY 1, 2"))
+register("degree_balance", lambda s, d: X.degree_balance(G.excess_trade(s, d), G.nations(s, d)), with_("top node", _DEG + "\nSELECT count(*) FILTER (WHERE od > id) AS j_od, count(*) FILTER (WHERE id > od) AS j_id, count(*) FILTER (WHERE id = od) AS j_bl FROM deg"))
 register(
     "strengths_dir",
     lambda s, d: X.strengths_dir(G.trade(s, d), G.nations(s, d)),
@@ -76,7 +76,7 @@ register(
     lambda s, d: X.strengths_sign(G.change(s, d), G.nations(s, d)),
     with_("change node", "\nSELECT node, coalesce(sum(w) FILTER (WHERE w > 0), 0) AS pos, coalesce(-sum(w) FILTER (WHERE w < 0), 0) AS neg FROM node LEFT JOIN change ON dst = node GROUP BY 1"),
 )
-register("density_dir", lambda s, d: X.density(G.top_trade(s, d), G.nations(s, d)), with_("top node", "\nSELECT k / (n * (n - 1)) AS density, n, k FROM (SELECT count(*) AS k FROM top), (SELECT count(*) AS n FROM node)"))
+register("density_dir", lambda s, d: X.density(G.excess_trade(s, d), G.nations(s, d)), with_("top node", "\nSELECT k / (n * (n - 1)) AS density, n, k FROM (SELECT count(*) AS k FROM top), (SELECT count(*) AS n FROM node)"))
 register(
     "density_und",
     lambda s, d: X.density(G.copart(s, d), G.read(s, d, "part").select(F.col("p_partkey").alias("node")), False),
@@ -123,11 +123,11 @@ x AS (SELECT node, coalesce(cycles, 0) AS cycles, coalesce(k, 0) * (coalesce(k,
 
 
 for _w, _k in ((False, "bd"), (True, "wd")):
-    register(f"clustering_{_k}", lambda s, d, w=_w: r9(T.clustering_dir(G.top_trade(s, d), G.nations(s, d), w), "c"), with_("top node", _directed(_w) + "\nSELECT node, round(CASE WHEN triples > 0 THEN cycles / triples ELSE 0 END, 9) AS c FROM x"))
-    register(f"transitivity_{_k}", lambda s, d, w=_w: r9(T.transitivity_dir(G.top_trade(s, d), G.nations(s, d), w), "t"), with_("top node", _directed(_w) + "\nSELECT round(sum(cycles) / sum(triples), 9) AS t FROM x"))
+    register(f"clustering_{_k}", lambda s, d, w=_w: r9(T.clustering_dir(G.excess_trade(s, d), G.nations(s, d), w), "c"), with_("top node", _directed(_w) + "\nSELECT node, round(CASE WHEN triples > 0 THEN cycles / triples ELSE 0 END, 9) AS c FROM x"))
+    register(f"transitivity_{_k}", lambda s, d, w=_w: r9(T.transitivity_dir(G.excess_trade(s, d), G.nations(s, d), w), "t"), with_("top node", _directed(_w) + "\nSELECT round(sum(cycles) / sum(triples), 9) AS t FROM x"))
 register(
     "flow_coefficient",
-    lambda s, d: r9(T.flow_coefficient(G.top_trade(s, d), G.nations(s, d)), "fc"),
+    lambda s, d: r9(T.flow_coefficient(G.excess_trade(s, d), G.nations(s, d)), "fc"),
     with_("top node", """, f AS (SELECT a.dst AS node, count(*) AS flow FROM top a JOIN top b ON a.dst = b.src AND a.src <> b.dst WHERE NOT EXISTS (SELECT 1 FROM top c WHERE c.src = a.src AND c.dst = b.dst) GROUP BY 1),
 k AS (SELECT src AS node, count(*) AS k FROM (SELECT src, dst FROM top UNION SELECT dst, src FROM top) GROUP BY 1)
 SELECT node, round(coalesce(CASE WHEN k > 1 THEN coalesce(flow, 0) / (k * (k - 1)) END, 0), 9) AS fc, coalesce(flow, 0) AS flow FROM node LEFT JOIN f USING (node) LEFT JOIN k USING (node)"""),
@@ -143,10 +143,10 @@ FROM copart e LEFT JOIN cn ON cn.a = e.src AND cn.b = e.dst JOIN k x ON x.node =
 _OVERLAP = """, near AS ({near}), k AS (SELECT src, count(*) AS k FROM near GROUP BY 1), sh AS (SELECT a.src, b.src AS dst, count(*) AS n FROM near a JOIN near b ON a.dst = b.dst GROUP BY 1, 2)
 SELECT e.src, e.dst, round(CASE WHEN x.k + y.k - coalesce(n, 0) - 2 > 0 THEN coalesce(n, 0) / (x.k + y.k - coalesce(n, 0) - 2) END, 9) AS overlap FROM {g} e LEFT JOIN sh ON sh.src = e.src AND sh.dst = e.dst JOIN k x ON x.src = e.src JOIN k y ON y.src = e.dst"""
 register("edge_overlap_bu", lambda s, d: r9(T.edge_neighbour_overlap(G.copart(s, d)), "overlap"), with_("copart", _OVERLAP.format(near="SELECT src, dst FROM copart", g="copart")))
-register("edge_overlap_bd", lambda s, d: r9(T.edge_neighbour_overlap(G.top_trade(s, d), True), "overlap"), with_("top", _OVERLAP.format(near="SELECT src, dst FROM top UNION SELECT dst, src FROM top", g="top")))
+register("edge_overlap_bd", lambda s, d: r9(T.edge_neighbour_overlap(G.excess_trade(s, d), True), "overlap"), with_("top", _OVERLAP.format(near="SELECT src, dst FROM top UNION SELECT dst, src FROM top", g="top")))
 register(
     "matching_index",
-    lambda s, d: r9(T.matching_index(G.top_trade(s, d)), "m_in", "m_out", "m_all"),
+    lambda s, d: r9(T.matching_index(G.excess_trade(s, d)), "m_in", "m_out", "m_all"),
     with_("top node", """, q AS (SELECT x.node AS a, y.node AS b FROM node x JOIN node y ON x.node < y.node), n AS (SELECT a, b,
  (SELECT count(*) FROM top s JOIN top t ON s.src = t.src WHERE s.dst = a AND t.dst = b) AS si, (SELECT count(*) FROM top s JOIN top t ON s.dst = t.dst WHERE s.src = a AND t.src = b) AS so,
  (SELECT count(*) FROM top WHERE (dst = a AND src <> b) OR (dst = b AND src <> a)) AS ni, (SELECT count(*) FROM top WHERE (src = a AND dst <> b) OR (src = b AND dst <> a)) AS no FROM q)
@@ -154,7 +154,7 @@ SELECT a, b, round(coalesce(2 * si / nullif(ni, 0), 0), 9) AS m_in, round(coales
 )
 register(
     "dice",
-    lambda s, d: r9(T.dice(G.partners(s, d), G.mirrored(G.top_trade(s, d, 4)), G.nations(s, d)), "dice"),
+    lambda s, d: r9(T.dice(G.partners(s, d), G.mirrored(G.excess_trade(s, d, 4)), G.nations(s, d)), "dice"),
     with_("und node", """, t4 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM trade WHERE src <> dst) WHERE k <= 4), u4 AS (SELECT src, dst FROM t4 UNION SELECT dst, src FROM t4),
 c AS (SELECT coalesce(a.src, b.src) AS node, count(a.src) AS x, count(b.src) AS y, count(*) FILTER (WHERE a.src IS NOT NULL AND b.src IS NOT NULL) AS c FROM und a FULL JOIN u4 b ON a.src = b.src AND a.dst = b.dst GROUP BY 1)
 SELECT node, round(coalesce(2 * c / (x + y), 0), 9) AS dice FROM node LEFT JOIN c USING (node)"""),
@@ -165,9 +165,9 @@ register("correlation_und", lambda s, d: r9(T.correlation(G.trade(s, d), G.chang
 _ASSORT = """, i AS (SELECT dst AS node, {0} AS x FROM {2} GROUP BY 1), o AS (SELECT src AS node, {0} AS x FROM {2} GROUP BY 1), e AS (SELECT CAST(coalesce({3}, 0) AS DOUBLE) AS x, CAST(coalesce({4}, 0) AS DOUBLE) AS y FROM {2} LEFT JOIN i i1 ON i1.node = src LEFT JOIN i i2 ON i2.node = dst LEFT JOIN o o1 ON o1.node = src LEFT JOIN o o2 ON o2.node = dst WHERE {1})
 SELECT round((avg(x * y) - pow(avg((x + y) / 2), 2)) / (avg((x * x + y * y) / 2) - pow(avg((x + y) / 2), 2)), 9) AS r FROM e"""
 for _f, (_a, _b) in {1: ("o1.x", "i2.x"), 2: ("i1.x", "o2.x"), 3: ("o1.x", "o2.x"), 4: ("i1.x", "i2.x")}.items():
-    register(f"assortativity_wei_{_f}", lambda s, d, f=_f: r9(T.assortativity(G.top_trade(s, d), G.nations(s, d), f, True), "r"), with_("top", _ASSORT.format("sum(w)", "src <> dst", "top", _a, _b)))
+    register(f"assortativity_wei_{_f}", lambda s, d, f=_f: r9(T.assortativity(G.excess_trade(s, d), G.nations(s, d), f, True), "r"), with_("top", _ASSORT.format("sum(w)", "src <> dst", "top", _a, _b)))
 register("assortativity_bin", lambda s, d: r9(T.assortativity(G.copart(s, d), _parts(s, d)), "r"), with_("copart", _ASSORT.format("count(*)", "src < dst", "copart", "i1.x", "i2.x")))
-register("assortativity_bin_dir", lambda s, d: r9(T.assortativity(G.top_trade(s, d), G.nations(s, d), 4), "r"), with_("top", _ASSORT.format("count(*)", "src <> dst", "top", "i1.x", "i2.x")))
+register("assortativity_bin_dir", lambda s, d: r9(T.assortativity(G.excess_trade(s, d), G.nations(s, d), 4), "r"), with_("top", _ASSORT.format("count(*)", "src <> dst", "top", "i1.x", "i2.x")))
 register(
     "local_reweighting",
     lambda s, d: r9(T.local_reweighting(G.partners(s, d)), "w"),
@@ -181,9 +181,9 @@ _RICH_W = ", rk AS (SELECT w, row_number() OVER (ORDER BY w DESC, src, dst) AS n
 _U = {"node": "p_partkey", "nodes": "part", "ends": "SELECT src AS node FROM copart", "g": "copart"}
 _D = {"node": "node.node", "nodes": "node", "ends": "SELECT src AS node FROM top UNION ALL SELECT dst FROM top", "g": "top"}
 register("rich_club_bu", lambda s, d: r9(T.rich_club(G.copart(s, d), _parts(s, d)), "r"), with_("copart", _RICH.format(**_U) + _RICH_B))
-register("rich_club_bd", lambda s, d: r9(T.rich_club(G.top_trade(s, d), G.nations(s, d), True), "r"), with_("top node", _RICH.format(**_D) + _RICH_B))
+register("rich_club_bd", lambda s, d: r9(T.rich_club(G.excess_trade(s, d), G.nations(s, d), True), "r"), with_("top node", _RICH.format(**_D) + _RICH_B))
 register("rich_club_wu", lambda s, d: r9(T.rich_club_weighted(G.partners(s, d), G.nations(s, d)), "r"), with_("und node", _RICH.format(**_D | {"g": "und", "ends": "SELECT src AS node FROM und"}) + _RICH_W.format(g="und")))
-register("rich_club_wd", lambda s, d: r9(T.rich_club_weighted(G.top_trade(s, d), G.nations(s, d), True), "r"), with_("top node", _RICH.format(**_D) + _RICH_W.format(g="top")))
+register("rich_club_wd", lambda s, d: r9(T.rich_club_weighted(G.excess_trade(s, d), G.nations(s, d), True), "r"), with_("top node", _RICH.format(**_D) + _RICH_W.format(g="top")))
 
 # 2.6 - 2.8 partitions
 
