@@ -26,7 +26,7 @@ def null_model(edges: DataFrame, nodes: DataFrame, runs: int = 1, swaps: int = 5
     n = number.count()
     e = edges.where("src <> dst AND w <> 0").select("src", "dst", "w")
     by = lambda c: number.select(F.col("node").alias(c), F.col("i").alias(f"{c}_i"))
-    e = e.join(by("src"), "src").join(by("dst"), "dst").select(F.explode(F.sequence(F.lit(1), F.lit(runs))).cast("bigint").alias("run"), F.col("src_i").alias("src"), F.col("dst_i").alias("dst"), "w")
+    e = e.join(by("src"), "src").join(by("dst"), "dst").select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(runs).cast("bigint"))).alias("run"), F.col("src_i").alias("src"), F.col("dst_i").alias("dst"), "w")
     e = e.select((F.col("run") * n + F.col("src")).alias("src"), (F.col("run") * n + F.col("dst")).alias("dst"), "w")
     e = stored(e, "copies")
     half = lambda d: d if directed else d.where("src < dst")

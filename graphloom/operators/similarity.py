@@ -83,7 +83,7 @@ def entropic_similarity(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def in_runs(df: DataFrame, first: int, last: int) -> DataFrame:
     """df once for each run first .. last."""
-    return df.select(F.explode(F.sequence(F.lit(first), F.lit(last))).cast("bigint").alias("run"), *df.columns)
+    return df.select(F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))).alias("run"), *df.columns)
 
 
 def degenerate_partitions(edges: DataFrame, nodes: DataFrame, runs: int, cap: float = 0.1, cutoff: float = 0.95, method: str = "sta", seed: int = 1, max_tries: int = 50) -> DataFrame:
