@@ -59,7 +59,7 @@ register("nbs", lambda s, d: N.nbs(_subjects(s, d), _groups(s, d), 1.5).select("
 
 register("louvain", lambda s, d: M.louvain(G.partners(s, d), G.nations(s, d)))
 register("label_propagation", lambda s, d: M.label_propagation(G.partners(s, d), G.nations(s, d)))
-register("consensus", lambda s, d: M.consensus(G.partners(s, d), G.nations(s, d), 0.5, 2))
+register("consensus", lambda s, d: M.consensus(G.partners(s, d), G.nations(s, d), 0.5, 20))
 
 
 def _rewired(new: DataFrame, old: DataFrame, measure) -> DataFrame:

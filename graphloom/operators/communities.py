@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.components import connected_components
 from graphloom.plans.shared import stored
 
 from . import partitions as P
+from .optimisers import best_of_runs
+from .similarity import in_runs
 
 
 def _sweep(edges: DataFrame, parts: DataFrame, gamma: float, turn: int, seed: int, random_share: float = 0.0) -> DataFrame:
@@ -29,26 +32,26 @@ def _sweep(edges: DataFrame, parts: DataFrame, gamma: float, turn: int, seed: in
     return best.select("node", moved.alias("comm"))
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, gamma: float = 1.0, seed: int = 1, max_sweeps: int = 12, max_levels: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, gamma: float = 1.0, seed: int = 1) -> DataFrame:
     """level, node, comm: a dendrogram of partitions of a mirrored graph with positive weights.
 
     Half of the nodes, chosen by hash, move at a time, so that neighbours do not chase
-    each other; a level ends when its quality stops rising, and the communities
-    become the nodes of the next.  Only qualities reach the driver.
+    each other; a level ends after three sweeps that did not raise its quality, and the communities
+    become the nodes of the next, until a level raises nothing.  Only qualities reach the driver.
     """
+    turn = 0
     out, graph = None, stored(edges.select("src", "dst", "w"), "graph")
     members = stored(nodes.select("node", F.col("node").alias("comm")), "level")
-    for level in range(max_levels):
+    for level in itertools.count():
         best, q, idle = members, P.modularity(graph, members, gamma).first()[0] or 0.0, 0
         now, start = best, q
-        for turn in range(max_sweeps):
-            now = stored(_sweep(graph, now, gamma, level * max_sweeps + turn, seed), "sweep")
+        while idle < 3:
+            turn += 1
+            now = stored(_sweep(graph, now, gamma, turn, seed), "sweep")
             new = P.modularity(graph, now, gamma).first()[0] or 0.0
             idle = 0 if new > q + 1e-10 else idle + 1
             if new > q + 1e-10:
                 best, q = now, new
-            if idle == 3:
-                break
         if q <= start + 1e-10:
             break
         least = best.groupBy("comm").agg(F.min("node").alias("least"))
@@ -66,7 +69,7 @@ def best_partition(edges: DataFrame, nodes: DataFrame, gamma: float = 1.0, seed:
     return P.partition_at_level(tree, tree.agg(F.max("level")).first()[0])
 
 
-def label_propagation(edges: DataFrame, nodes: DataFrame, seed: int = 1, max_turns: int = 30) -> DataFrame:
+def label_propagation(edges: DataFrame, nodes: DataFrame, seed: int = 1, max_turns: int = 1000) -> DataFrame:
     """node, comm: every node takes the label of most weight around it, ties by a hash; until labels rest."""
     now = stored(nodes.select("node", F.col("node").alias("comm")), "labels")
     e = edges.where("src <> dst")
@@ -78,19 +81,31 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, seed: int = 1, max_tur
         rest = not new.agg(F.bool_or("open")).first()[0]
         now = new.select("node", "comm")
         if rest:
-            break
-    return now
-
-
-def consensus(edges: DataFrame, nodes: DataFrame, tau: float, runs: int = 5, gamma: float = 1.0) -> DataFrame:
-    """node, comm: components of the pairs that are together in more than ``tau`` of several partitions."""
-    parts = None
-    for seed in range(1, runs + 1):
-        one = best_partition(edges, nodes, gamma, seed).withColumn("part", F.lit(seed))
-        parts = one if parts is None else parts.unionByName(one)
-    together = P.agreement(stored(parts, "runs")).where(F.col("n") > tau * runs)
-    comp = connected_components(together, "a", "b")
-    return nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comm"))
+            return now
+    raise RuntimeError("the labels did not come to rest within max_turns")
+
+
+def consensus(edges: DataFrame, nodes: DataFrame, tau: float, runs: int = 5, method: str = "modularity", gamma: float = 1.0, seed: int = 1, max_rounds: int = 100) -> DataFrame:
+    """node, comm: partitions of several runs, clustered by how often they agree until all runs agree.
+
+    Each round optimises all runs together on the graph of the pairs that are in one community in at
+    least ``tau`` of the last round's runs, weighted by that share.
+    """
+    start = lambda e: stored(_named(best_of_runs(in_runs(e, 1, runs), in_runs(nodes.select("node"), 1, runs), method, gamma, seed, True)), "runs")
+    parts = start(edges.select("src", "dst", "w"))
+    for _ in range(max_rounds):
+        if parts.groupBy("node").agg(F.count_distinct("comm").alias("k")).where("k > 1").isEmpty():
+            return parts.where("run = 1").select("node", "comm")
+        seed += 1
+        together = P.agreement(parts.withColumnRenamed("run", "part")).withColumn("w", F.col("n") / runs).where(F.col("w") >= tau)
+        parts = start(stored(together.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), "agreement"))
+    raise RuntimeError("the runs do not come to agree")
+
+
+def _named(parts: DataFrame) -> DataFrame:
+    """run, node, comm: communities by their least node."""
+    least = parts.groupBy("run", "comm").agg(F.min("node").alias("least"))
+    return parts.join(least, ["run", "comm"]).select("run", "node", F.col("least").alias("comm"))
 
 
 def resolution_profile(edges: DataFrame, nodes: DataFrame, gammas: list[float]) -> DataFrame:

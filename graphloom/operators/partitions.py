@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -131,21 +133,30 @@ def surprise_parameters(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return inside.join(m).join(p)
 
 
+def log_gamma(x):
+    """Logarithm of the gamma function of a column above zero, by Stirling's series ten places on."""
+    y = x + 10
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    back = sum((F.log(x + i) for i in range(1, 10)), F.log(x))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - back
+
+
+def log_binomial(n, k):
+    return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+
+
 def surprise(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """s: minus the decimal logarithm of the hypergeometric tail from mi on.
-
-    Logarithms of binomials are sums over one row for each factor of the term ratio:
-    term j + 1 over term j is (pi - j)(m - j) / ((j + 1)(p - pi - m + j + 1)).
-    """
-    par = surprise_parameters(edges, parts)
-    log_binomial = lambda n, k: F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
-    mi, pi, m, p = (F.col(c) for c in ("mi", "pi", "m", "p"))
-    first = log_binomial(pi, mi) + log_binomial(p - pi, m - mi) - log_binomial(p, m)
-    steps = F.when(F.least(m, pi) > mi, F.sequence(mi, F.least(m, pi) - 1)).otherwise(F.array().cast("array<bigint>"))
-    # sum of the products of the ratios: 1 + r1 (1 + r2 (1 + ...)), from the last to the first
-    ratio = lambda j: (pi - j) * (m - j) / ((j + 1) * (p - pi - m + j + 1))
-    tail = F.aggregate(F.reverse(steps), F.lit(1.0), lambda s, j: 1 + ratio(j) * s)
-    return par.select((-(first + F.log(tail)) / F.log(F.lit(10.0))).alias("s"))
+    """s: minus the decimal logarithm of the hypergeometric tail from mi on; the terms are rows, summed by their distance from the largest."""
+    mi, pi, m, p = surprise_parameters(edges, parts).first()
+    last = min(m, pi)
+    if mi > last:
+        raise ValueError("more edges inside communities than pairs")
+    d = lambda x: F.lit(float(x))
+    j = F.col("id").cast("double")
+    terms = edges.sparkSession.range(mi, last + 1).where(F.lit(m) - F.col("id") <= p - pi)
+    terms = terms.select((log_binomial(d(pi), j) + log_binomial(d(p - pi), d(m) - j) - log_binomial(d(p), d(m))).alias("t"))
+    top = terms.agg(F.max("t").alias("top"))
+    return terms.join(F.broadcast(top)).groupBy("top").agg(F.sum(F.exp(F.col("t") - F.col("top"))).alias("x")).select((-(F.col("top") + F.log("x")) / F.log(F.lit(10.0))).alias("s"))
 
 
 def agreement(partitions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.components import connected_components
@@ -155,15 +156,24 @@ def core(edges: DataFrame, nodes: DataFrame, k: float, weighted: bool = False) -
         left = stored(left.join(weak.withColumnRenamed("node", "src"), "src", "left_anti").join(weak.withColumnRenamed("node", "dst"), "dst", "left_anti"), "core")
 
 
-def coreness(edges: DataFrame, nodes: DataFrame, max_k: int = 10_000) -> DataFrame:
-    """node, core: the largest k whose core holds the node; each core is peeled from the one before."""
-    left, found = edges.where("src <> dst"), [nodes.select("node", F.lit(0).cast("bigint").alias("core"))]
-    for k in range(1, max_k + 1):
-        left = core(left, nodes, k)
-        if left.isEmpty():
-            break
-        found.append(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("core", F.lit(k).cast("bigint")))
-    return _union(found).groupBy("node").agg(F.max("core").alias("core"))
+def coreness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, core: the largest k whose core holds the node.
+
+    From the degrees on, every node takes the largest h such that h neighbours hold h or
+    more, until nothing changes; values only fall, so that comes to an end.
+    """
+    e = stored(edges.where("src <> dst").select("src", "dst").distinct(), "plain")
+    now = stored(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core")), "core")
+    while True:
+        near = e.join(now.select(F.col("node").alias("dst"), "core"), "dst")
+        # neighbours of equal value count together, so that a hub has a row for each value
+        many = near.groupBy(F.col("src").alias("node"), "core").agg(F.count(F.lit(1)).alias("n"))
+        upto = many.withColumn("n", F.sum("n").over(W.partitionBy("node").orderBy(F.desc("core"))))
+        new = upto.groupBy("node").agg(F.max(F.least("core", "n")).alias("new"))
+        step = stored(now.join(new, "node").select("node", F.least("core", "new").alias("core"), (F.col("new") < F.col("core")).alias("fell")), "core")
+        if step.where("fell").isEmpty():
+            return nodes.select("node").join(step, "node", "left").select("node", F.coalesce("core", F.lit(0).cast("bigint")).alias("core"))
+        now = step.select("node", "core")
 
 
 def simrank(edges: DataFrame, nodes: DataFrame, r: float = 0.9, eps: float = 1e-4, max_steps: int = 100) -> DataFrame:
@@ -198,6 +208,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, d: float, teleport: DataFrame |
         r = new
         if gap < eps:
             break
+    else:
+        raise RuntimeError("the ranks did not settle within max_steps")
     return r.join(r.agg(F.sum("r").alias("t"))).select("node", (F.col("r") / F.col("t")).alias("r"))
 
 
@@ -212,8 +224,8 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, eps: float = 1e-12, max_step
         gap = new.agg(F.max(F.abs(F.col("v") - F.col("old")))).first()[0]
         v = new.select("node", "v")
         if gap < eps:
-            break
-    return v
+            return v
+    raise RuntimeError("the vector did not settle within max_steps")
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
