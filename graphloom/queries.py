@@ -154,8 +154,8 @@ SELECT a, b, round(coalesce(2 * si / nullif(ni, 0), 0), 9) AS m_in, round(coales
 )
 register(
     "dice",
-    lambda s, d: r9(T.dice(G.partners(s, d), G.mirrored(G.excess_trade(s, d, 4)), G.nations(s, d)), "dice"),
-    with_("und node", """, t4 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM trade WHERE src <> dst) WHERE k <= 4), u4 AS (SELECT src, dst FROM t4 UNION SELECT dst, src FROM t4),
+    lambda s, d: r9(T.dice(G.partners(s, d), G.mirrored(G.excess_trade(s, d, 0.5)), G.nations(s, d)), "dice"),
+    with_("und node", """, t4 AS (SELECT src, dst FROM (SELECT t.src, t.dst, w, o * i / (SELECT sum(w) FROM trade) AS e FROM trade t JOIN so USING (src) JOIN si USING (dst)) WHERE src <> dst AND w - e > 0.5 * sqrt(e * (SELECT sum(l_quantity * l_quantity) / sum(l_quantity) FROM lineitem))), u4 AS (SELECT src, dst FROM t4 UNION SELECT dst, src FROM t4),
 c AS (SELECT coalesce(a.src, b.src) AS node, count(a.src) AS x, count(b.src) AS y, count(*) FILTER (WHERE a.src IS NOT NULL AND b.src IS NOT NULL) AS c FROM und a FULL JOIN u4 b ON a.src = b.src AND a.dst = b.dst GROUP BY 1)
 SELECT node, round(coalesce(2 * c / (x + y), 0), 9) AS dice FROM node LEFT JOIN c USING (node)"""),
 )
