@@ -131,18 +131,18 @@ def best_cross_modularity(e1: DataFrame, e2: DataFrame, nodes: DataFrame, seed:
     return cross_modularity_runs(e1, e2, one, two)
 
 
-def similarity_test(e1: DataFrame, e2: DataFrame, nodes: DataFrame, shuffles: int = 1000, metric: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = best_cross_modularity, seed: int = 1) -> DataFrame:
+def similarity_test(e1: DataFrame, e2: DataFrame, nodes: DataFrame, shuffles: int = 1000, metric: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = best_cross_modularity, seed: int = 1, swaps: int = 5, steps: int = 10) -> DataFrame:
     """similarity, p: the share of shuffles whose similarity is above the true one.
 
     In a shuffle one of the graphs, by the toss of a coin, gives way to a null model that keeps signs, degrees
-    and, nearly, strengths.  metric: takes both graphs and the nodes keyed by ``run`` and returns
+    and, nearly, strengths (``swaps`` and ``steps``: see ``null_model``).  metric: takes both graphs and the nodes keyed by ``run`` and returns
     run, similarity; run 0 is the true pair and all shuffles go through it together.
     """
     nodes = stored(nodes.select("node").distinct(), "nodes")
     toss = F.pmod(F.xxhash64("run", F.lit(seed)), F.lit(2)) == 0
 
     def mixed(e: DataFrame, mine) -> DataFrame:
-        null = Z.null_model(e, nodes, runs=shuffles, seed=seed)
+        null = Z.null_model(e, nodes, shuffles, swaps, steps, seed=seed)
         return stored(in_runs(e.select("src", "dst", "w"), 0, shuffles).where((F.col("run") == 0) | ~mine).unionByName(null.where(mine)), "mixed")
 
     values = stored(metric(mixed(e1, toss), mixed(e2, ~toss), stored(in_runs(nodes, 0, shuffles), "keyed")), "similarities")
