@@ -37,14 +37,6 @@ def classes(size: int) -> dict[int, int]:
     return out
 
 
-def library(size: int, functional: bool = False) -> list[tuple[int, int, int]]:
-    """(code, sub, class): the code itself, or if functional each connected set of arcs inside it."""
-    of = classes(size)
-    if not functional:
-        return [(code, code, c) for code, c in sorted(of.items())]
-    return [(code, sub, c) for code in sorted(of) for sub, c in sorted(of.items()) if sub & ~code == 0]
-
-
 def patterns(edges: DataFrame, size: int) -> DataFrame:
     """n0 < n1 < .., code and the weight w0, w1, .. of each bit's arc (0 if absent) of every connected set of nodes.
 
@@ -67,12 +59,15 @@ def motifs(edges: DataFrame, size: int = 3, functional: bool = False) -> DataFra
     """node, class, n, intensity, coherence: patterns of each class around each node.
 
     Intensity sums the geometric means of the patterns' weights, coherence their
-    ratios to the arithmetic means.  The library has at most some thousand rows of
-    three numbers, for functional ones of four nodes about half a million.
+    ratios to the arithmetic means.  A functional pattern is any set of arcs inside
+    that ties all nodes together: the subsets of a code are made on the spot and looked
+    up in the table of classes, which has at most 4,096 rows.
     """
-    lib = edges.sparkSession.createDataFrame(library(size, functional), "code bigint, sub bigint, class bigint")
-    t = patterns(edges, size).join(lib if functional and size > 3 else F.broadcast(lib), "code")
-    bits = range(size * (size - 1))
+    bits = size * (size - 1)
+    known = edges.sparkSession.createDataFrame(sorted(classes(size).items()), "sub bigint, class bigint")
+    subsets = F.expr(f"aggregate(sequence(0, {bits - 1}), array(0L), (acc, k) -> if(getbit(code, k) = 1, concat(acc, transform(acc, x -> x | shiftleft(1L, k))), acc))")
+    t = patterns(edges, size).withColumn("sub", F.explode(subsets) if functional else F.col("code")).join(F.broadcast(known), "sub")
+    bits = range(bits)
     has = lambda k, x: F.when(F.col("sub").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0, x).otherwise(0.0)
     add = lambda xs: sum(xs, F.lit(0.0))
     count = F.bit_count("sub")

@@ -78,6 +78,24 @@ def path_summary(dist: DataFrame) -> DataFrame:
     return d.agg(F.avg("d").alias("lambda"), F.sum(1 / F.col("d")).alias("__inv")).join(ecc).select("lambda", "__inv", "radius", "diameter")
 
 
+def eccentricity(dist: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, ecc: distance to the farthest node that can be reached; 0 if none can."""
+    far = dist.groupBy(F.col("src").alias("node")).agg(F.max("d").alias("ecc"))
+    return nodes.select("node").join(far, "node", "left").select("node", F.coalesce("ecc", F.lit(0)).alias("ecc"))
+
+
+def charpath(dist: DataFrame, nodes: DataFrame) -> DataFrame:
+    """lambda, efficiency, radius, diameter of distances that hold 0 for a node and itself.
+
+    lambda is the mean over reachable pairs, each node with itself included; for the
+    efficiency unreachable pairs count as 0.
+    """
+    ecc = eccentricity(dist, nodes).agg(F.min("ecc").alias("radius"), F.max("ecc").alias("diameter"), F.count(F.lit(1)).alias("n"))
+    sums = dist.agg(F.avg("d").alias("lambda"), F.coalesce(F.sum(F.when(F.col("src") != F.col("dst"), 1 / F.col("d"))), F.lit(0.0)).alias("x"))
+    e = F.coalesce(F.try_divide(F.col("x"), F.col("n") * (F.col("n") - 1)), F.lit(0.0))
+    return sums.join(F.broadcast(ecc)).select("lambda", e.alias("efficiency"), "radius", "diameter")
+
+
 def efficiency(dist: DataFrame, nodes: DataFrame) -> DataFrame:
     """e: mean of 1 / d over all ordered pairs, unreachable pairs counting as 0."""
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
@@ -141,9 +159,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return c.join(c.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").select("node", "comp", "size")
 
 
-def core(edges: DataFrame, nodes: DataFrame, k: float, weighted: bool = False) -> DataFrame:
-    """Edges of the largest subgraph in which every node's degree (strength) is k or more; for directed edges both kinds count."""
-    left = stored(edges.where("src <> dst").select("src", "dst", "w"), "core")
+def _peeled(edges: DataFrame, k: float, weighted: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges of the core, and the nodes that each round took away."""
+    left, rounds = stored(edges.where("src <> dst").select("src", "dst", "w"), "core"), []
     symmetric = left.select("src", "dst").exceptAll(left.select("dst", "src")).isEmpty()
     while True:
         x = F.sum("w") if weighted else F.count(F.lit(1)).cast("double")
@@ -152,10 +170,24 @@ def core(edges: DataFrame, nodes: DataFrame, k: float, weighted: bool = False) -
             ends = ends.unionByName(left.select(F.col("dst").alias("node"), "w"))
         weak = stored(ends.groupBy("node").agg(x.alias("x")).where(F.col("x") < k).select("node"), "weak")
         if weak.isEmpty():
-            return left
+            return left, rounds
+        rounds.append(weak)
         left = stored(left.join(weak.withColumnRenamed("node", "src"), "src", "left_anti").join(weak.withColumnRenamed("node", "dst"), "dst", "left_anti"), "core")
 
 
+def core(edges: DataFrame, nodes: DataFrame, k: float, weighted: bool = False) -> DataFrame:
+    """Edges of the largest subgraph in which every node's degree (strength) is k or more; for directed edges both kinds count."""
+    return _peeled(edges, k, weighted)[0]
+
+
+def peel_levels(edges: DataFrame, nodes: DataFrame, k: float, weighted: bool = False) -> DataFrame:
+    """node, level: the round, from 1, that takes the node away on the way to the core; 0 for its nodes, null for nodes without edges."""
+    left, rounds = _peeled(edges, k, weighted)
+    at = [weak.select("node", F.lit(i).cast("bigint").alias("level")) for i, weak in enumerate(rounds, 1)]
+    kept = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+    return nodes.select("node").join(_union([kept.select("node", F.lit(0).cast("bigint").alias("level")), *at]), "node", "left")
+
+
 def coreness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, core: the largest k whose core holds the node.
 
@@ -260,17 +292,22 @@ def efficiency_weighted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def local_efficiency_weighted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, e of an undirected graph: over pairs of a node's neighbours, the cube root of both weights and 1 / d among the neighbours."""
+    """node, e: over ordered pairs of a node's neighbours, the cube root of both weights and 1 / d among the neighbours.
+
+    Nodes at either end of an edge are neighbours; a neighbour by edges both ways has the
+    sum of both roots and counts twice, so a mirrored graph gives what each edge alone would.
+    """
     e = edges.where("src <> dst AND w <> 0").select("src", "dst", "w")
-    near = e.select(F.col("src").alias("ego"), F.col("dst").alias("x"), F.cbrt("w").alias("c"))
+    ways = e.select(F.col("src").alias("ego"), F.col("dst").alias("x"), "w").unionByName(e.select(F.col("dst").alias("ego"), F.col("src").alias("x"), "w"))
+    near = stored(ways.groupBy("ego", "x").agg(F.sum(F.cbrt("w")).alias("c"), F.count(F.lit(1)).alias("a")), "near")
     at = lambda c: F.struct("ego", F.col(c).alias("at"))  # noqa: E731  a node of the graph around ego
     own = e.join(near.select("ego", F.col("x").alias("src")), "src").join(near.select("ego", F.col("x").alias("dst")), ["ego", "dst"])
     own = own.select(at("src").alias("src"), at("dst").alias("dst"), (1 / F.col("w")).alias("w"))
     d = weighted_distances(stored(own, "ego"), near.select(at("x").alias("node"))).where("src.at <> dst.at")
     c = lambda end: near.select(at("x").alias(end), F.col("c").alias(f"c_{end}"))
     total = d.join(c("src"), "src").join(c("dst"), "dst").groupBy(F.col("src.ego").alias("node")).agg(F.sum(F.col("c_src") * F.col("c_dst") * F.cbrt(1 / F.col("d"))).alias("x"))
-    k = near.groupBy(F.col("ego").alias("node")).agg(F.count(F.lit(1)).alias("k"))
-    return nodes.select("node").join(k, "node", "left").join(total, "node", "left").select("node", F.coalesce(F.col("x") / F.when(F.col("k") > 1, F.col("k") * (F.col("k") - 1)), F.lit(0.0)).alias("e"))
+    k = near.groupBy(F.col("ego").alias("node")).agg((F.sum("a") * F.sum("a") - F.sum(F.col("a") * F.col("a"))).alias("k"))
+    return nodes.select("node").join(k, "node", "left").join(total, "node", "left").select("node", F.coalesce(F.try_divide("x", "k"), F.lit(0.0)).alias("e"))
 
 
 def betweenness_weighted(lengths: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -329,6 +366,16 @@ def edge_range(edges: DataFrame, max_steps: int = 1000) -> DataFrame:
     return e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(_union(found), ["a", "b"], "left").select(F.col("a").alias("src"), F.col("b").alias("dst"), "range")
 
 
+def shortcuts(edges: DataFrame) -> DataFrame:
+    """src, dst, range, short: an edge is a shortcut if its range is above 2 or infinite (null)."""
+    return edge_range(edges).withColumn("short", F.coalesce(F.col("range") > 2, F.lit(True)))
+
+
+def range_summary(ranges: DataFrame) -> DataFrame:
+    """eta, fs: mean of the finite ranges, and share of the edges that are shortcuts."""
+    return ranges.agg(F.avg("range").alias("eta"), F.avg(F.col("short").cast("double")).alias("fs"))
+
+
 def maximum_spanning_forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """src < dst, w of a forest of the largest weights (ties by ids): every component takes its best edge, until none leads out."""
     e = stored(edges.where("src < dst").select("src", "dst", "w"), "edges")

@@ -48,6 +48,42 @@ def nbs(cells: DataFrame, groups: DataFrame, threshold: float, permutations: int
     # the first n0 subjects in the order of a hash are group 0
     lists = order.groupBy("perm").agg(F.sort_array(F.collect_list(F.struct("h", "subject"))).alias("x"))
     dealt = lists.select("perm", F.posexplode("x").alias("i", "s")).select("perm", "s.subject", F.when(F.col("i") < n0, 0).otherwise(1).alias("grp"))
-    null = component_sizes(edge_t(cells, stored(dealt, "perms"), ["perm"], tail).where(F.col("t") > threshold), ["perm"]).groupBy("perm").agg(F.max("edges").alias("largest"))
+    return _shares(true, edge_t(cells, stored(dealt, "perms"), ["perm"], tail).where(F.col("t") > threshold), permutations)
+
+
+def _shares(true: DataFrame, strong: DataFrame, permutations: int) -> DataFrame:
+    """comp, edges, p: the share of permutations whose largest component of strong edges has as many edges; one row for each permutation is broadcast."""
+    null = component_sizes(strong, ["perm"]).groupBy("perm").agg(F.max("edges").alias("largest"))
     counted = true.join(F.broadcast(null), F.col("largest") >= F.col("edges"), "left").groupBy("comp", "edges").agg(F.count("largest").alias("k"))
     return counted.select("comp", "edges", (F.col("k") / permutations).alias("p"))
+
+
+def paired_t(cells: DataFrame, pairs: DataFrame, keys: list[str], tail: str = "both") -> DataFrame:
+    """keys, src, dst, t: one-sample t of the differences of paired subjects at each edge; absent cells are zero.
+
+    cells: subject, src < dst, w; pairs: keys, pair, a, b, sign; a pair's difference is that of subject a and b, times sign.
+    """
+    n = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda c, x: pairs.select(*keys, "pair", F.col(c).alias("subject"), (x * F.col("sign")).alias("times"))
+    part = cells.join(of("a", 1).unionByName(of("b", -1)), "subject")
+    diff = part.groupBy(*keys, "src", "dst", "pair").agg(F.sum(F.col("w") * F.col("times")).alias("x"))
+    s = diff.groupBy(*keys, "src", "dst").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    s = s.join(F.broadcast(n), keys) if keys else s.join(F.broadcast(n))
+    sd = F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))
+    t = F.try_divide(F.col("s") / F.col("n"), sd) * F.sqrt("n")
+    t = {"both": F.abs(t), "left": -t, "right": t}[tail]
+    return s.select(*keys, "src", "dst", F.coalesce(t, F.lit(0.0)).alias("t"))
+
+
+def nbs_paired(cells: DataFrame, pairs: DataFrame, threshold: float, permutations: int = 100, tail: str = "both", seed: int = 1) -> DataFrame:
+    """comp, edges, p of each component of edges whose paired t is over the threshold.
+
+    pairs: pair, a, b (subjects).  A permutation exchanges the subjects of every pair
+    with probability 1/2; p is the share of them whose largest component has as many edges.
+    """
+    cells = stored(cells, "cells")
+    two = pairs.select("pair", "a", "b")
+    true = component_sizes(paired_t(cells, two.withColumn("sign", F.lit(1)), [], tail).where(F.col("t") > threshold), [])
+    dealt = two.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    dealt = dealt.withColumn("sign", F.when(F.pmod(F.xxhash64("pair", "perm", F.lit(seed)), F.lit(2)) == 0, 1).otherwise(-1))
+    return _shares(true, paired_t(cells, stored(dealt, "perms"), ["perm"], tail).where(F.col("t") > threshold), permutations)

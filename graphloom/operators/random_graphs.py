@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.components import connected_components
+from graphloom.operators.weights import ranked
 from graphloom.plans.shared import stored
 
 
-def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = True, lattice: bool = False, by_sign: bool = False, connected: bool = False, stride: int = 0) -> DataFrame:
+def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = True, lattice: bool = False, by_sign: bool = False, connected: bool = False, stride: int = 0, avoid: DataFrame | None = None) -> DataFrame:
     """Edges (src, dst, w) with the same degrees and other ends; weights go with the sources.
 
     In a round, edges fall into buckets by hash and the first and last of each bucket
@@ -18,8 +19,12 @@ def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = Tr
     of the same sign, which change places with what joins their ends crosswise if that
     is of one other sign (or absent) on both sides; connected: rounds that split the graph are taken back.
     stride: nodes k * stride .. are the k-th of several graphs that are rewired together, each in itself.
+    avoid (src, dst): places where no swap puts an edge (not with by_sign); edges that stand there may stay.
     Undirected graphs are mirrored and come back mirrored.
     """
+    if avoid is not None and by_sign:
+        raise ValueError("avoid does not go with by_sign")
+    shut = None if avoid is None else stored((avoid if directed else avoid.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))).select("src", "dst").distinct(), "avoid")
     now = edges.where("src <> dst").select("src", "dst", "w")
     now = stored(now if directed else now.where("src < dst"), "rewired")
     n = now.count()
@@ -46,7 +51,8 @@ def rewire(edges: DataFrame, rounds: int = 5, seed: int = 1, directed: bool = Tr
         made = two.select("b", "sign", F.explode("new").alias("e")).select("b", "sign", *[x.alias(k) for x, k in zip(ends(F.col("e.s"), F.col("e.t")), ("src", "dst"), strict=True)], "e.w")
         made = stored(made, "made")
         # a swap counts if both its edges are new and nobody else's
-        clash = made.join(now.select("src", "dst"), ["src", "dst"], "left_semi").select("b", "sign").unionByName(made.join(made.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), ["src", "dst"]).select("b", "sign")).distinct()
+        taken = now.select("src", "dst") if shut is None else now.select("src", "dst").unionByName(shut)
+        clash = made.join(taken, ["src", "dst"], "left_semi").select("b", "sign").unionByName(made.join(made.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), ["src", "dst"]).select("b", "sign")).distinct()
         made = made.join(clash, ["b", "sign"], "left_anti")
         gone = two.join(clash, ["b", "sign"], "left_anti").select(F.explode("old").alias("e")).select("e.src", "e.dst")
         new = stored(now.join(gone, ["src", "dst"], "left_anti").unionByName(made.select("src", "dst", "w")), "rewired")
@@ -77,8 +83,6 @@ def _pieces(edges: DataFrame) -> int:
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
-    from .weights import ranked
-
     return ranked(nodes.select("node"), [F.col("node")]).select("node", (F.col("rank") - 1).alias("i"))
 
 
@@ -96,7 +100,7 @@ def random_edges(nodes: DataFrame, k: int, seed: int = 1, directed: bool = True)
     else:
         draws = spark.range(4 * k + 64).select(*[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(x)), F.lit(n)).alias(c) for x, c in enumerate("ab")]).where("a <> b")
         pool = (draws if directed else draws.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    pick = pool.orderBy(F.xxhash64("a", "b", F.lit(seed))).limit(k)
+    pick = ranked(pool, [F.xxhash64("a", "b", F.lit(seed)), F.col("a"), F.col("b")]).where(F.col("rank") <= k).drop("rank")
     e = pick.join(v.select(F.col("i").alias("a"), F.col("node").alias("src")), "a").join(v.select(F.col("i").alias("b"), F.col("node").alias("dst")), "b").select("src", "dst", F.lit(1.0).alias("w"))
     return e if directed else e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
@@ -108,7 +112,7 @@ def ring_lattice(nodes: DataFrame, k: int) -> DataFrame:
     each = min(n - 1, -(-k // n))
     step = F.when(F.col("o") % 2 == 0, F.floor(F.col("o") / 2) + 1).otherwise(-(F.floor(F.col("o") / 2) + 1))
     e = v.select(F.col("node").alias("src"), "i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("o")).withColumn("j", F.pmod(F.col("i") + step, F.lit(n)))
-    pick = e.orderBy("o", "i").limit(k)
+    pick = ranked(e, [F.col("o"), F.col("i")]).where(F.col("rank") <= k)
     return pick.join(v.select(F.col("i").alias("j"), F.col("node").alias("dst")), "j").select("src", "dst", F.lit(1.0).alias("w"))
 
 
@@ -121,6 +125,44 @@ def ring_of_cliques(spark: SparkSession, size: int, cliques: int) -> DataFrame:
     return both.select("src", "dst", F.lit(1.0).alias("w"))
 
 
+def cliques(parts: DataFrame) -> DataFrame:
+    """Mirrored edges between all nodes of the same community."""
+    two = parts.select("comm", F.col("node").alias("dst"))
+    return parts.select("comm", F.col("node").alias("src")).join(two, "comm").where("src <> dst").select("src", "dst", F.lit(1.0).alias("w"))
+
+
+def ring_of_groups(parts: DataFrame) -> DataFrame:
+    """Mirrored edges of one clique for each community, tied into a ring in the order of their sizes (ties by community).
+
+    The last node of a clique is tied to the first of the next, the last of all to the
+    first of all; with one community there is no ring.
+    """
+    ends = parts.groupBy("comm").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"))
+    at = stored(ranked(ends, [F.col("size"), F.col("comm")]), "ring")
+    n = F.broadcast(at.agg(F.count(F.lit(1)).alias("n")))
+    nxt = at.join(n).select((F.when(F.col("rank") == 1, F.col("n")).otherwise(F.col("rank") - 1)).alias("rank"), F.col("low").alias("dst"), F.col("comm").alias("to"))
+    tie = at.join(nxt, "rank").where("comm <> to").select(F.col("high").alias("src"), "dst", F.lit(1.0).alias("w"))
+    return cliques(parts).unionByName(tie).unionByName(tie.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).distinct()
+
+
+def cliques_on_random(nodes: DataFrame, parts: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """Mirrored edges of the largest component of a random graph of k edges, with one clique for each community hung on it.
+
+    The first node of each clique is tied to a node of the component that a hash of the
+    community picks.  nodes and parts hold different ids; of components of equal size
+    the one of the least node stays.
+    """
+    drawn = stored(random_edges(nodes, k, seed, False), "random")
+    comp = connected_components(drawn)
+    most = F.broadcast(comp.groupBy("comp").count().agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("comp")))
+    base = stored(_numbered(comp.join(most, "comp").select("node")), "giant")
+    kept = drawn.join(base.select(F.col("node").alias("src")), "src", "left_semi")
+    low = parts.groupBy("comm").agg(F.min("node").alias("dst")).join(F.broadcast(base.agg(F.count(F.lit(1)).alias("n"))))
+    pick = low.select("dst", F.pmod(F.xxhash64("comm", F.lit(seed)), F.col("n")).alias("i"))
+    tie = pick.join(base.withColumnRenamed("node", "src"), "i").select("src", "dst", F.lit(1.0).alias("w"))
+    return kept.unionByName(cliques(parts)).unionByName(tie).unionByName(tie.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
 def hierarchical(nodes: DataFrame, cluster: int, falloff: float, seed: int = 1) -> DataFrame:
     """Directed edges between all nodes of a cluster of 2 ** cluster, and beyond with probability falloff ** -level."""
     v = stored(_numbered(nodes), "nodes")

@@ -85,12 +85,13 @@ def _motif_sql(size: int, functional: bool) -> str:
     sums = " + ".join(f"CASE WHEN {has(k)} THEN w{k} ELSE 0 END" for k in range(len(order)))
     return with_("top", f""", e AS (SELECT src, dst, w / (SELECT max(w) FROM top) AS w FROM top), near AS (SELECT src, dst FROM top UNION SELECT dst, src FROM top), s2 AS (SELECT [src, dst] AS t FROM near WHERE src < dst){grow},
 m AS (SELECT {", ".join(f"t[{i + 1}] AS {n}" for i, n in enumerate(nodes))}, {weights} FROM {last} {joins}), k AS (SELECT *, {code} AS code FROM m),
-lib AS (SELECT * FROM (VALUES {", ".join(map(str, M.library(size, functional)))}) AS v(code, sub, class)),
+known AS (SELECT * FROM (VALUES {", ".join(map(str, sorted(M.classes(size).items())))}) AS v(sub, class)),
+lib AS (SELECT code, sub, class FROM (SELECT DISTINCT code FROM k) JOIN known ON {"sub & ~code = 0" if functional else "sub = code"}),
 x AS (SELECT {", ".join(nodes)}, class, exp(({logs}) / bit_count(sub)) AS i, ({sums}) / bit_count(sub) AS a FROM k JOIN lib USING (code))
 SELECT node, CAST(class AS BIGINT) AS class, count(*) AS n, round(sum(i), 9) AS intensity, round(sum(i / a), 9) AS coherence FROM (SELECT unnest([{", ".join(nodes)}]) AS node, class, i, a FROM x) GROUP BY 1, 2""")
 
 
-for _name, _size, _kind in (("motif3_structural", 3, False), ("motif3_functional", 3, True), ("motif4_structural", 4, False)):
+for _name, _size, _kind in (("motif3_structural", 3, False), ("motif3_functional", 3, True), ("motif4_structural", 4, False), ("motif4_functional", 4, True)):
     register(
         _name,
         lambda s, d, size=_size, kind=_kind: M.motifs(X.normalize(G.excess_trade(s, d)), size, kind).select("node", "class", "n", F.round("intensity", 9).alias("intensity"), F.round("coherence", 9).alias("coherence")),

@@ -82,7 +82,9 @@ register("eigenvector", lambda s, d: R.eigenvector(X.normalize(G.partners(s, d))
 register("betweenness_bin", lambda s, d: r9(R.betweenness(G.partners(s, d), G.nations(s, d))[0], "b"), _sql("und node", "und", """, sp AS (SELECT src, dst, 1 AS d, 1::DOUBLE AS n FROM und), c1 AS (SELECT node AS src, node AS dst, 0 AS d, 1::DOUBLE AS n FROM node)""" + "".join(f", c{i + 1} AS MATERIALIZED (SELECT c.src, e.dst, {i} AS d, sum(n) AS n FROM c{i} c JOIN und e ON e.src = c.dst JOIN dist x ON x.src = c.src AND x.dst = e.dst AND x.d = {i} GROUP BY 1, 2)" for i in range(1, 7)) + """, sg AS (""" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(1, 8)) + """)
 SELECT node, round(coalesce((SELECT sum(a.n * b.n / t.n) FROM sg a JOIN sg b ON b.src = a.dst JOIN sg t ON t.src = a.src AND t.dst = b.dst AND t.d = a.d + b.d WHERE a.dst = node AND a.src <> node AND b.dst <> node), 0), 9) AS b FROM node"""))
 register("edge_betweenness_bin", lambda s, d: r9(R.betweenness(G.excess_trade(s, d), G.nations(s, d))[1], "b"))
-register("edge_range", lambda s, d: R.edge_range(G.excess_trade(s, d)))
+#: x: the range of every edge a-b, by a search that leaves the edge out
+RANGES = ", r AS (SELECT src AS a, dst AS b, src AS here, CAST(0 AS BIGINT) AS d FROM top UNION SELECT a, b, t.dst, d + 1 FROM r JOIN top t ON t.src = r.here WHERE d < 25 AND NOT (t.src = a AND t.dst = b)), x AS (SELECT a, b, min(d) FILTER (WHERE here = b) AS range FROM r GROUP BY 1, 2)"
+register("edge_range", lambda s, d: R.edge_range(G.excess_trade(s, d)), with_("top", RANGES + "\nSELECT a AS src, b AS dst, range FROM x", True))
 register("backbone", lambda s, d: R.backbone(G.partners(s, d), G.nations(s, d), 3.0))
 register("maximum_spanning_forest", lambda s, d: R.maximum_spanning_forest(G.copart(s, d), G.read(s, d, "part").select(F.col("p_partkey").alias("node"))))
 _CODE = """, near AS (SELECT src, dst FROM top UNION SELECT dst, src FROM top), t3 AS (SELECT DISTINCT list_sort([a.src, a.dst, b.dst]) AS t FROM near a JOIN near b ON a.src = b.src AND a.dst < b.dst),
@@ -94,7 +96,14 @@ register("motif3", lambda s, d: R.motifs3(G.excess_trade(s, d)), with_("top", ",
 # weighted paths, and similarity over several steps
 _LENGTHS = """, p AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS d, [node] AS p FROM node UNION ALL SELECT p.src, t.dst, d + 1 / w, list_append(p, t.dst) FROM p JOIN top t ON t.src = p.dst WHERE NOT list_contains(p, t.dst) AND len(p) < 8), dw AS (SELECT src, dst, min(d) AS d FROM p GROUP BY 1, 2)"""
 register("efficiency_wei", lambda s, d: r9(R.efficiency_weighted(G.excess_trade(s, d), G.nations(s, d)), "e"), with_("top node", _LENGTHS + "\nSELECT round(sum(1 / d) / 600, 9) AS e FROM dw WHERE src <> dst", True))
-register("local_efficiency_wei", lambda s, d: r9(R.local_efficiency_weighted(X.normalize(G.partners(s, d)), G.nations(s, d)), "e"))
+_LOCAL = """, e AS (SELECT src, dst, w / (SELECT max(w) FROM {g}) AS w FROM {g}), near AS (SELECT ego, x, sum(cbrt(w)) AS c, count(*) AS a FROM (SELECT src AS ego, dst AS x, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2),
+own AS (SELECT n.ego, e.src, e.dst, 1 / w AS len FROM e JOIN near n ON n.x = e.src JOIN near m ON m.ego = n.ego AND m.x = e.dst),
+p AS (SELECT ego, x AS src, x AS dst, 0.0::DOUBLE AS d, [x] AS p FROM near UNION ALL SELECT p.ego, p.src, o.dst, d + o.len, list_append(p, o.dst) FROM p JOIN own o ON o.ego = p.ego AND o.src = p.dst WHERE NOT list_contains(p, o.dst) AND len(p) < 8),
+dd AS (SELECT ego, src, dst, min(d) AS d FROM p WHERE src <> dst GROUP BY 1, 2, 3), s AS (SELECT dd.ego, sum(a.c * b.c * cbrt(1 / d)) AS x FROM dd JOIN near a ON a.ego = dd.ego AND a.x = dd.src JOIN near b ON b.ego = dd.ego AND b.x = dd.dst GROUP BY 1),
+k AS (SELECT ego, sum(a) * sum(a) - sum(a * a) AS k FROM near GROUP BY 1)
+SELECT node, round(coalesce((SELECT x FROM s WHERE ego = node) / nullif((SELECT k FROM k WHERE ego = node), 0), 0), 9) AS e FROM node"""
+register("local_efficiency_wei", lambda s, d: r9(R.local_efficiency_weighted(X.normalize(G.partners(s, d)), G.nations(s, d)), "e"), with_("und node", _LOCAL.format(g="und"), True))
+register("local_efficiency_wei_dir", lambda s, d: r9(R.local_efficiency_weighted(X.normalize(G.excess_trade(s, d)), G.nations(s, d)), "e"), with_("top node", _LOCAL.format(g="top"), True))
 register("betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.excess_trade(s, d)), G.nations(s, d))[0], "b"))
 register("edge_betweenness_wei", lambda s, d: r9(R.betweenness_weighted(X.invert(G.excess_trade(s, d)), G.nations(s, d))[1], "b"))
 register("connecting_threshold", lambda s, d: R.connecting_threshold(G.mirrored(G.without_loops(G.trade(s, d))), G.nations(s, d)), with_("trade node", """, m AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM trade WHERE src <> dst UNION ALL SELECT dst, src, w FROM trade WHERE src <> dst) GROUP BY 1, 2),

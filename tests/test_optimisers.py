@@ -54,7 +54,7 @@ def test_motif_classes():
     assert len(set(M.classes(4).values())) == 199
 
 
-@pytest.mark.parametrize(("size", "functional"), [(3, False), (3, True), (4, False)])
+@pytest.mark.parametrize(("size", "functional"), [(3, False), (3, True), (4, False), (4, True)])
 def test_motifs(spark, size, functional):
     draw = random.Random(size)
     w = {(a, b): draw.randint(1, 8) / 8 for a in range(7) for b in range(7) if a != b and draw.random() < 0.4}
