@@ -142,6 +142,8 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
     for batch in batches:
         for i in range(batch.num_rows):
             sides = [batch[c][i].values for c in ("one", "two")]
+            if not len(sides[1]):  # a block with itself
+                sides[1] = sides[0]
             comp, n = ([x.field(f).to_numpy() for x in sides] for f in ("comp", "n"))
             low, high = np.minimum(n[0][:, None], n[1]), np.maximum(n[0][:, None], n[1])
             ok = (comp[0][:, None] != comp[1]) & (low * 100 >= high * percent)
@@ -195,8 +197,8 @@ class NearDuplicates:
         slim = self.rows.select("rid", F.col("row.doc_id").cast("bigint").alias("doc_id"), "text")
         schema = "rid bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sig array<bigint>"
         self.signed = C.stored(slim.mapInArrow(lambda it: _signatures(it, k, COORDINATES), schema), "signed")
-        self.sets = C.stored(self.signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("node")), "sets")
-        self.nodes = C.stored(self.sets.select(F.col("node").alias("rid")).join(self.signed.select("rid", "n", "sig"), "rid"), "nodes")
+        least = F.min(F.struct("rid", "sig")).alias("x")
+        self.nodes = C.stored(self.signed.where("n > 0").groupBy("d1", "d2", "n").agg(least).select("d1", "d2", "n", "x.rid", "x.sig"), "nodes")
         self.comp = self._components()
 
     def _prefixes(self) -> DataFrame:
@@ -243,20 +245,28 @@ class NearDuplicates:
         postings = prefixes.select("rid", "n", "keys", F.explode("keys").alias("key")).join(big, "key")
         postings = postings.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         long = C.stored(postings.select("key", "rid", "n", "comp", F.slice("keys", F.lit(1), (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")), "long")
+        # a large component is a cell of its own: its members are not compared with each other; all small ones share cell -1
+        large = F.col("c") >= BLOCK // 2
+        by = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int").alias("parts")
         of = long.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-        open_ = of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.sum("s").alias("ms")).where("comps > 1")
-        of = C.stored(of.join(open_.select("key", "m", "ms"), "key"), "open")
-        if of.isEmpty():
+        of = of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.collect_list(F.when(large, F.struct(F.col("comp").alias("cell"), by(F.col("c"), F.col("s"))))).alias("large"), *[F.coalesce(F.sum(F.when(~large, F.col(x))), F.lit(0)).alias(f"m{x}") for x in ("c", "s")])
+        small = F.array(F.struct(F.lit(-1).cast("bigint").alias("cell"), by(F.col("mc"), F.col("ms"))))
+        open_ = C.stored(of.where("comps > 1").select("key", F.filter(F.concat(small, "large"), lambda x: x["parts"] > 0).alias("cells")), "open")
+        if open_.isEmpty():
             return None
-        # a large component is a cell of its own: its members are not compared with each other
-        cells = long.join(of, ["key", "comp"]).withColumn("cell", F.when(F.col("c") >= BLOCK // 2, F.col("comp")).otherwise(F.lit(-1)))
-        by = lambda c, s: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(s) / BLOCK_SHINGLES))
-        spread = F.when(F.col("cell") >= 0, by("c", "s")).otherwise(by("m", "ms"))
-        cells = cells.withColumn("block", F.pmod(F.xxhash64("rid"), spread)).join(self.nodes.select("rid", "sig"), "rid").join(self.texts, "rid")
-        blocks = C.stored(cells.groupBy("key", "cell", "block").agg(F.collect_list(F.struct(*MEMBERS)).alias("one")), "blocks")
-        two = blocks.select("key", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("one").alias("two"))
-        different = (F.col("cell") < F.col("cell2")) | ((F.col("cell") == -1) & (F.col("cell2") == -1) & (F.col("block") <= F.col("block2")))
-        met = blocks.join(two, "key").where(different).select("one", "two")
+        # every member goes to all pairs that its block is in, so that pairs of blocks of one long list are dealt out evenly
+        of_cell = lambda c: F.get(F.filter("cells", lambda x: x["cell"] == c), F.lit(0))
+        members = long.join(open_, "key").withColumn("own", F.coalesce(of_cell(F.col("comp")), of_cell(F.lit(-1))))
+        members = members.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("own.parts")).cast("int")).withColumn("cell", F.col("own.cell"))
+        blocks = F.flatten(F.transform("cells", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda b: F.struct(x["cell"].alias("cell"), b.alias("block")))))
+        others = F.filter(blocks, lambda x: (x["cell"] != F.col("cell")) | (x["cell"] == -1))
+        members = members.join(self.nodes.select("rid", "sig"), "rid").join(self.texts, "rid")
+        met = members.select("key", "cell", "block", F.struct(*MEMBERS).alias("member"), F.explode(others).alias("other"))
+        first = (F.col("cell") < F.col("other.cell")) | ((F.col("cell") == F.col("other.cell")) & (F.col("block") <= F.col("other.block")))
+        here, there = F.struct("cell", "block"), F.col("other")
+        sides = [F.collect_list(F.when(x, F.col("member"))).alias(name) for x, name in ((F.col("first"), "one"), (~F.col("first"), "two"))]
+        met = met.withColumn("first", first).groupBy("key", F.when(first, here).otherwise(there).alias("p"), F.when(first, there).otherwise(here).alias("q")).agg(*sides)
+        met = met.where("size(one) > 0 AND (p = q AND size(one) > 1 OR size(two) > 0)").select("one", "two")
         return C.stored(met.mapInArrow(lambda it, k=self.k, p=self.percent: _compare(it, k, p), "a bigint, b bigint").distinct(), "more")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -271,7 +281,7 @@ class NearDuplicates:
 
     def components(self) -> DataFrame:
         """rid, doc_id, n_shingles, component_id (least doc_id of the component), first (least rid with that doc_id)."""
-        of = self.sets.join(self.comp, "node", "left").select("d1", "d2", "n", F.coalesce("comp", "node").alias("comp"))
+        of = self.nodes.withColumnRenamed("rid", "node").join(self.comp, "node", "left").select("d1", "d2", "n", F.coalesce("comp", "node").alias("comp"))
         rows = C.stored(self.signed.select("rid", "doc_id", "n", "d1", "d2").join(of, ["d1", "d2", "n"], "left").select("rid", "doc_id", "n", F.coalesce("comp", -1 - F.col("rid")).alias("comp")), "members")
         least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         first = rows.join(least.withColumnRenamed("component_id", "least"), "comp").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("comp").agg(F.min("rid").alias("first"))
