@@ -192,3 +192,15 @@ def test_unsettled_loops_raise(spark):
     e, _ = graph(spark, [(i, i + 1) for i in range(6)])
     with pytest.raises(RuntimeError):
         R.breadth_distances(e, max_steps=3)
+
+
+def test_components_of_a_small_graph_take_no_rounds(spark, monkeypatch):
+    from graphloom.functions import components
+
+    tables = []
+    monkeypatch.setattr(components, "stored", lambda df, name, put=components.stored: tables.append(name) or put(df, name))
+    n = 12_000
+    e = spark.range(n).selectExpr("(id * 7919) % 12001 AS src", "((id + 1) * 7919) % 12001 AS dst")  # a path through all
+    got = connected_components(e.union(e.select("dst", "src")))
+    assert got.agg({"comp": "max"}).first()[0] == 0 and got.count() == n + 1
+    assert len(tables) <= 2
