@@ -10,11 +10,18 @@ keys as long as a node has enough others.
 Short posting lists give their pairs.  A long list is first tied to three leaders, one
 of them the member whose keys are the most frequent, that is nearest to what the
 list has in common.  If its members are then in one component, nothing is left to
-find.  Else its members are dealt into blocks of bounded size, and pairs of blocks count
+find.  Else a list of a few blocks is compared by pairs of blocks, which count
 the collisions of members of different components, each pair only in the first list
 that it shares.  Full sets are compared for pairs at the match threshold, where they
 stand: only links leave the task.
 
+Longer lists are not compared pair by pair.  Lists with one leader are a group, and the
+leader is its centre.  Two members of which not both are linked with the centre can only
+be similar if they also share shingles that the centre has not, but for members smaller
+than the centre, which meet in a list of their own.  These shingles are the posting
+keys of the next level, again with a prefix filter and lists, short and long.  Only lists
+that are still long after ``LEVELS`` levels go through all pairs of their blocks.
+
 All links are confirmed on the full shingle sets; components are contracted by
 Spark joins.
 
@@ -25,7 +32,7 @@ of each other; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +52,10 @@ WORD = ~C.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 COORDINATES, MATCH = 48, 25
 #: Posting lists up to this length give all their pairs; longer ones go by leaders and blocks.
 SMALL = 12
+#: Up to so many blocks, a list is compared block by block, and a member sent to that many pairs at most.
+FEW_BLOCKS = 4
+#: How often longer lists are taken apart by the differences from a centre; what is still longer then is compared block by block too.
+LEVELS = 3
 #: Members of a block, and its shingles, about.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 20
 MEMBERS = ["rid", "comp", "n", "sig", "earlier", "packed"]
@@ -188,6 +199,38 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
             yield pa.RecordBatch.from_arrays([part["a"].filter(pa.array(ok)), part["b"].filter(pa.array(ok))], names=["a", "b"])
 
 
+@C.tidy
+def _outside(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """How many shingles a set has in common with its group's centre, and keys of its other ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            g, first, of = np.unique(part["g"].to_numpy(), return_index=True, return_inverse=True)
+            salt = C.mix(g.view(C.U64))
+            sets = [_sets(x.to_pylist(), k) for x in (part["packed"], part["centre"].take(pa.array(first)))]
+            keys = [C.mix(h ^ salt[x]) for (_, h), x in zip(sets, (of[sets[0][0]], sets[1][0]), strict=True)]
+            row, inside = sets[0][0], np.isin(keys[0], keys[1])
+            n, common = (np.bincount(x, minlength=part.num_rows) for x in (row, row[inside]))
+            n_g = np.bincount(sets[1][0], minlength=len(g))[of]
+            offsets = np.concatenate([[0], np.cumsum(n - common)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[0][~inside].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part["g"], part["rid"], *[pa.array(x, pa.int64()) for x in (n, n_g, common)], lists], names=["g", "rid", "n", "n_g", "common", "keys"])
+
+
+def _parts(c: str, s: str):
+    """Blocks for so many members and shingles."""
+    return F.ceil(F.greatest(F.col(c) / BLOCK, F.col(s) / BLOCK_SHINGLES)).cast("int")
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) that links (a, b) tie together."""
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    ties = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    joined = C.stored(connected_components(ties, "a", "b"), "joined").withColumnRenamed("comp", "to")
+    nodes = comp.unionByName(joined.select("node", F.col("node").alias("comp")).join(comp, "node", "left_anti"))
+    return nodes.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+
 class NearDuplicates:
     """Links and components of the near-duplicates of a table; see the module."""
 
@@ -201,73 +244,118 @@ class NearDuplicates:
         self.nodes = C.stored(self.signed.where("n > 0").groupBy("d1", "d2", "n").agg(least).select("d1", "d2", "n", "x.rid", "x.sig"), "nodes")
         self.comp = self._components()
 
-    def _prefixes(self) -> DataFrame:
-        """rid, n, score, keys: the keys of a node's prefix, least frequent first; the score is the sum of frequencies."""
-        keys = self.nodes.select("rid", "n", F.explode("sig").alias("key"))
+    def _prefixes(self, keys: DataFrame, by: list[str], need, near) -> DataFrame:
+        """rid, n, comp, score, keys: the keys of a prefix, least frequent first; pairs must share ``need`` of all.
+
+        The score is the sum of frequencies, and ``near``.  keys: a row with the columns ``by`` for each key.
+        """
         often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        of = keys.join(often, "key").groupBy("rid", "n").agg(F.sum("c").alias("score"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
+        of = keys.join(often, "key").groupBy(*by).agg(F.sum("c").alias("score"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
         # keys of one node alone come first in the order; they use up the prefix but lead nowhere
-        prefix = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - (MATCH - 1)))
-        return C.stored(of.select("rid", "n", "score", F.transform(prefix, lambda x: x["key"]).alias("keys")).where(F.size("keys") > 0), "prefixes")
+        prefix = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - (need - 1)).cast("int"))
+        comp = "comp" if "comp" in by else F.col("rid").alias("comp")
+        return of.select("rid", "n", comp, (F.col("score") + near).alias("score"), F.transform(prefix, lambda x: x["key"]).alias("keys")).where(F.size("keys") > 0)
 
     def _components(self) -> DataFrame:
         """node, comp of all nodes with a link."""
-        prefixes = self._prefixes()
-        postings = prefixes.select("rid", "n", "score", F.explode("keys").alias("key"))
+        keys = self.nodes.select("rid", "n", F.explode("sig").alias("key"))
+        prefixes = C.stored(self._prefixes(keys, ["rid", "n"], F.lit(MATCH), F.lit(0)), "prefixes")
+        comp = more = None
+        for level in range(LEVELS + 1):
+            comp, wide = self._level(prefixes, comp, more, level == LEVELS)
+            if wide is None:
+                return comp
+            prefixes, more = self._differences(wide, comp)
+
+    def _level(self, prefixes: DataFrame, comp: DataFrame | None, more: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame | None]:
+        """Components with the links of one table of lists, and (g, rid, n) of the lists that are too long to compare at once.
+
+        comp, more: components and links found before, if any.  The last level compares all lists.
+        """
+        postings = prefixes.select("rid", "n", "comp", "score", F.explode("keys").alias("key"))
         leaders = [F.max_by("rid", F.struct("score", "rid")), F.min("rid"), F.min_by("rid", F.xxhash64("rid"))]
-        size = C.stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[x.alias(f"l{i}") for i, x in enumerate(leaders)]).where("m > 1"), "keys")
-        near_keys = postings.join(size.select("key"), "key", "left_semi").select("rid").distinct()
-        self.texts = C.stored(_packed(self.rows.select("rid", "text")).join(near_keys, "rid", "left_semi"), "texts")
-        lists = postings.join(size.where(F.col("m") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("rid", "n")).alias("all"))
+        size = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), (F.min("comp") < F.max("comp")).alias("open"), *[x.alias(f"l{i}") for i, x in enumerate(leaders)])
+        size = C.stored(size.where("open"), "keys")
+        if comp is None:
+            near_keys = postings.join(size.select("key"), "key", "left_semi").select("rid").distinct()
+            self.texts = C.stored(_packed(self.rows.select("rid", "text")).join(near_keys, "rid", "left_semi"), "texts")
+        lists = postings.join(size.where(F.col("m") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("rid", "n", "comp")).alias("all"))
         ones = lists.select("all", F.explode("all").alias("x"))
-        near = F.filter("all", lambda y: (y["rid"] > F.col("x.rid")) & _similar(y["n"], F.col("x.n"), self.percent))
+        near = F.filter("all", lambda y: (y["rid"] > F.col("x.rid")) & (y["comp"] != F.col("x.comp")) & _similar(y["n"], F.col("x.n"), self.percent))
         small = ones.select(F.col("x.rid").alias("a"), F.explode(near).alias("y")).select("a", F.col("y.rid").alias("b"))
         big = size.where(F.col("m") > SMALL)
         tied = postings.join(big, "key").select(F.col("rid"), F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("l")).where("rid <> l")
         tied = tied.select(F.least("rid", "l").alias("a"), F.greatest("rid", "l").alias("b"))
         links = self._confirmed(small.unionByName(tied).distinct())
-        comp = connected_components(links, "a", "b")
+        comp = connected_components(links, "a", "b") if comp is None else _joined(comp, links.unionByName(more))
         if big.isEmpty():
-            return comp
+            return comp, None
         comp = C.stored(comp, "comp")
-        more = self._blocks(prefixes, big.select("key"), comp)
-        if more is None:
-            return comp
-        # components that the long lists tie together
-        of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-        ties = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-        joined = C.stored(connected_components(ties, "a", "b"), "joined").withColumnRenamed("comp", "to")
-        nodes = comp.unionByName(joined.select("node", F.col("node").alias("comp")).join(comp, "node", "left_anti"))
-        return nodes.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-
-    def _blocks(self, prefixes: DataFrame, big: DataFrame, comp: DataFrame) -> DataFrame | None:
-        """Links (a, b) between the components of members of long lists; None if no list has several."""
-        postings = prefixes.select("rid", "n", "keys", F.explode("keys").alias("key")).join(big, "key")
+        postings = prefixes.select("rid", "n", "keys", F.explode("keys").alias("key")).join(big.select("key"), "key")
         postings = postings.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         long = C.stored(postings.select("key", "rid", "n", "comp", F.slice("keys", F.lit(1), (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")), "long")
+        sizes = long.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("comp").alias("comp0"), F.max("comp").alias("comp1"))
+        open_ = C.stored(sizes.where("comp0 < comp1").select("key", _parts("c", "s").alias("parts")), "open")
+        if open_.isEmpty():
+            return comp, None
+        full = lambda x: x.join(self.nodes.select("rid", "sig"), "rid").join(self.texts, "rid")
+        one = full(long.join(open_.where("parts = 1").select("key"), "key")).groupBy("key").agg(F.collect_list(F.struct(*MEMBERS)).alias("one"))
+        met = one.select("one", F.slice("one", 1, 0).alias("two"))
+        in_blocks = F.lit(True) if last else F.col("parts") <= FEW_BLOCKS
+        met = met.unionByName(self._blocks(long.join(open_.where("parts > 1").where(in_blocks).select("key"), "key"), full))
+        wide = open_.where(~in_blocks).select("key")
+        found = C.stored(met.mapInArrow(lambda it, k=self.k, p=self.percent: _compare(it, k, p), "a bigint, b bigint").distinct(), "more")
+        comp = C.stored(_joined(comp, found), "comp")
+        if wide.isEmpty():
+            return comp, None
+        return comp, C.stored(long.join(wide, "key").join(size.select("key", F.col("l0").alias("g")), "key").select("g", "rid", "n").distinct(), "wide")
+
+    def _differences(self, wide: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Prefixes over what members have beyond the centre of their group; and links with centres.
+
+        A pair of which not both are linked with the centre g shares at least p / (p + 100) of the sum of both
+        sizes, less what the member with less of the centre has of it.  If that is above zero, the pair shares keys
+        outside the centre, and the prefix filter holds for these.  It is not only if one of both is smaller
+        than the centre and both have much of it: such members meet in one more list, whose centre is its smallest member.
+        """
+        centres = self.texts.join(wide.select(F.col("g").alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias("g"), F.col("packed").alias("centre"))
+        of = wide.join(self.texts, "rid").join(centres, "g").select("g", "rid", "packed", "centre")
+        of = of.mapInArrow(lambda it, k=self.k: _outside(it, k), "g bigint, rid bigint, n bigint, n_g bigint, common bigint, keys array<bigint>")
+        groups = wide.groupBy("g").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m"))
+        of = of.join(groups, "g").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        p, q = self.percent, 100 + self.percent
+        other = F.greatest("least", F.ceil(F.col("n") * p / 100))
+        own = F.ceil((p * (F.col("n") + other) - q * F.col("common")) / q)
+        linked = q * F.col("common") >= p * (F.col("n") + F.col("n_g"))
+        beyond = F.when(F.col("linked"), F.floor(p * (F.col("n") - F.col("n_g")) / q) + 1)
+        of = C.stored(of.withColumn("linked", linked).withColumn("own", own).withColumn("need", F.greatest(F.lit(1), "own", beyond)).withColumn("near", F.col("common") * F.col("m")), "outside")
+        by = ["g", "rid", "n", "comp", "need", "near"]
+        prefixes = self._prefixes(of.select(*by, F.explode("keys").alias("key")), by, F.col("need"), F.col("near"))
+        rest = of.where("own <= 0 AND (n < n_g OR NOT linked)").select("rid", "n", "comp", (-F.col("n")).alias("score"), F.array(F.xxhash64("g", F.lit("rest"))).alias("keys"))
+        centre_comp = comp.select(F.col("node").alias("g"), F.col("comp").alias("comp_g"))
+        more = of.where("linked AND rid <> g").join(centre_comp, "g", "left").where("comp <> coalesce(comp_g, g)").select(F.col("rid").alias("a"), F.col("g").alias("b"))
+        return C.stored(prefixes.unionByName(rest), "prefixes"), more
+
+    def _blocks(self, long: DataFrame, full: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Pairs of blocks (one, two) of long lists, without those inside a component."""
         # a large component is a cell of its own: its members are not compared with each other; all small ones share cell -1
         large = F.col("c") >= BLOCK // 2
-        by = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int").alias("parts")
         of = long.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-        of = of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.collect_list(F.when(large, F.struct(F.col("comp").alias("cell"), by(F.col("c"), F.col("s"))))).alias("large"), *[F.coalesce(F.sum(F.when(~large, F.col(x))), F.lit(0)).alias(f"m{x}") for x in ("c", "s")])
-        small = F.array(F.struct(F.lit(-1).cast("bigint").alias("cell"), by(F.col("mc"), F.col("ms"))))
-        open_ = C.stored(of.where("comps > 1").select("key", F.filter(F.concat(small, "large"), lambda x: x["parts"] > 0).alias("cells")), "open")
-        if open_.isEmpty():
-            return None
+        of = of.groupBy("key").agg(F.collect_list(F.when(large, F.struct(F.col("comp").alias("cell"), _parts("c", "s").alias("parts")))).alias("large"), *[F.coalesce(F.sum(F.when(~large, F.col(x))), F.lit(0)).alias(f"m{x}") for x in ("c", "s")])
+        small = F.array(F.struct(F.lit(-1).cast("bigint").alias("cell"), _parts("mc", "ms").alias("parts")))
+        cells = of.select("key", F.filter(F.concat(small, "large"), lambda x: x["parts"] > 0).alias("cells"))
         # every member goes to all pairs that its block is in, so that pairs of blocks of one long list are dealt out evenly
         of_cell = lambda c: F.get(F.filter("cells", lambda x: x["cell"] == c), F.lit(0))
-        members = long.join(open_, "key").withColumn("own", F.coalesce(of_cell(F.col("comp")), of_cell(F.lit(-1))))
+        members = long.join(cells, "key").withColumn("own", F.coalesce(of_cell(F.col("comp")), of_cell(F.lit(-1))))
         members = members.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("own.parts")).cast("int")).withColumn("cell", F.col("own.cell"))
         blocks = F.flatten(F.transform("cells", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda b: F.struct(x["cell"].alias("cell"), b.alias("block")))))
         others = F.filter(blocks, lambda x: (x["cell"] != F.col("cell")) | (x["cell"] == -1))
-        members = members.join(self.nodes.select("rid", "sig"), "rid").join(self.texts, "rid")
-        met = members.select("key", "cell", "block", F.struct(*MEMBERS).alias("member"), F.explode(others).alias("other"))
+        met = full(members).select("key", "cell", "block", F.struct(*MEMBERS).alias("member"), F.explode(others).alias("other"))
         first = (F.col("cell") < F.col("other.cell")) | ((F.col("cell") == F.col("other.cell")) & (F.col("block") <= F.col("other.block")))
         here, there = F.struct("cell", "block"), F.col("other")
         sides = [F.collect_list(F.when(x, F.col("member"))).alias(name) for x, name in ((F.col("first"), "one"), (~F.col("first"), "two"))]
         met = met.withColumn("first", first).groupBy("key", F.when(first, here).otherwise(there).alias("p"), F.when(first, there).otherwise(here).alias("q")).agg(*sides)
-        met = met.where("size(one) > 0 AND (p = q AND size(one) > 1 OR size(two) > 0)").select("one", "two")
-        return C.stored(met.mapInArrow(lambda it, k=self.k, p=self.percent: _compare(it, k, p), "a bigint, b bigint").distinct(), "more")
+        return met.where("size(one) > 0 AND (p = q AND size(one) > 1 OR size(two) > 0)").select("one", "two")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those over the match threshold whose full sets are similar."""

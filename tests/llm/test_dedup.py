@@ -159,6 +159,62 @@ def test_near_duplicates(spark, monkeypatch, k):
     assert got == brute_components(rows, k)
 
 
+def nearly_similar(n, seed=0):
+    """A group around one text: few edits and many, cut ends, sub-groups that share edits and cut ends."""
+    r = random.Random(seed)
+    new = iter(range(10**6))
+    base = [f"b{i}" for i in range(130)]
+
+    def edited(words, times):
+        words = list(words)
+        for i in r.sample(range(len(words)), times):
+            words[i] = f"n{next(new)}"
+        return words
+
+    own = [edited(base, k) for k in (3, 6, 9)]
+    rows = []
+    for i in range(n):
+        words = edited(base, r.choice([0, 1, 2, 3, 4, 5, 6, 7, 8]))
+        if i % 4 == 1:
+            words = edited(own[i % 3], r.randrange(6))
+        elif i % 4 == 2:
+            words = base[: r.randint(60, 130)]
+        elif i % 8 == 3:
+            words = edited(base[r.randint(0, 30) :], r.randrange(4)) + [f"n{next(new)}"] * r.randint(0, 9)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("levels", "blocks", "small"), [(0, 1, 3), (1, 1, 3), (3, 1, 3), (3, 2, 12)])
+def test_near_duplicates_in_a_large_group(spark, monkeypatch, levels, blocks, small):
+    for name, x in (("BLOCK", 8), ("SMALL", small), ("LEVELS", levels), ("FEW_BLOCKS", blocks)):
+        monkeypatch.setattr(op5, name, x)
+    rows = nearly_similar(240)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in op5.NearDuplicates(df, k=4).components().collect())
+    assert got == brute_components(rows, 4)
+    assert 20 < len({c for _, _, c in got}) < 200
+
+
+def test_long_lists_do_not_cost_a_comparison_of_each_pair(spark, monkeypatch, tmp_path):
+    def count(batches, *_):
+        for batch in batches:
+            with open(f"{tmp_path}/sent", "a") as f:
+                f.write(f"{sum(len(side) for c in ('one', 'two') for side in batch[c].to_pylist())}\n")
+        return iter(())
+
+    monkeypatch.setattr(op5, "BLOCK", 8)
+    monkeypatch.setattr(op5, "_compare", count)
+    sent = []
+    for n in (200, 400):
+        r = random.Random(n)
+        rows = [(i, " ".join(f"n{n * i + j}" if j in edits else f"b{j}" for j in range(130))) for i in range(n) for edits in [set(r.sample(range(130), 6))]]
+        (tmp_path / "sent").write_text("0\n")
+        op5.NearDuplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=4)
+        sent.append(sum(map(int, (tmp_path / "sent").read_text().split())))
+    assert sent[1] < 3 * sent[0] + 1000
+
+
 def test_near_dedup_keeps_one(spark):
     rows, df = cases.documents(spark)
     out = op5.near_dedup(df, k=4)
