@@ -52,7 +52,7 @@ WORD = ~C.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 COORDINATES, MATCH = 48, 25
 #: Posting lists up to this length give all their pairs; longer ones go by leaders and blocks.
 SMALL = 12
-#: Up to so many blocks, a list is compared block by block, and a member sent to that many pairs at most.
+#: Up to so many blocks, a list is compared block by block, and a member sent to a bounded number of pairs.
 FEW_BLOCKS = 4
 #: How often longer lists are taken apart by the differences from a centre; what is still longer then is compared block by block too.
 LEVELS = 3
