@@ -68,3 +68,19 @@ def test_edge_overlap(spark, graph):
 def test_edge_overlap_shuffles_no_wedges(spark, sides):
     df = T.edge_neighbour_overlap(mirrored(spark, sides)).where("overlap > 0")
     assert shuffled(df) < 30_000 and not df.count()
+
+
+def test_neighbour_scores(spark, graph):
+    _, pairs, near = graph
+    got = {(r.a, r.b): r for r in T.neighbour_scores(mirrored(spark, pairs)).collect()}
+    assert set(got) == pairs
+    for (a, b), r in got.items():
+        both = near[a] & near[b]
+        assert r.jaccard == len(both) / len(near[a] | near[b]) and r.pa == len(near[a]) * len(near[b])
+        assert math.isclose(r.ra, sum(1 / len(near[v]) for v in both), abs_tol=1e-12)
+        assert math.isclose(r.aa, sum(1 / math.log(len(near[v])) for v in both), abs_tol=1e-12)
+
+
+def test_neighbour_scores_shuffle_no_wedges(spark, sides):
+    df = T.neighbour_scores(mirrored(spark, sides)).where("ra > 0")
+    assert shuffled(df) < 30_000 and df.count() == 0
