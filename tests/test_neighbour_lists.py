@@ -84,3 +84,18 @@ def test_neighbour_scores(spark, graph):
 def test_neighbour_scores_shuffle_no_wedges(spark, sides):
     df = T.neighbour_scores(mirrored(spark, sides)).where("ra > 0")
     assert shuffled(df) < 30_000 and df.count() == 0
+
+
+def test_matching_und(spark, graph):
+    ids, pairs, near = graph
+    got = {(r.src, r.dst): r.m for r in T.matching_und(mirrored(spark, pairs)).collect()}
+    want = {}
+    for a, b in itertools.permutations(ids, 2):
+        if n := len(near[a] & near[b]):
+            want[a, b] = 2 * n / (len(near[b]) - (a in near[b]) + n)
+    assert got == want
+
+
+def test_matching_und_shuffles_no_wedges(spark, sides):
+    df = T.matching_und(mirrored(spark, sides))
+    assert shuffled(df) < 10_000 and df.count() == 2 * 150 * 149
