@@ -99,3 +99,19 @@ def test_matching_und(spark, graph):
 def test_matching_und_shuffles_no_wedges(spark, sides):
     df = T.matching_und(mirrored(spark, sides))
     assert shuffled(df) < 10_000 and df.count() == 2 * 150 * 149
+
+
+def test_clustering(spark, graph):
+    ids, pairs, near = graph
+    nodes = spark.createDataFrame([(v,) for v in [*ids, -7]], "node bigint")
+    got = {r.node: r.c for r in T.clustering_und(mirrored(spark, pairs), nodes).collect()}
+    assert len(got) == len(ids) + 1 and got[-7] == 0
+    for v in ids:
+        k, t = len(near[v]), sum(tuple(sorted(p)) in pairs for p in itertools.combinations(near[v], 2))
+        assert got[v] == (2 * t / (k * (k - 1)) if k > 1 else 0)
+
+
+def test_clustering_shuffles_no_wedges(spark, sides):
+    nodes = spark.createDataFrame([(a,) for a, _ in sides], "node bigint").distinct()
+    df = T.clustering_und(mirrored(spark, sides), nodes).where("c > 0")
+    assert shuffled(df) < 30_000 and df.count() == 0
