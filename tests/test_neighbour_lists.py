@@ -115,3 +115,14 @@ def test_clustering_shuffles_no_wedges(spark, sides):
     nodes = spark.createDataFrame([(a,) for a, _ in sides], "node bigint").distinct()
     df = T.clustering_und(mirrored(spark, sides), nodes).where("c > 0")
     assert shuffled(df) < 30_000 and df.count() == 0
+
+
+def test_transitivity(spark, graph):
+    ids, pairs, near = graph
+    t = sum({tuple(sorted(p)) for p in itertools.combinations(x, 2)} <= pairs for x in itertools.combinations(ids, 3))
+    assert math.isclose(T.transitivity_und(mirrored(spark, pairs)).first().t, 6 * t / sum(len(n) * (len(n) - 1) for n in near.values()))
+
+
+def test_transitivity_shuffles_no_wedges(spark, sides):
+    df = T.transitivity_und(mirrored(spark, sides))
+    assert shuffled(df) < 30_000 and df.first().t == 0
