@@ -53,3 +53,7 @@ def test_searches_from_many_sources_hold_a_row_for_each_node(spark, monkeypatch)
     e = [(a, b, 1.0) for a in range(30) for b in range(30) if a != b]
     D.sampled_path_length(spark.createDataFrame(e, "src bigint, dst bigint, w double"), spark.range(30).select(F.col("id").alias("node"))).collect()
     assert len(kept) and max(t.count() for t in kept if "dst" not in t.columns or "d" in t.columns) <= 30
+
+
+def test_simrank_reads_its_graph_once(spark, tmp_path):
+    assert read_once(spark, tmp_path, lambda e, v: R.simrank(e, v, eps=0.3)) == 1
