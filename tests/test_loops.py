@@ -57,3 +57,7 @@ def test_searches_from_many_sources_hold_a_row_for_each_node(spark, monkeypatch)
 
 def test_simrank_reads_its_graph_once(spark, tmp_path):
     assert read_once(spark, tmp_path, lambda e, v: R.simrank(e, v, eps=0.3)) == 1
+
+
+def test_eigenvector_reads_its_graph_once(spark, tmp_path):
+    assert read_once(spark, tmp_path, lambda e, v: R.eigenvector(e, v, 0.05)) == 1
